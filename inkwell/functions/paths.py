@@ -50,9 +50,12 @@ def lower_extension(path: Column) -> Column:
 def page_image_key(col: Column | str) -> Column:
     """The page image a path names: ``page|book folder|volume folder|number`` for the raw and preprocessed scan (one image),
     ``external|...`` for the external one; any other path stands for itself."""
-    form = "^(raw|results/preprocessed|external)/([^/]+)/([^/]+)/page_0*([0-9]+)(?:_preprocessed)?\\.[A-Za-z0-9]+$"
-    key = F.regexp_replace(below_data(clean_path(col)), form, "$1|$2|$3|$4")
-    return lower_extension(F.regexp_replace(key, "^(?:raw|results/preprocessed)\\|", "page|"))
+    rest = "([^/]+)/([^/]+)/page_0*([0-9]+)(?:_preprocessed)?\\.[A-Za-z0-9]+$"
+    usual = f"^data/(?:raw|results/preprocessed)/{rest}"
+    plain = F.col(col) if isinstance(col, str) else col
+    key = F.regexp_replace(below_data(clean_path(col)), f"^(raw|results/preprocessed|external)/{rest}", "$1|$2|$3|$4")
+    slow = lower_extension(F.regexp_replace(key, "^(?:raw|results/preprocessed)\\|", "page|"))
+    return F.when(plain.rlike(usual) & ~plain.rlike("[%\\\\]|/\\.\\.?/"), F.regexp_replace(plain, usual, "page|$1|$2|$3")).otherwise(slow)
 
 
 def is_preprocessed(col: Column | str) -> Column:

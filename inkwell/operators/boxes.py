@@ -12,7 +12,7 @@ from inkwell.functions.paths import page_image_key
 from inkwell.runtime import checkpoint
 
 #: Side of a grid cell for boxes of up to twice that size; larger boxes use cells doubled as often as they need.
-CELL = 128
+CELL = 256
 #: The limits of a near overlap: share of the smaller side on each axis, and how often the smaller side goes into the larger.
 OVERLAP, RATIO = 0.8, 1.6
 
@@ -44,14 +44,16 @@ def overlap_pairs(boxes: DataFrame, overlap: float = OVERLAP, ratio: float = RAT
     cx, cy, long_side = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2, F.greatest("w", "h")
     cell = lambda v, c: F.floor(v / (F.lit(float(CELL)) * F.pow(F.lit(2.0), c))).cast("int")
     own = _size_class(long_side)
-    home = boxes.select("k1", "k2", own.alias("cls"), cell(cx, own).alias("gx"), cell(cy, own).alias("gy"), "x", "y", "w", "h", "rep")
+    cell_key = lambda c: F.xxhash64("k1", c, "gx", "gy").alias("cell")
+    rest = ["k2", "x", "y", "w", "h", "rep"]
+    home = boxes.withColumns({"gx": cell(cx, own), "gy": cell(cy, own)}).select(cell_key(own), *rest)
     lowest, highest = _size_class(long_side / ratio), _size_class(long_side * ratio)
     reach = ratio / 2 + 0.5 - overlap  # centres of near-coinciding boxes, in sides of the smaller
     span = lambda v, side, c: F.explode(F.sequence(cell(v - F.col(side) * reach, c), cell(v + F.col(side) * reach, c)))
     asks = boxes.withColumn("cls", F.explode(F.sequence(lowest, highest))).withColumn("gx", span(cx, "w", F.col("cls"))).withColumn("gy", span(cy, "h", F.col("cls")))
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("k1", "k2", "cls", "gx", "gy")]
-    met = home.alias("a").join(asks.alias("b"), on).where((F.col("a.rep") < F.col("b.rep")) & near_overlap("a", "b", overlap, ratio))
-    return met.select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
+    met = home.alias("a").join(asks.select(cell_key(F.col("cls")), *rest).alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.k2") == F.col("b.k2")))
+    near = met.where((F.col("a.rep") < F.col("b.rep")) & near_overlap("a", "b", overlap, ratio))
+    return near.select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
 
 
 def page_boxes(matched: DataFrame, id_col: str = "record_id") -> DataFrame:
@@ -68,16 +70,6 @@ def page_boxes(matched: DataFrame, id_col: str = "record_id") -> DataFrame:
     )
 
 
-def overlap_links(rows: DataFrame, overlap: float = OVERLAP, ratio: float = RATIO) -> DataFrame:
-    """(src, dst) links that join every group of near-coinciding rows of ``page_boxes``: pairs of distinct boxes, and each copy
-    with the first row of its box."""
-    box = ["k1", "k2", "x", "y", "w", "h"]
-    distinct = rows.groupBy(*box).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    pairs = overlap_pairs(distinct.drop("copies"), overlap, ratio)
-    copies = rows.join(distinct.where("copies > 1").drop("copies"), box).where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
-    return pairs.unionAll(copies)
-
-
 def linked_groups(links: DataFrame) -> DataFrame:
     """(node, first): every node of a link with the smallest node it is linked to, by labels that travel along links and jump
     over each other's labels; each round is written to the shared folder. Null ends are left out; no link gives no row."""

@@ -33,3 +33,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: cuts the lineage like ``checkpoint``, in a compact form for rows
+    that several branches of a plan read."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
