@@ -1,7 +1,7 @@
 """Consolidating pairwise matches into groups (problem 2): near-overlapping boxes and connected components.
 
-Pairs are found on an equi key plus a grid cell, so that no key is one task; identical boxes are put together first and
-never expanded into pairs. Components come from union-find within edge partitions: blocks of bounded size keep a spanning
+One global sort by key, box and id puts identical boxes together without expanding them into pairs and drops rows that are
+alone with their key; pairs of the others are found on the key plus a grid cell, so that no key is one task. Components come from union-find within edge partitions: blocks of bounded size keep a spanning
 forest each, and forests are merged level by level over the roots alone, until no node has two roots."""
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.paths import page_image_key
-from inkwell.runtime import checkpoint
+from inkwell.operators.boxes import overlap_pairs, page_boxes
+from inkwell.runtime import checkpoint, materialise
 
 #: Edges that one union-find holds at once; a larger partition is worked off in blocks of this size.
 BLOCK_EDGES = 1_000_000
@@ -98,71 +98,85 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return found.select("node", F.col("up").alias("component"))
 
 
-def near_overlap(a: str, b: str, overlap: float = 0.8, ratio: float = 1.6) -> Column:
-    """Do the boxes ``a.(x, y, w, h)`` and ``b....`` overlap by ``overlap`` of the smaller side on both axes, with sides
-    that differ by ``ratio`` at most? In whole thousandths, so that the limits themselves are exact."""
-
-    def axis(p: str, w: str) -> Column:
-        x1, x2, w1, w2 = (F.col(f"{t}.{c}") for c in (p, w) for t in (a, b))
-        common = F.least(x1 + w1, x2 + w2) - F.greatest(x1, x2)
-        small, large = F.least(w1, w2), F.greatest(w1, w2)
-        return (common * 1000 >= small * round(overlap * 1000)) & (large * 1000 <= small * round(ratio * 1000))
-
-    return axis("x", "w") & axis("y", "h")
-
-
-#: Side of a grid cell for boxes of up to twice that size; larger boxes use cells doubled as often as they need.
-CELL = 128
-
-
-def _size_class(side: Column) -> Column:
-    return F.greatest(F.lit(0), F.ceil(F.log2(side / F.lit(2.0 * CELL)))).cast("int")
-
-
-def overlap_pairs(boxes: DataFrame, overlap: float = 0.8, ratio: float = 1.6) -> DataFrame:
-    """(src, dst) for the pairs of ``boxes`` (k1, k2, x, y, w, h, rep: distinct boxes per key, whole numbers) that nearly
-    coincide, src < dst. Each box has one home cell by its centre and asks the cells within half its side (nearly
-    coinciding boxes are no farther apart, for overlaps of 0.8 and ratios up to 1.6), in the grids of its own and, near the
-    border, of the next size class; the cells are part of the join key, so that a hot page spreads over many tasks."""
-    if overlap < 0.5:
-        raise ValueError("the grid needs an overlap of at least 0.5")
-    cx, cy, long_side = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2, F.greatest("w", "h")
-    cell = lambda v, c: F.floor(v / (F.lit(float(CELL)) * F.pow(F.lit(2.0), c))).cast("long")
-    own = _size_class(long_side)
-    home = boxes.select("k1", "k2", own.alias("cls"), cell(cx, own).alias("gx"), cell(cy, own).alias("gy"), "x", "y", "w", "h", "rep")
-    lowest, highest = _size_class(long_side / ratio), _size_class(long_side * ratio)
-    reach = ratio / 2 + 0.5 - overlap  # centres of near-coinciding boxes, in sides of the smaller
-    asks = (
-        boxes.withColumn("cls", F.explode(F.sequence(lowest, highest)))
-        .withColumn("gx", F.explode(F.sequence(cell(cx - F.col("w") * reach, F.col("cls")), cell(cx + F.col("w") * reach, F.col("cls")))))
-        .withColumn("gy", F.explode(F.sequence(cell(cy - F.col("h") * reach, F.col("cls")), cell(cy + F.col("h") * reach, F.col("cls")))))
-    )
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("k1", "k2", "cls", "gx", "gy")]
-    met = home.alias("a").join(asks.alias("b"), on).where((F.col("a.rep") < F.col("b.rep")) & near_overlap("a", "b", overlap, ratio))
-    return met.select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
-
-
-def page_boxes(matched: DataFrame, id_col: str = "record_id") -> DataFrame:
-    """The rows of a matched table that can match at all: id, a 128-bit fingerprint (k1, k2) of book, character, volume,
-    page and page image, and the box. Rows without source_image, volume, page, book, character or box, or with a side not
-    above 0, are left out."""
-    b = F.col("bbox")
-    key = [F.col("book"), F.col("std_char"), F.col("volume"), F.col("page"), F.col("__image")]
-    usable = "book is not null and std_char is not null and volume is not null and page is not null and x is not null and y is not null and w > 0 and h > 0"
-    return (
-        matched.select(F.col(id_col).alias("id"), "book", "std_char", "volume", "page", *[b[n].cast("long").alias(c) for n, c in (("x", "x"), ("y", "y"), ("width", "w"), ("height", "h"))], page_image_key("source_image").alias("__image"))
-        .where(usable + " and __image is not null and id is not null")
-        .select("id", F.xxhash64(*key).alias("k1"), F.xxhash64(F.lit("inkwell"), *reversed(key)).alias("k2"), "x", "y", "w", "h")
-    )
+def _runs(change: np.ndarray) -> np.ndarray:
+    return np.cumsum(change) - 1
+
+
+def _linked_boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams over a partition sorted by key, box and id: each row with the first row of its box here (``rep``) and whether
+    its key has another box, here or perhaps in the partition before or behind (``pair``). Rows alone with their key are
+    dropped: nothing can match them. A row that may yet be alone waits for the next batch."""
+    names = ["k1", "k2", "x", "y", "w", "h", "id"]
+    waiting: pa.RecordBatch | None = None
+    rep: int | None = None
+    last: tuple | None = None  # the last row passed on
+    first_key: tuple | None = None
+    boxes_of_last = 0
+
+    def emit(b: pa.RecordBatch, ends: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal rep, last, first_key, boxes_of_last
+        c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        n = b.num_rows
+        new_key = np.ones(n, bool)
+        new_key[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])
+        new_box = new_key.copy()
+        for v in c[2:6]:
+            new_box[1:] |= v[1:] != v[:-1]
+        head = tuple(int(v[0]) for v in c[:6])
+        same_key = last is not None and head[:2] == last[:2]
+        same_box = last is not None and head == last
+        new_box[0] = not same_box
+        key, box = _runs(new_key), np.cumsum(new_box)
+        starts = np.flatnonzero(new_box)
+        ids = c[6]
+        reps = np.concatenate([[rep if rep is not None else 0], ids[starts]])[box]
+        rows_of, boxes_of = np.bincount(key), np.bincount(key, weights=new_box).astype(np.int64)
+        if same_key:
+            rows_of[0] += 1
+            boxes_of[0] += boxes_of_last
+        if first_key is None:
+            first_key = head[:2]
+        edge = np.zeros(len(rows_of), bool)
+        edge[0] = head[:2] == first_key
+        edge[-1] |= ends
+        keep = (rows_of > 1) | edge
+        pair = (boxes_of > 1) | edge
+        # a key that goes on in the next batch may get more boxes there
+        pair[-1] = True
+        last = tuple(int(v[-1]) for v in c[:6])
+        rep = int(reps[-1])
+        boxes_of_last = int(boxes_of[-1])
+        out = pa.RecordBatch.from_arrays([*b.columns, pa.array(reps.astype(np.int64)), pa.array(pair[key])], names=[*names, "rep", "pair"])
+        yield out.filter(pa.array(keep[key]))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if waiting is not None:
+            b = pa.Table.from_batches([waiting, b]).combine_chunks().to_batches()[0]
+            waiting = None
+        k1, k2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        n = b.num_rows
+        continues = n == 1 and last is not None and (int(k1[0]), int(k2[0])) == last[:2]
+        alone = not continues and (n == 1 or k1[-1] != k1[-2] or k2[-1] != k2[-2])
+        if alone:
+            waiting = b.slice(n - 1)
+            b = b.slice(0, n - 1)
+        if b.num_rows:
+            yield from emit(b, False)
+    if waiting is not None:
+        yield from emit(waiting, True)
 
 
 def duplicate_groups(matched: DataFrame, id_col: str = "record_id", overlap: float = 0.8, ratio: float = 1.6) -> DataFrame:
     """(record_id, group_id) of every row that nearly coincides, directly or through others, with another row on the same
     page image; group_id is the smallest record_id of the group. Ids have to be unique. See ``page_boxes`` for the rows that
     match nothing; an empty table gives no row, further columns are ignored."""
-    rows = page_boxes(matched, id_col)
-    box = ["k1", "k2", "x", "y", "w", "h"]
-    distinct = rows.groupBy(*box).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    pairs = overlap_pairs(distinct.drop("copies"), overlap, ratio)
-    copies = rows.join(distinct.where("copies > 1").drop("copies"), box).where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
+    by = ["k1", "k2", "x", "y", "w", "h", "id"]
+    rows = page_boxes(matched, id_col).select(*by)
+    parts = int(matched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    linked = materialise(ordered.mapInArrow(_linked_boxes, ", ".join(f"{c} bigint" for c in by) + ", rep bigint, pair boolean"))
+    pairs = overlap_pairs(linked.where("id = rep and pair"), overlap, ratio)
+    copies = linked.where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
     return connected_components(pairs.unionAll(copies)).select(F.col("node").alias(id_col), F.col("component").alias("group_id"))
