@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Bytes of text whose distinct words are encoded together; a longer text is a slice of its own.
@@ -242,7 +243,7 @@ class Words:
 
 def slices(text: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(from, to) of rows so that each slice holds about ``most`` bytes of text, at least one row."""
-    lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False), np.int64)
+    lens = np.asarray(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), np.int64)
     at, held = 0, 0
     for i, k in enumerate(lens.tolist()):
         if held and held + k > most:
@@ -255,7 +256,7 @@ def slices(text: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
 
 def text_bytes(text: pa.Array) -> tuple[bytes, np.ndarray]:
     """The UTF-8 bytes of the texts of an array end to end and the offset of each (one more than rows); null is empty."""
-    filled = pa.compute.fill_null(text, "").cast(pa.large_string())
+    filled = pc.fill_null(text, "").cast(pa.large_string())
     offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset :][: len(filled) + 1]
     data = filled.buffers()[2]
     raw = data.to_pybytes()[offsets[0] : offsets[-1]] if data is not None else b""
@@ -296,7 +297,7 @@ def _encoder(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]],
         for b in batches:
             for i, j in slices(b.column(1)):
                 ids = encode_array(b.column(1).slice(i, j - i), vocab)
-                out = ids if with_ids else pa.compute.list_value_length(ids).cast(pa.int64())
+                out = ids if with_ids else pc.list_value_length(ids).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), out], names=["id", "out"])
 
     return run
