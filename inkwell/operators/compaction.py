@@ -106,6 +106,9 @@ def consolidate(rows: DataFrame, file: str, size: Column, identity: list[str], t
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
     system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    published = jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest")
+    if system.exists(published):
+        raise RuntimeError(f"{folder} has a manifest already")
     system.mkdirs(root)
     named = F.coalesce(F.col(file).cast("string"), F.lit(""))
     sizes = rows.groupBy(named.alias("file")).agg(F.sum(size).cast("bigint").alias("bytes"))
@@ -121,7 +124,7 @@ def consolidate(rows: DataFrame, file: str, size: Column, identity: list[str], t
     want = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(mark.cast("decimal(38,0)")), F.lit(0))).head()
     if (int(have[0]), int(have[1])) != (int(want[0]), int(want[1])):
         raise RuntimeError(f"compaction wrote {have[0]} rows of {want[0]}, or other rows; nothing is published")
-    if not system.rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest")):
+    if system.exists(published) or not system.rename(jvm.org.apache.hadoop.fs.Path(draft), published):
         raise RuntimeError(f"{folder} has a manifest already")
     return folder, spark.read.parquet(f"{folder}/_manifest")
 
