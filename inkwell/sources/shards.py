@@ -23,7 +23,8 @@ IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tiff", "tif")
 
 
 def _json(spark: SparkSession, path: str, schema: str, glob: str) -> DataFrame:
-    rows = spark.read.schema(schema + ", _broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(path)
+    """One row per file with its path; a file that can't be parsed has null in all other columns."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(path)
     return rows.withColumn("file", F.input_file_name())
 
 
@@ -41,7 +42,7 @@ def _stem(file: Column) -> Column:
 def matched_instances(spark: SparkSession, path: str) -> DataFrame:
     """Matched shards in any of their three layouts (data, chars, books by name) as rows (book, char, ord, instance); the book of
     the first two is the file's stem. A later layout counts only where the ones before it are missing."""
-    raw = _json(spark, path, MATCHED, "*.json").where("_broken is null")
+    raw = _json(spark, path, MATCHED, "*.json")
     own = F.coalesce("data", "chars")
     single = raw.where(own.isNotNull()).select(_stem(F.col("file")).alias("book"), own.alias("chars"))
     many = raw.where(own.isNull()).select(F.explode("books").alias("book", "b")).select("book", F.col("b.chars").alias("chars"))
@@ -60,12 +61,13 @@ def review_items(spark: SparkSession, path: str, backups: str | None = None) ->
         return items.where("i is not null").select("book", "char", "instance_id", "i.filter", "i.review")
 
     main = _json(spark, path, REVIEW, "*.json").withColumn("book", _stem(F.col("file")))
-    good = main.where("_broken is null")
+    readable = "chars is not null or books is not null"
+    good = main.where(readable)
     if backups is None:
         return rows(good)
-    saved = _json(spark, backups, REVIEW, "*.json").where("_broken is null")
+    saved = _json(spark, backups, REVIEW, "*.json").where(readable)
     saved = saved.withColumn("book", F.element_at(F.split(F.try_url_decode("file"), "/"), -2))
-    lost = main.where("_broken is not null").select("book").join(good.select("book"), "book", "left_anti")
+    lost = main.select("book").join(good.select("book"), "book", "left_anti")
     newest = latest(saved.join(lost, "book", "left_semi"), ["book"], [F.col("file")])
     return rows(good).unionByName(rows(newest.select(*good.columns)))
 
