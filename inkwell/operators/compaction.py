@@ -112,10 +112,10 @@ def consolidate(rows: DataFrame, file: str, size: Column, identity: list[str], t
     system.mkdirs(root)
     named = F.coalesce(F.col(file).cast("string"), F.lit(""))
     sizes = rows.groupBy(named.alias("file")).agg(F.sum(size).cast("bigint").alias("bytes"))
-    plan = schedule(sizes, target_bytes)
+    plan = schedule(sizes, target_bytes).toDF("__of", "__chunks", "__groups")
     mark = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in identity]), 20)
-    spread = F.element_at("groups", (F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in identity]), F.col("chunks")) + 1).cast("int"))
-    dealt = rows.withColumn("__file", named).join(plan, F.col("__file") == plan["file"]).select(*[rows[f"`{c}`"] for c in rows.columns], spread.alias("__grp"), mark.alias("__mark"))
+    spread = F.element_at("__groups", (F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in identity]), F.col("__chunks")) + 1).cast("int"))
+    dealt = rows.withColumn("__file", named).join(plan, F.col("__file") == F.col("__of")).select(*[F.col(f"`{c}`") for c in rows.columns], spread.alias("__grp"), mark.alias("__mark"))
     written = dealt.repartition("__grp").sortWithinPartitions("__grp").mapInArrow(_writer(folder), "grp bigint, file string, rows bigint, bytes bigint, mark bigint")
     draft = f"{folder}/_manifest-{uuid.uuid4().hex}"
     written.write.parquet(draft)
@@ -133,8 +133,7 @@ def read_consolidated(spark: SparkSession, folder: str, schema: str) -> DataFram
     """The rows of the files that the manifest of ``folder`` lists, and of no others."""
     listed = spark.read.parquet(f"{folder}/_manifest").select("file")
     rows = spark.read.schema(schema).option("pathGlobFilter", "part-*.parquet").parquet(folder)
-    name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
-    return rows.withColumn("__name", name).join(F.broadcast(listed), F.col("__name") == listed["file"], "left_semi").drop("__name")
+    return rows.withColumn("__name", F.col("_metadata.file_name")).join(listed, F.col("__name") == listed["file"], "left_semi").drop("__name")
 
 
 def image_keys(segmented: str = "segmented_path", confirmed: str = "confirmed_path") -> Column:

@@ -82,3 +82,74 @@ def ink_box(pixels: DataFrame, level: int, pad: int, width: int, height: int) ->
     b = pixels.where(F.col("gray") <= level).groupBy("id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     x, y = F.greatest(F.lit(0), F.col("x0") - pad), F.greatest(F.lit(0), F.col("y0") - pad)
     return b.select("id", x.alias("x"), y.alias("y"), (F.least(F.lit(width - 1), F.col("x1") + pad) - x + 1).alias("w"), (F.least(F.lit(height - 1), F.col("y1") + pad) - y + 1).alias("h"))
+
+
+def centre_crop(pixels: DataFrame, width: int, height: int, side: int) -> DataFrame:
+    """The pixels within a box of ``side`` around the middle (w // 2, h // 2), moved to its origin; what the box has beyond the raster
+    is white and has no row."""
+    x0, y0 = width // 2 - side // 2, height // 2 - side // 2
+    inside = (F.col("x") >= x0) & (F.col("x") < x0 + side) & (F.col("y") >= y0) & (F.col("y") < y0 + side)
+    return pixels.where(inside).select("id", (F.col("x") - x0).alias("x"), (F.col("y") - y0).alias("y"), "gray")
+
+
+def border_cuts(pixels: DataFrame, dark: Column, width: int, reach: float = 0.4, share: float = 0.35, least: int = 1, most: int = 2, drop: float = 0.4) -> DataFrame:
+    """(id, left, right): columns to cut off on either side: a run of ``least`` to ``most`` columns within ``reach`` of the edge whose
+    coverage is at least ``share`` of the largest, if the column behind it is lower by ``drop`` of the largest. The run
+    nearest to the edge counts; its cut ends behind it. 0 where there is none."""
+    cov = projection(pixels, "x", dark)
+    top = cov.groupBy("id").agg(F.max("coverage").alias("top"))
+    c = cov.join(top, "id")
+    high = c.where((F.col("coverage") >= share * F.col("top")) & (F.col("top") > 0))
+    runs = high.withColumn("g", F.col("x") - F.row_number().over(Window.partitionBy("id").orderBy("x"))).groupBy("id", "g", "top").agg(F.min("x").alias("start"), F.max("x").alias("stop"), F.max("coverage").alias("peak"))
+    runs = runs.where((F.col("stop") - F.col("start") + 1).between(least, most))
+    limit = int(width * reach)
+    sides = {}
+    for side, near, behind in (("left", F.col("stop") < limit, F.col("stop") + 1), ("right", F.col("start") >= width - limit, F.col("start") - 1)):
+        next_to = runs.where(near).withColumn("at", behind).join(cov.select("id", F.col("x").alias("at"), F.col("coverage").alias("after")), ["id", "at"], "left")
+        sharp = next_to.where(F.col("peak") - F.coalesce("after", F.lit(0.0)) >= drop * F.col("top"))
+        cut = F.min(F.col("stop") + 1) if side == "left" else F.min(width - F.col("start"))
+        sides[side] = sharp.groupBy("id").agg(cut.cast("int").alias(side))
+    both = top.select("id").join(sides["left"], "id", "left").join(sides["right"], "id", "left")
+    return both.select("id", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right"))
+
+
+def frame_pixels(pixels: DataFrame, dark: Column, width: int, height: int, length: float = 0.7, margin: int = 1, most: float = 0.5) -> DataFrame:
+    """(id, x, y) of the pixels of frames: rows and columns near an edge with a dark run of ``length`` of the raster, where such a row
+    and such a column cross. A raster of whose ink more than ``most`` would go keeps all."""
+    ink = pixels.where(dark).select("id", "x", "y")
+
+    def lines(along: str, across: str, size: int, extent: int) -> DataFrame:
+        r = ink.withColumn("g", F.col(along) - F.row_number().over(Window.partitionBy("id", across).orderBy(along))).groupBy("id", across, "g").agg(F.min(along).alias("a"), F.max(along).alias("b"))
+        long = r.where((F.col("b") - F.col("a") + 1 >= size * length) & ((F.col(across) <= margin) | (F.col(across) >= extent - 1 - margin)))
+        return long.select("id", across, F.col("a").alias(f"{along}0"), F.col("b").alias(f"{along}1"))
+
+    rows, cols = lines("x", "y", width, height), lines("y", "x", height, width)
+    cross = rows.join(cols, "id").where((F.col("x").between(F.col("x0"), F.col("x1"))) & (F.col("y").between(F.col("y0"), F.col("y1"))))
+    across = cross.select("id", "y", F.explode(F.sequence("x0", "x1")).alias("x")).select("id", "x", "y")
+    down = cross.select("id", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+    frame = across.unionByName(down).distinct()
+    share = ink.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(frame.groupBy("id").agg(F.count(F.lit(1)).alias("f")), "id").where(F.col("f") <= most * F.col("n"))
+    return frame.join(share.select("id"), "id", "left_semi")
+
+
+def noise_scores(pixels: DataFrame, width: int, dark: int, light: int) -> DataFrame:
+    """(id, label, area, aspect, near, spread, score, noise) for the components of mid-gray pixels (above ``dark``, below
+    ``light``): the box's aspect, the mean distance of its pixels to the nearest dark stroke (largest coordinate difference) and
+    that distance's variation by its mean. The score is 0.4 of how compact it is (aspect from 5 down to 2) and 0.6 of how far and
+    how unevenly it lies (1.5 to 2 pixels, variation 0.2 to 0.25, half each); from 0.4 on it is noise. Without any stroke the
+    distance is the raster's side."""
+    mid = (F.col("gray") > dark) & (F.col("gray") < light)
+    number = (F.col("id") * (width * width) + F.col("y") * width + F.col("x")).cast("bigint")
+    grey = pixels.where(mid).select("id", "x", "y", number.alias("n"))
+    strokes = pixels.where(F.col("gray") <= dark).groupBy("id").agg(F.collect_list(F.struct("x", "y")).alias("s"))
+    away = F.array_min(F.transform("s", lambda p: F.greatest(F.abs(p["x"] - F.col("x")), F.abs(p["y"] - F.col("y")))))
+    far = grey.join(strokes, "id", "left").select("id", "x", "y", "n", F.coalesce(away, F.lit(width)).alias("d"))
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])
+    ask = grey.select("id", F.col("n").alias("src"), "x", "y", F.explode(steps).alias("s")).select("id", "src", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
+    links = linked_groups(ask.join(grey, ["id", "x", "y"]).select("src", F.col("n").alias("dst")))
+    named = far.join(links, far["n"] == links["node"], "left").withColumn("label", F.coalesce("first", "n"))
+    w, h = F.max("x") - F.min("x") + 1, F.max("y") - F.min("y") + 1
+    parts = named.groupBy("id", "label").agg(F.count(F.lit(1)).alias("area"), (F.greatest(w, h) / F.least(w, h)).alias("aspect"), F.avg("d").alias("near"), (F.stddev_pop("d") / (F.avg("d") + 1)).alias("spread"))
+    ramp = lambda v, lo, hi: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo)))
+    score = 0.4 * (1 - ramp(F.col("aspect"), 2.0, 5.0)) + 0.6 * (0.5 * ramp(F.col("near"), 1.5, 2.0) + 0.5 * ramp(F.col("spread"), 0.2, 0.25))
+    return parts.withColumn("score", F.round(score, 9)).withColumn("noise", F.col("score") >= 0.4)

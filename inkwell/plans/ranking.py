@@ -10,7 +10,7 @@ from inkwell.operators import boxes as B
 from inkwell.operators import review_state as RS
 from inkwell.plans.registry import Registry
 from inkwell.plans.relational import _IID, DROPPED, KEY, NEAR, NORMAL, _keyed, _page_boxes
-from inkwell.runtime import table
+from inkwell.runtime import small, table
 from inkwell.sources import views as V
 from inkwell.sources.views import with_views
 
@@ -29,7 +29,7 @@ def avg_rank(spark, d):
     counts = g.groupBy("book", "w").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(Window.partitionBy("book").orderBy("w"))
     ranks = counts.select("book", "w", (upto - F.col("c") + 1 + (F.col("c") - 1) / 2.0).alias("rk"))
-    return g.join(F.broadcast(ranks), ["book", "w"]).select("book", "instance_id", "rk")
+    return g.join(ranks, ["book", "w"]).select("book", "instance_id", "rk")
 
 
 @query(with_views(V.INSTANCES) + f"select book, ch, record_id from (select *, row_number() over (partition by book, ch order by {_PRE} desc, normalized_bbox is not null desc, conf desc, idx asc nulls last, record_id) as k from instances) where k = 1")
@@ -147,7 +147,7 @@ def chronological(spark, d):
 @query(with_views(V.INSTANCES, V.DICTIONARY) + ", f as (select ch, min(ord) as ord from dictionary group by ch), c as (select ch, count(*) as n from instances group by ch) select ch, n, coalesce(ord, 1000000000) as ord from c left join f using (ch)")
 def dict_order(spark, d):
     first = V.dictionary(spark, d).groupBy("ch").agg(F.min("ord").alias("ord"))
-    return V.instances(spark, d).groupBy("ch").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(first), "ch", "left").select("ch", "n", F.coalesce("ord", F.lit(1_000_000_000)).alias("ord"))
+    return V.instances(spark, d).groupBy("ch").agg(F.count(F.lit(1)).alias("n")).join(small(first, V.dictionary(spark, d)), "ch", "left").select("ch", "n", F.coalesce("ord", F.lit(1_000_000_000)).alias("ord"))
 
 
 @query(with_views(V.BOOKS) + ", o as (select book, region, list_position(['神泉路', '三江口路', '龙谷路'], region) as k from books) select book, region, cast(k as int) as k from o where k > 0")

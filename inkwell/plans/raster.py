@@ -94,3 +94,31 @@ def component_filter(spark, d):
 def projection_trim(spark, d):
     cov = K.projection(V.pixels(spark, d), "x", F.col("gray") < DARK)
     return K.projection_trim(cov, "x", 8, 0.3, 0.2, 0.3)
+
+
+@query(with_views(V.PIXELS) + ", c as (select id, count(*) filter (gray < 160) as black from pixels where x between 1 and 6 and y between 1 and 6 group by id) select id, black, round(case when black < 36 then black / (36 - black) end, 9) as ink from c")
+def centre_crop_ink(spark, d):
+    """Ink by white within a fixed box of six around the middle."""
+    c = K.centre_crop(V.pixels(spark, d), 8, 8, 6).groupBy("id").agg(F.count_if(F.col("gray") < 160).alias("black"))
+    return c.select("id", "black", F.round(F.try_divide(F.col("black"), F.nullif(36 - F.col("black"), F.lit(0))), 9).alias("ink"))
+
+
+@query(with_views(V.PIXELS) + f""", c as (select id, x, count(*) filter (gray < {DARK}) / count(*) as cov from pixels group by all), t as (select *, max(cov) over (partition by id) as top from c), o as (select id, x, cov, top, x - row_number() over (partition by id order by x) as g from t where cov >= 0.35 * top and top > 0),
+  r as (select id, top, min(x) as s, max(x) as e, max(cov) as peak from o group by id, top, g having max(x) - min(x) + 1 between 1 and 2),
+  l as (select r.id, min(e + 1) as cut from r left join c on c.id = r.id and c.x = r.e + 1 where e < 3 and peak - coalesce(cov, 0) >= 0.4 * top group by r.id), q as (select r.id, min(8 - s) as cut from r left join c on c.id = r.id and c.x = r.s - 1 where s >= 5 and peak - coalesce(cov, 0) >= 0.4 * top group by r.id)
+  select i.id, cast(coalesce(l.cut, 0) as int) as "left", cast(coalesce(q.cut, 0) as int) as "right" from (select distinct id from pixels) i left join l using (id) left join q using (id)""")
+def border_trim(spark, d):
+    return K.border_cuts(V.pixels(spark, d), F.col("gray") < DARK, 8)
+
+
+@query(with_views(V.PIXELS) + """, ink as (select id, x, y from pixels where gray < 150), hr as (select id, y, min(x) as x0, max(x) as x1 from (select *, x - row_number() over (partition by id, y order by x) as g from ink) group by id, y, g having max(x) - min(x) + 1 >= 4 and (y <= 1 or y >= 6)),
+  vr as (select id, x, min(y) as y0, max(y) as y1 from (select *, y - row_number() over (partition by id, x order by y) as g from ink) group by id, x, g having max(y) - min(y) + 1 >= 4 and (x <= 1 or x >= 6)), cr as (select * from hr join vr using (id) where x between x0 and x1 and y between y0 and y1),
+  f as (select id, unnest(range(x0, x1 + 1)) as x, y from cr union select id, x, unnest(range(y0, y1 + 1)) as y from cr), n as (select id, count(*) as n from ink group by id), k as (select id, count(*) as f from f group by id) select id, cast(x as int) as x, cast(y as int) as y from f join n using (id) join k using (id) where k.f <= 0.5 * n.n""")
+def frame_removal(spark, d):
+    """Pixels of frames (runs of half the raster near an edge that cross)."""
+    return K.frame_pixels(V.pixels(spark, d), F.col("gray") < 150, 8, 8, 0.5)
+
+
+@query()
+def noise_removal(spark, d):
+    return K.noise_scores(V.pixels(spark, d), 8, 110, 125).select("id", "label", "area", "aspect", "score", "noise")

@@ -9,7 +9,7 @@ from inkwell.operators import boxes as B
 from inkwell.operators import review_state as RS
 from inkwell.plans.registry import Registry
 from inkwell.plans.scalars import _REVIEW, _STATE
-from inkwell.runtime import table
+from inkwell.runtime import small, table
 from inkwell.sources import views as V
 from inkwell.sources.views import with_views
 
@@ -134,7 +134,7 @@ def validate_format(spark, d):
 def dict_match(spark, d):
     """Characters of the dictionary with their last method; the dictionary has a few hundred entries and is broadcast."""
     last = V.dictionary(spark, d).groupBy("ch").agg(F.max_by("method_name", "ord").alias("method"))
-    return V.instances(spark, d).select("record_id", "ch").join(F.broadcast(last), "ch").select("record_id", "ch", "method")
+    return V.instances(spark, d).select("record_id", "ch").join(small(last, V.dictionary(spark, d)), "ch").select("record_id", "ch", "method")
 
 
 @query(with_views(V.INSTANCES, V.BOOKS) + ", c as (select book, count(*) as n from instances group by book) select c.book, n, title, coalesce(b.year, try_cast(split_part(c.book, '_', 2) as int)) as year, coalesce(region, '（空）') as region from c left join books b using (book)")
@@ -174,7 +174,7 @@ def four_way_state(spark, d):
 def methods_listing(spark, d):
     """Characters of every book by method, in the dictionary's order; one under two methods counts for both."""
     present = V.instances(spark, d).select("book", "ch").distinct()
-    listed = present.join(F.broadcast(V.dictionary(spark, d)), "ch").groupBy("book", "method_id").agg(F.array_sort(F.collect_list(F.struct("ord", "ch"))).alias("l"))
+    listed = present.join(small(V.dictionary(spark, d)), "ch").groupBy("book", "method_id").agg(F.array_sort(F.collect_list(F.struct("ord", "ch"))).alias("l"))
     return listed.select("book", "method_id", F.array_join(F.transform("l", lambda x: x["ch"]), "").alias("chars"))
 
 
@@ -369,7 +369,7 @@ def clipping_rate(spark, d):
     """Share of glyphs larger than the book's box; glyphs of the blank character (0 here) count below the line only."""
     g = V.glyphs(spark, d)
     lb = g.groupBy("book").agg(F.ceil(F.expr("percentile_disc(0.9) within group (order by greatest(w, h))") * 1.05).alias("lb"))
-    return g.join(F.broadcast(lb), "book").groupBy("book").agg(F.round(F.count_if((F.col("ch") != 0) & ((F.col("w") > F.col("lb")) | (F.col("h") > F.col("lb")))) / F.greatest(F.lit(1), F.count(F.lit(1))), 9).alias("rate"))
+    return g.join(lb, "book").groupBy("book").agg(F.round(F.count_if((F.col("ch") != 0) & ((F.col("w") > F.col("lb")) | (F.col("h") > F.col("lb")))) / F.greatest(F.lit(1), F.count(F.lit(1))), 9).alias("rate"))
 
 
 def _period(year):

@@ -9,7 +9,7 @@ from inkwell.functions import scalars as S
 from inkwell.operators import review_state as RS
 from inkwell.plans.registry import Registry
 from inkwell.plans.relational import _IID, _LAST_ENTRY, _LAST_REVIEW, CHAR_MEANS, DROPPED, KEY, NORMAL, _char_means, _keyed, _last
-from inkwell.runtime import scratch_path, table
+from inkwell.runtime import scratch_path, small, table
 from inkwell.sources import shards
 from inkwell.sources import views as V
 from inkwell.sources.views import with_views
@@ -157,7 +157,7 @@ def text_dictionary_counts(spark, d):
     """How often the dictionary's characters occur in the mails, and in how many: the characters are exploded and probe the
     broadcast dictionary before anything is shuffled."""
     chars = table(spark, d, "documents").where("text <> ''").select("doc_id", F.explode(F.split("text", "")).alias("ch"))
-    known = F.broadcast(V.dictionary(spark, d).select("ch").distinct())
+    known = small(V.dictionary(spark, d).select("ch").distinct())
     return chars.join(known, "ch", "left_semi").groupBy("ch", "doc_id").agg(F.count(F.lit(1)).alias("k")).groupBy("ch").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 

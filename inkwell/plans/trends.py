@@ -34,7 +34,7 @@ def trend_mu_sigma_common_trimmed(spark, d):
     """The flagship: per book the trimmed mean and deviation of the aspect ratio over the characters that all books share, and the
     rank correlation of the means with the order of books."""
     aspect = V.glyphs(spark, d).groupBy("book", "ch").agg(F.avg(F.col("h") / F.greatest(F.lit(1), "w")).alias("v"))
-    kept = aspect.join(F.broadcast(common(aspect, "book", "ch")), "ch", "left_semi")
+    kept = aspect.join(common(aspect, "book", "ch"), "ch", "left_semi")
     s = trimmed(kept, ["book"], "v").groupBy("book").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sigma"), F.count(F.lit(1)).alias("n"))
     rho = T.spearman(s.select(F.lit(1).alias("g"), F.col("book").alias("x"), F.round("mu", 9).alias("y")), ["g"]).select("g", F.round("rho", 6).alias("rho"))
     return s.withColumn("g", F.lit(1)).join(F.broadcast(rho), "g").select("book", "n", F.round("mu", 8).alias("mu"), F.round("sigma", 8).alias("sigma"), "rho")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,13 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a side of a join is broadcast.
+SMALL_ROWS = 50_000
+
+
+def small(df: DataFrame, counted: DataFrame | None = None, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it (or ``counted``, a cheaper frame that is no smaller) has at most ``most`` rows; otherwise as
+    it is, so that the join shuffles. The count stops at one row more."""
+    return F.broadcast(df) if (df if counted is None else counted).limit(most + 1).count() <= most else df
