@@ -70,3 +70,11 @@ def latest(log: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str = "__rn") -> DataFrame:
     """The first ``n`` rows of each key with their rank; Spark limits the groups before it shuffles them."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+
+
+def upsert(current: DataFrame, changes: DataFrame, keys: list[str], insert: bool = True) -> DataFrame:
+    """``current`` with the rows of ``changes`` (same columns, one row per key) in place of those with the same key; rows of new keys
+    are added only with ``insert``. Null keys match nothing."""
+    new = changes.select(*current.columns)
+    kept = current.join(new.select(*keys), keys, "left_anti")
+    return kept.unionByName(new if insert else new.join(current.select(*keys).distinct(), keys, "left_semi"))

@@ -110,3 +110,21 @@ def test_stream_windows_equal_the_batch(spark, tmp_path):
     q.awaitTermination()
     want = decisions.windowed_counts(spark.read.parquet(src)).collect()
     assert {tuple(r) for r in spark.table("windows").collect()} == {tuple(r) for r in want}
+
+
+def test_recognise(spark):
+    from inkwell.sources.ocr_service import recognise
+
+    def client():
+        def send(images):
+            if b"bad" in images:
+                raise RuntimeError("down")
+            return [(i.decode().upper(), 0.5) for i in images[:-1]]  # the last answer is missing
+
+        return send
+
+    df = spark.createDataFrame([(i, f"i{i}".encode()) for i in range(6)] + [(6, b"bad"), (7, b"y"), (8, None)], "id bigint, image binary").coalesce(1)
+    got = {r.id: (r.text, r.confidence, r.state, r.error) for r in recognise(df, client, batch=3, tasks=1).collect()}
+    assert [got[i] for i in range(6)] == [("I0", 0.5, "ready", None), ("I1", 0.5, "ready", None), ("", 0.0, "ready", None)] + [("I3", 0.5, "ready", None), ("I4", 0.5, "ready", None), ("", 0.0, "ready", None)]
+    assert got[6] == got[7] == ("", 0.0, "error", "down")
+    assert got[8] == ("", 0.0, "error", "no image")
