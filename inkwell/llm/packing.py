@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.runtime import materialise
+
 #: Items that are packed together; a larger partition is worked off block by block.
 BLOCK_ITEMS = 100_000
 
@@ -106,6 +108,7 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size: str = "n
     if capacity < 1:
         raise ValueError("the capacity has to be at least 1")
     kind = sizes.schema[id_col].dataType.simpleString()
+    sizes = materialise(sizes.select(id_col, size))  # counted once, though read for items and for nulls
     known = sizes.where(F.col(size).isNotNull()).select(F.col(id_col).alias("id"), F.greatest(F.col(size), F.lit(0)).cast("bigint").alias("n"))
     pieces = known.select("id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / float(capacity)), F.lit(1)) - 1)).alias("k"))
     items = pieces.select("id", (F.col("k") + 1).cast("int").alias("piece"), (F.col("k") * capacity).cast("bigint").alias("token_from"), F.least(F.lit(capacity), F.col("n") - F.col("k") * capacity).cast("bigint").alias("n_tokens"))
