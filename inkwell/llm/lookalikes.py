@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators.packed_values import DELIMITERS, QUOTES_CLOSE, QUOTES_OPEN, SPACE, explode_values, strip_space
+from inkwell.runtime import small
 
 #: Letters of other scripts and signs that look like the second string, character by character.
 LOOKALIKES = [
@@ -122,14 +123,15 @@ def lookalike_terms(values: DataFrame, terms: DataFrame, id_col: str = "book_no"
     """(id, field_name, term_id): the values that look the same as a term of their field but are another string. ``values``
     has (id, field_name, value), ``terms`` (term_id, field_name, term). A value that equals the term, or any other term of the
     field, is no case; each (id, field, term) comes once. Null values and terms are left out."""
-    known = same_look(terms, "term", "look")
-    terms = terms.join(known, "term").select("term_id", F.col(field).alias("__field"), "term", "look")
-    looks = same_look(values, value, "look")
+    listed = terms.select("term_id", F.col(field).alias("__field"), "term")
+    terms = listed.join(same_look(listed, "term", "look"), "term").select("term_id", "__field", "term", "look")
+    values = values.select(id_col, field, F.col(value).alias("__value"))
+    looks = same_look(values, "__value", "look")
     # invisible characters and spaces around the rebuilt text do not make it another look
     edge = f"^[{SPACE}]+|[{SPACE}]+$"
-    found = values.join(looks, value).withColumn("look", F.regexp_replace("look", edge, ""))
-    t = F.broadcast(terms)
-    cases = found.join(t, (found["look"] == terms["look"]) & (found[field] == terms["__field"]) & (found[value] != terms["term"]))
+    found = values.join(looks, "__value").withColumn("look", F.regexp_replace("look", edge, ""))
+    t = small(terms, listed)
+    cases = found.join(t, (found["look"] == terms["look"]) & (found[field] == terms["__field"]) & (found["__value"] != terms["term"]))
     return cases.select(id_col, field, "term_id").distinct()
 
 
