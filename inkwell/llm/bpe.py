@@ -255,8 +255,13 @@ def slices(text: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
 
 
 def text_bytes(text: pa.Array) -> tuple[bytes, np.ndarray]:
-    """The UTF-8 bytes of the texts of an array end to end and the offset of each (one more than rows); null is empty."""
+    """The UTF-8 bytes of the texts of an array end to end and the offset of each (one more than rows); null is empty. Bytes
+    that are no UTF-8 become U+FFFD."""
     filled = pc.fill_null(text, "").cast(pa.large_string())
+    try:
+        filled.validate(full=True)
+    except pa.ArrowInvalid:
+        filled = pa.array([bytes(v.as_buffer()).decode("utf-8", "replace") for v in filled], pa.large_string())
     offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset :][: len(filled) + 1]
     data = filled.buffers()[2]
     raw = data.to_pybytes()[offsets[0] : offsets[-1]] if data is not None else b""

@@ -171,4 +171,4 @@ def test_percentiles_exact_and_combined(spark):
 def test_measurements_are_whole(spark):
     df = spark.createDataFrame([("b", "c", dt.datetime(2021, 1, 1), 1.0, None, float("nan"))], "book string, std_char string, measured_at timestamp_ntz, aspect_ratio double, face_ratio double, ink_coverage double")
     assert measurements(df).count() == 6
-    assert value_counts(measurements(df), GROUP).count() == 2
+    assert value_counts(measurements(df), GROUP).count() == 2  # one value for the book, one for the character

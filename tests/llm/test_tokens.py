@@ -50,6 +50,12 @@ def test_replay_in_both_forms(reference, monkeypatch, few):
     assert got == [None if x is None else reference.encode(x, add_special_tokens=False).ids for x in t]
 
 
+def test_broken_utf8():
+    broken = pa.Array.from_buffers(pa.string(), 2, [None, pa.py_buffer(np.array([0, 3, 5], np.int32)), pa.py_buffer(b"a\xffbcd")])
+    got = bpe.encode_array(broken, bpe.vocabulary(PATH)).to_pylist()
+    assert got == bpe.encode_array(pa.array(["a\ufffdb", "cd"]), bpe.vocabulary(PATH)).to_pylist()
+
+
 def test_slices_hold_whole_texts():
     a = pa.array(["aa", None, "b" * 50, "", "cc"])
     cuts = list(bpe.slices(a, 4))
