@@ -183,3 +183,46 @@ def running_totals(spark, d):
     """Measurements per book and day and their running total, over daily counts."""
     n = V.entries(spark, d).groupBy("book", F.col("measured_at").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("total", F.sum("n").over(Window.partitionBy("book").orderBy("day")))
+
+
+@query(with_views(V.INSTANCES, NORMAL, _LAST_REVIEW) + f""", m as (select book, ch, {_IID} as instance_id, max_by(source_image, record_id) filter (source_image is not null) as source_image from instances group by all)
+  select r.item_id, coalesce(nullif(r.confirmed_path, ''), nullif(r.segmented_path, ''), m.source_image) as source, case when nullif(r.confirmed_path, '') is not null then 'confirmed' when nullif(r.segmented_path, '') is not null then 'segmented' when m.source_image is not null then 'matched' end as kind
+  from lastr r left join m using (book, ch, instance_id)""")
+def source_cascade(spark, d):
+    """Where the image of an item is found first: confirmed, segmented, else the matched page."""
+    m = _keyed(spark, d).where("instance_id is not null and source_image is not null").groupBy(*KEY).agg(F.max_by("source_image", "record_id").alias("source_image"))
+    r = _last(RS.normalised(V.reviews(spark, d)), "item_id").join(m, KEY, "left")
+    conf, seg = F.nullif("confirmed_path", F.lit("")), F.nullif("segmented_path", F.lit(""))
+    kind = F.when(conf.isNotNull(), "confirmed").when(seg.isNotNull(), "segmented").when(F.col("source_image").isNotNull(), "matched")
+    return r.select("item_id", F.coalesce(conf, seg, "source_image").alias("source"), kind.alias("kind"))
+
+
+_KIND = "case when contains(coalesce(source_image, ''), '_preprocessed') or contains(coalesce(source_image, ''), 'results/preprocessed/') then 'preprocessed' when contains(replace(coalesce(source_image, ''), '\\', '/'), 'data/raw/') then 'raw' else 'other' end"
+
+
+@query(with_views(V.INSTANCES) + f""", v as (select book, ch, volume, page, {_KIND} as kind, idx, max(conf) as conf from instances group by all)
+  select book, ch, volume, page, count(*) as n, array_to_string(list(kind || ':' || coalesce(cast(idx as varchar), '-') order by kind = 'preprocessed' desc, conf desc, idx asc nulls last, kind), ' ') as variants from v group by book, ch, volume, page""")
+def ocr_variants(spark, d):
+    """The distinct variants (kind, index) of every character on a page: preprocessed ones first, then by confidence and index."""
+    i = V.instances(spark, d).withColumn("kind", S.source_kind(F.col("source_image")))
+    v = i.groupBy("book", "ch", "volume", "page", "kind", "idx").agg(F.max("conf").alias("conf"))
+    order = F.struct((F.col("kind") != "preprocessed").alias("a"), (-F.col("conf")).alias("b"), F.col("idx").isNull().alias("c"), F.coalesce("idx", F.lit(0)).alias("d"), "kind", "idx")
+    g = v.groupBy("book", "ch", "volume", "page").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(order)).alias("l"))
+    label = lambda x: F.concat(x["kind"], F.lit(":"), F.coalesce(x["idx"].cast("string"), F.lit("-")))
+    return g.select("book", "ch", "volume", "page", "n", F.array_join(F.transform("l", label), " ").alias("variants"))
+
+
+@query("with done as (select distinct book, std_char, instance_id, item_bytes % 10 as pad from review_books where review_status in ('confirmed', 'dropped') and instance_id is not null) select item_id from review_books r where not exists (select 1 from done d where d.book = r.book and d.std_char = r.std_char and d.instance_id = r.instance_id and d.pad = 5)")
+def skip_same_pad(spark, d):
+    """Items to be recognised again with pad 5: those that have a result with the same pad are skipped."""
+    r = V.reviews(spark, d)
+    done = r.where("review_status in ('confirmed', 'dropped') and instance_id is not null and item_bytes % 10 = 5").select(*KEY).distinct()
+    return r.join(done, KEY, "left_anti").select("item_id")
+
+
+@query("select record_id, regexp_replace(ocr_file, '_ocr\\.json$', '.png') as image, regexp_replace(regexp_replace(source_image, '_preprocessed(\\.[A-Za-z]+)$', '\\1'), 'results/preprocessed/', 'raw/') as original, regexp_replace(source_image, '^.*?(data/)', '\\1') as relative from matched_books")
+def related_paths(spark, d):
+    """The image of an OCR file, the original of a preprocessed page, and the path relative to the project."""
+    src = F.col("source_image")
+    original = F.regexp_replace(F.regexp_replace(src, "_preprocessed(\\.[A-Za-z]+)$", "$1"), "results/preprocessed/", "raw/")
+    return table(spark, d, "matched_books").select("record_id", F.regexp_replace("ocr_file", "_ocr\\.json$", ".png").alias("image"), original.alias("original"), F.regexp_replace(src, "^.*?(data/)", "$1").alias("relative"))
