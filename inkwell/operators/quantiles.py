@@ -1,0 +1,30 @@
+"""Exact quantiles of groups from counts per value: copies are added up before they are shuffled, and running counts stream over
+the sorted distinct values of a group, so that no group has to fit into memory (as it must for the built-in aggregate)."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, at: Sequence[float], nearest: bool = False, total: str = "n", out: str = "q") -> DataFrame:
+    """group, ``total`` (values) and ``out``, an array with one quantile per entry of ``at``: interpolated linearly, or with ``nearest`` the
+    value of rank ceil(p n). Null values are left out; groups without values give no row; null keys are a group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = counts.select(*group, "__v", F.sum("__c").over(Window.partitionBy(*group).orderBy("__v")).alias("__upto"))
+    sizes = counts.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.sum("__c").alias("__n"))
+    on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    ranked = upto.join(sizes, on).select(*group, "__v", "__upto", "__n")
+    n = F.col("__n")
+    value_at = lambda k: F.min(F.when(F.col("__upto") > k, F.col("__v")))
+    spots = [F.greatest(F.lit(0), F.ceil(F.lit(float(p)) * n) - 1) if nearest else F.lit(float(p)) * (n - 1) for p in at]
+    picked = [a.alias(f"__{i}{s}") for i, h in enumerate(spots) for s, a in (("l", value_at(F.floor(h))), ("h", value_at(F.ceil(h))))]
+
+    def between(i: int, h: Column) -> Column:
+        lo, hi = F.col(f"__{i}l").cast("double"), F.col(f"__{i}h").cast("double")
+        return lo + (hi - lo) * (h - F.floor(h))
+
+    found = ranked.groupBy(*group, "__n").agg(*picked)
+    return found.select(*group, n.alias(total), F.array(*[between(i, h) for i, h in enumerate(spots)]).alias(out))

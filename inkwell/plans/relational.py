@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import scalars as S
 from inkwell.operators import boxes as B
 from inkwell.operators import review_state as RS
+from inkwell.operators.quantiles import quantiles
 from inkwell.plans.registry import Registry
 from inkwell.plans.scalars import _REVIEW, _STATE
 from inkwell.runtime import small, table
@@ -77,7 +78,7 @@ def trimmed(values, group: list[str], value: str, q: float = 0.05):
     """Rows of ``values`` whose value lies within the q and 1-q quantiles (linear, to nine digits) of its group, bounds included; groups of fewer
     than four values keep all. Quantiles are aggregated first and joined back by the group."""
     q = min(max(q, 0.0), 0.25)
-    bounds = values.groupBy(*group).agg(F.count(value).alias("__n"), F.percentile(value, F.array(F.lit(q), F.lit(1 - q))).alias("__b"))
+    bounds = quantiles(values, group, value, (q, 1 - q), total="__n", out="__b")
     kept = values.join(bounds, group)
     return kept.where((F.col("__n") < 4) | (F.lit(q) <= 0) | F.round(value, 9).between(F.round(F.col("__b")[0], 9), F.round(F.col("__b")[1], 9))).drop("__n", "__b")
 
@@ -334,14 +335,20 @@ def decision_counts(spark, d):
     return V.reviews(spark, d).groupBy("book", "ch").agg(F.count_if(dec == "need").alias("need"), F.count_if(dec == "drop").alias("dropped"), F.count_if(~dec.isin("need", "drop")).alias("pending"))
 
 
+def _fixed_box(spark, d, nearest: bool):
+    """(book, lb): the side of the box that holds nine of ten glyphs of a book, with a margin."""
+    long = V.glyphs(spark, d).select("book", F.greatest("w", "h").alias("side"))
+    return quantiles(long, ["book"], "side", (0.9,), nearest).select("book", F.ceil(F.col("q")[0] * 1.05).cast("int").alias("lb"))
+
+
 @query(with_views(V.GLYPHS) + "select book, cast(ceil(quantile_disc(greatest(w, h), 0.9) * 1.05) as int) as lb from glyphs group by book")
 def fixed_box_nearest(spark, d):
-    return V.glyphs(spark, d).groupBy("book").agg(F.ceil(F.expr("percentile_disc(0.9) within group (order by greatest(w, h))") * 1.05).cast("int").alias("lb"))
+    return _fixed_box(spark, d, True).select("book", "lb")
 
 
 @query(with_views(V.GLYPHS) + "select book, cast(ceil(quantile_cont(greatest(w, h), 0.9) * 1.05) as int) as lb from glyphs group by book")
 def fixed_box_linear(spark, d):
-    return V.glyphs(spark, d).groupBy("book").agg(F.ceil(F.percentile(F.greatest("w", "h"), F.lit(0.9)) * 1.05).cast("int").alias("lb"))
+    return _fixed_box(spark, d, False).select("book", "lb")
 
 
 def _char_means(spark, d):
@@ -368,7 +375,7 @@ def book_means_macro(spark, d):
 def clipping_rate(spark, d):
     """Share of glyphs larger than the book's box; glyphs of the blank character (0 here) count below the line only."""
     g = V.glyphs(spark, d)
-    lb = g.groupBy("book").agg(F.ceil(F.expr("percentile_disc(0.9) within group (order by greatest(w, h))") * 1.05).alias("lb"))
+    lb = _fixed_box(spark, d, True)
     return g.join(lb, "book").groupBy("book").agg(F.round(F.count_if((F.col("ch") != 0) & ((F.col("w") > F.col("lb")) | (F.col("h") > F.col("lb")))) / F.greatest(F.lit(1), F.count(F.lit(1))), 9).alias("rate"))
 
 
@@ -410,7 +417,7 @@ def period_metric_mean(spark, d):
 @query(with_views(V.ENTRIES, V.BOOKS) + f", p as (select {PERIOD_CASE} as period, ink_coverage as v from entries join books using (book)) select period, count(v) as n, round(quantile_cont(v, 0.25), 9) as q1, round(quantile_cont(v, 0.5), 9) as median, round(quantile_cont(v, 0.75), 9) as q3 from p where period is not null group by period")
 def period_quartiles(spark, d):
     p = V.entries(spark, d).select("book", F.col("ink_coverage").alias("v")).join(V.books(spark, d).select("book", "year"), "book").withColumn("period", _period(F.col("year"))).where("period is not null")
-    q = p.groupBy("period").agg(F.count("v").alias("n"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(p, ["period"], "v", (0.25, 0.5, 0.75))
     return q.select("period", "n", *[F.round(F.col("q")[i], 9).alias(a) for i, a in enumerate(("q1", "median", "q3"))])
 
 

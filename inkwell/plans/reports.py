@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import scalars as S
 from inkwell.operators import review_state as RS
+from inkwell.operators.quantiles import quantiles
 from inkwell.plans.registry import Registry
 from inkwell.plans.relational import _IID, _LAST_ENTRY, _LAST_REVIEW, CHAR_MEANS, DROPPED, KEY, NORMAL, _char_means, _keyed, _last
 from inkwell.runtime import scratch_path, small, table
@@ -142,7 +143,7 @@ def within_char_std(spark, d):
 
 @query(with_views(V.ENTRIES) + "select ch, " + ", ".join(f"round(quantile_cont(ink_coverage, {p}) + 1e-12, 8) as p{int(p * 100)}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + " from entries where ink_coverage is not null group by ch")
 def whiskers(spark, d):
-    q = V.entries(spark, d).where("ink_coverage is not null").groupBy("ch").agg(F.percentile("ink_coverage", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95)))).alias("q"))
+    q = quantiles(V.entries(spark, d), ["ch"], "ink_coverage", (0.05, 0.25, 0.5, 0.75, 0.95))
     return q.select("ch", *[F.round(F.col("q")[i] + 1e-12, 8).alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))])
 
 

@@ -165,3 +165,20 @@ def test_trim_and_otsu(spark):
     assert [(r.lo, r.hi) for r in raster.projection_trim(blank, "x", 10).collect()] == [(0, 10)]
     assert raster.otsu(px).head().threshold == 0
     assert raster.otsu(image(spark, [[7, 7]])).head().threshold == 7
+
+
+def test_quantiles(spark):
+    from inkwell.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(5)
+    rows = [(str(rng.integers(0, 3)), float(v)) for v in np.round(rng.normal(size=500), 1)] + [("one", 2.0), ("none", None), (None, 1.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    at = (0.0, 0.1, 0.5, 0.9, 1.0)
+    linear = {r.g: r for r in quantiles(df, ["g"], "v", at).collect()}
+    nearest = {r.g: r for r in quantiles(df, ["g"], "v", at, nearest=True).collect()}
+    assert set(linear) == {"0", "1", "2", "one", None}
+    for g, r in linear.items():
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert r.n == len(v)
+        assert np.allclose(r.q, np.quantile(v, at))
+        assert nearest[g].q == [v[max(0, int(np.ceil(p * len(v) - 1e-12)) - 1)] for p in at]
