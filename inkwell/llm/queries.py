@@ -40,31 +40,34 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_terms(metadata_values(table(spark, sf_dir, "books_metadata")), table(spark, sf_dir, "script_terms"))
 
 
+#: What a group is about, by its number: dimension and metric.
+WHAT = [(d, m) for d in ("book", "std_char") for m in METRICS]
+
+
 def measurements(bundle: DataFrame) -> DataFrame:
-    """(dim, key, metric, day, value): every measurement once for its book and once for its character."""
-    dims = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("key")) for d in ("book", "std_char")])
-    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])
-    day = F.col("measured_at").cast("date").alias("day")
-    return bundle.select(F.explode(dims).alias("d"), values.alias("v"), day).select("d.*", F.explode("v").alias("v"), "day").select("dim", "key", "v.*", "day")
+    """(what, key, day, value): every measurement once for its book and once for its character, by the place in ``WHAT``."""
+    rows = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("what"), F.col(d).alias("key"), F.col(m).alias("value")) for i, (d, m) in enumerate(WHAT)])
+    return bundle.select(F.explode(rows).alias("r"), F.col("measured_at").cast("date").alias("day")).select("r.*", "day")
 
 
-GROUP = ["dim", "key", "metric"]
+GROUP = ["what", "key"]
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*GROUP, "n", *[F.round(c, 9).alias(c) for c in df.columns if c not in (*GROUP, "n")])
+def _named(df: DataFrame) -> DataFrame:
+    name = lambda k: F.element_at(F.array(*[F.lit(w[k]) for w in WHAT]), F.col("what") + 1)
+    return df.select(name(0).alias("dim"), "key", name(1).alias("metric"), "n", *[F.round(c, 9).alias(c) for c in df.columns if c not in (*GROUP, "n")])
 
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = measurements(table(spark, sf_dir, "analysis_bundle"))
-    return _rounded(percentiles(value_counts(long, GROUP), GROUP, POINTS))
+    return _named(percentiles(value_counts(long, GROUP), GROUP, POINTS))
 
 
 def p6_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same percentiles from the states of single days, combined."""
     long = measurements(table(spark, sf_dir, "analysis_bundle"))
     days = value_counts(long, ["day", *GROUP])
-    return _rounded(percentiles(value_counts(days.drop("day"), GROUP), GROUP, POINTS))
+    return _named(percentiles(value_counts(days.drop("day"), GROUP), GROUP, POINTS))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

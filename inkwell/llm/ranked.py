@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.runtime import checkpoint
+from inkwell.runtime import materialise
 
 
 def _partitions(df: DataFrame) -> int:
@@ -104,7 +104,7 @@ def percentiles(state: DataFrame, group: list[str], at: Iterable[float], value:
     if any(not 0 <= p <= 1 for p in at):
         raise ValueError("percentiles lie between 0 and 1")
     slim = state.select(*group, value, count)
-    ranked = checkpoint(numbered_sort(slim, group, [F.col(value).asc()], weight=count))
+    ranked = materialise(numbered_sort(slim, group, [F.col(value).asc()], weight=count))
     parts = ranked.groupBy(*group, "__part").agg(F.sum(count).alias("__rows"))
     before = Window.partitionBy(*group).orderBy("__part")
     parts = parts.select(*group, "__part", (F.sum("__rows").over(before) - F.col("__rows")).alias("__offset"), F.sum("__rows").over(Window.partitionBy(*group)).alias("n"))
