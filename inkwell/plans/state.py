@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import review_state as RS
 from inkwell.plans.registry import Registry
-from inkwell.runtime import table
+from inkwell.runtime import scratch_path, table
 from inkwell.sources import views as V
 from inkwell.sources.ocr_service import parsed_answer
 from inkwell.sources.views import with_views
+from inkwell.streaming.decisions import keep_latest, latest_version
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -58,3 +59,14 @@ def ocr_answers(spark, d):
         .otherwise(F.lit("no json"))
     )
     return m.select("record_id", parsed_answer(answer).alias("a")).select("record_id", "a.text", F.col("a.confidence").alias("conf"))
+
+
+@query("select user_id as key, event_type, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1")
+def stream_latest_decision(spark, d):
+    """The log read as a stream (all that is there, in micro-batches) and kept as a table of latest rows: an extension, with the
+    result of the batch operator."""
+    log = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = scratch_path(spark, "stream")
+    stream = log.select("event_id", F.col("user_id").alias("key"), "ts", "event_type")
+    keep_latest(stream, f"{out}/state", f"{out}/progress", ["key"], ["ts", "event_id"]).awaitTermination()
+    return latest_version(spark, f"{out}/state").select("key", "event_type", "ts")
