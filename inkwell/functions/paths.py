@@ -55,15 +55,25 @@ def page_image_key(col: Column | str) -> Column:
     plain = F.col(col) if isinstance(col, str) else col
     key = F.regexp_replace(below_data(clean_path(col)), f"^(raw|results/preprocessed|external)/{rest}", "$1|$2|$3|$4")
     slow = lower_extension(F.regexp_replace(key, "^(?:raw|results/preprocessed)\\|", "page|"))
-    return F.when(plain.rlike(usual) & ~plain.rlike("[%\\\\]|/\\.\\.?/"), F.regexp_replace(plain, usual, "page|$1|$2|$3")).otherwise(slow)
+    return F.when(_plain(plain) & plain.rlike(usual), F.regexp_replace(plain, usual, "page|$1|$2|$3")).otherwise(slow)
+
+
+def _plain(path: Column) -> Column:
+    """True for a path below ``data`` that is in its one spelling already but for the case of its extension."""
+    return path.startswith("data/") & ~path.rlike("[%\\\\]|/\\.|//|\\s$")
 
 
 def is_preprocessed(col: Column | str) -> Column:
     """True where the path lies in the preprocessed folder; false for null."""
-    return F.coalesce(below_data(clean_path(col)).startswith("results/preprocessed/"), F.lit(False))
+    c = F.col(col) if isinstance(col, str) else col
+    folder = "results/preprocessed/"
+    return F.coalesce(F.when(_plain(c), c.startswith("data/" + folder)).otherwise(below_data(clean_path(c)).startswith(folder)), F.lit(False))
 
 
 def glyph_image_key(col: Column | str) -> Column:
     """The glyph image a review path names; ``segmented`` and ``confirmed`` below results/manual count as one folder."""
-    rest = lower_extension(below_data(clean_path(col)))
-    return F.regexp_replace(rest, "^results/manual/(?:segmented|confirmed)/", "results/manual/glyph/")
+    c = F.col(col) if isinstance(col, str) else col
+    rest = lower_extension(below_data(clean_path(c)))
+    slow = F.regexp_replace(rest, "^results/manual/(?:segmented|confirmed)/", "results/manual/glyph/")
+    usual = "^data/results/manual/(?:segmented|confirmed)/(.*\\.[a-z0-9]+)$"
+    return F.when(_plain(c) & c.rlike(usual) & ~c.contains("/data/"), F.regexp_replace(c, usual, "results/manual/glyph/$1")).otherwise(slow)
