@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.paths import let
+
 #: The quotation marks, opening and closing in the same place, and what separates two values.
 QUOTES_OPEN = '"“「『«＂'
 QUOTES_CLOSE = '"”」』»＂'
@@ -100,9 +102,7 @@ def explode_values(df: DataFrame, field: str, pos: str = "pos", value: str = "ta
     plain = "^[^" + "".join(f"\\x{{{ord(c):x}}}" for c in dict.fromkeys(QUOTES_OPEN + QUOTES_CLOSE + DELIMITERS)) + "]*$"
     one = strip_space(F.col(field))
     packed = F.when(F.col(field).rlike(plain), F.filter(F.array(one), lambda v: v != "")).otherwise(packed_values(F.col(field)))
-    return (
-        df.withColumn("__packed", packed)
-        .where(F.size("__packed") >= at_least)
-        .select(*[F.col(f"`{c}`") for c in keep], F.posexplode("__packed").alias("__at", value))
-        .select(*[F.col(f"`{c}`") for c in keep], (F.col("__at") + 1).cast("int").alias(pos), F.col(value))
-    )
+    enough = let(packed, lambda v: F.when(F.size(v) >= at_least, v))
+    # outer, so that the values are not computed again to test that there are any
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.posexplode_outer(enough).alias("__at", value)).where(F.col(value).isNotNull())
+    return rows.select(*[F.col(f"`{c}`") for c in keep], (F.col("__at") + 1).cast("int").alias(pos), F.col(value))
