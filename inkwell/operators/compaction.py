@@ -144,7 +144,8 @@ def image_keys(segmented: str = "segmented_path", confirmed: str = "confirmed_pa
 def same_image_pairs(items: DataFrame, id_col: str = "item_id") -> DataFrame:
     """(item_id_a, item_id_b), smaller first: the rows that name the same glyph image in either path. Rows without any path
     name no image; the same two rows are one pair, even over two images."""
-    named = items.select(F.col(id_col).alias("id"), F.explode(image_keys()).alias("image")).select("id", F.xxhash64("image").alias("k1"), F.xxhash64(F.lit("inkwell"), "image").alias("k2"))
+    # explode_outer: for a plain explode the keys would be computed again to test that there are any
+    named = items.select(F.col(id_col).alias("id"), F.explode_outer(image_keys()).alias("image")).where("image is not null").select("id", F.xxhash64("image").alias("k1"), F.xxhash64(F.lit("inkwell"), "image").alias("k2"))
     a, b = named.alias("a"), named.alias("b")
     met = a.join(b, (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.id") < F.col("b.id")))
     return met.select(F.col("a.id").alias(f"{id_col}_a"), F.col("b.id").alias(f"{id_col}_b")).distinct()

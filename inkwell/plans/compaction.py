@@ -32,22 +32,35 @@ def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.select("grp", "rows")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_files)}
+def p5_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image once with the item that keeps it, read back from the published files; items without an image come once too."""
+    kept = kept_images(table(spark, sf_dir, "review_books"))
+    folder, _ = consolidate(kept, "shard_file", F.col("item_bytes"), ["item_id", "image"], GROUP_BYTES)
+    back = read_consolidated(spark, folder, "item_id bigint, image string")
+    return back.select("item_id", F.regexp_extract("image", "[^/]*$", 0).alias("name"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_files, p5_images)}
 
 _ONE = r"""(?:"(?:[^"]|"")*"|“[^”]*”|「[^」]*」|[^"“「、，,﹑､;；/／|｜+＋\t\n]+)"""
 _SPACE = r"[\s\x{A0}\x{3000}\x{2000}-\x{200A}\x{202F}]"
 
+_NAMED = r"""with named as (
+  select distinct item_id, key from (
+    select item_id, lower(regexp_extract(p, '\.[A-Za-z0-9]+$', 0)) as ext,
+      regexp_replace(regexp_replace(regexp_extract(p, 'data/(.*)$', 1), '\.[A-Za-z0-9]+$', ''), '^results/manual/(segmented|confirmed)/', 'glyph/') || ext as key
+    from (select item_id, regexp_replace(regexp_replace(replace(url_decode(raw), '\', '/'), '/(\.?/)+', '/', 'g'), '[^/]+/\.\./', '', 'g') as p
+      from (select item_id, unnest([segmented_path, confirmed_path]) as raw from review_books) where raw <> ''))"""
+
 ORACLE = {
     "p3_found": rf"""with v as (
   select book_no, list_filter(list_transform(regexp_extract_all("刻体倾向", '{_ONE}'), lambda s: regexp_replace(s, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda s: s <> '') as vals from books_metadata
 ), clean as (
   select book_no, list_filter(list_transform(vals, lambda s: regexp_replace(case when s[1] = '"' then replace(s[2:-2], '""', '"') when s[1] in ('“', '「') then s[2:-2] else s end, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda s: s <> '') as vals from v
 ) select book_no, cast(i as int) as pos, vals[i] as tag from (select book_no, vals, unnest(range(1, len(vals) + 1)) as i from clean where len(vals) >= 2)""",
-    "p5_found": r"""with named as (
-  select distinct item_id, key from (
-    select item_id, lower(regexp_extract(p, '\.[A-Za-z0-9]+$', 0)) as ext,
-      regexp_replace(regexp_replace(regexp_extract(p, 'data/(.*)$', 1), '\.[A-Za-z0-9]+$', ''), '^results/manual/(segmented|confirmed)/', 'glyph/') || ext as key
-    from (select item_id, regexp_replace(regexp_replace(replace(url_decode(raw), '\', '/'), '/(\.?/)+', '/', 'g'), '[^/]+/\.\./', '', 'g') as p
-      from (select item_id, unnest([segmented_path, confirmed_path]) as raw from review_books) where raw <> ''))
-) select distinct a.item_id as item_id_a, b.item_id as item_id_b from named a join named b on a.key = b.key and a.item_id < b.item_id""",
+    "p5_found": _NAMED
+    + ") select distinct a.item_id as item_id_a, b.item_id as item_id_b from named a join named b on a.key = b.key and a.item_id < b.item_id",
+    "p5_images": _NAMED
+    + """), kept as (select key, max_by(item_id, struct_pack(a := written_at, b := item_id)) as item_id from named join (select item_id, written_at from review_books) using (item_id) group by key)
+  select item_id, regexp_extract(key, '[^/]*$', 0) as name from kept union all select item_id, null from review_books r where not exists (select 1 from named n where n.item_id = r.item_id)""",
 }
