@@ -60,7 +60,8 @@ def page_image_key(col: Column | str) -> Column:
 
 def _plain(path: Column) -> Column:
     """True for a path below ``data`` that is in its one spelling already but for the case of its extension."""
-    return path.startswith("data/") & ~path.rlike("[%\\\\]|/\\.|//|\\s$")
+    odd = path.contains("%") | path.contains("\\") | path.contains("/.") | path.contains("//")
+    return path.startswith("data/") & ~odd
 
 
 def is_preprocessed(col: Column | str) -> Column:
