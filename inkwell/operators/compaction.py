@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.paths import glyph_image_key
-from inkwell.runtime import scratch_path
+from inkwell.runtime import materialise, scratch_path
 
 TARGET_BYTES = 128 * 1024 * 1024
 
@@ -40,7 +40,7 @@ def schedule(files: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
     chunks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / float(target_bytes))).cast("int")
     units = files.select("file", F.greatest(F.coalesce("bytes", F.lit(0)), F.lit(0)).cast("bigint").alias("bytes")).select("file", "bytes", chunks.alias("chunks"))
     units = units.select("file", "chunks", (F.col("bytes") / F.col("chunks")).cast("bigint").alias("bytes"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    total = files.agg(F.sum("bytes")).head()[0] or 0
+    total = files.agg(F.sum("bytes")).head()[0] or 0  # one row, to fix the number of tasks
     tasks = int(max(1, min(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // target_bytes)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,9 +111,9 @@ def consolidate(rows: DataFrame, file: str, size: Column, identity: list[str], t
         raise RuntimeError(f"{folder} has a manifest already")
     system.mkdirs(root)
     named = F.coalesce(F.col(file).cast("string"), F.lit(""))
-    sizes = rows.groupBy(named.alias("file")).agg(F.sum(size).cast("bigint").alias("bytes"))
-    plan = schedule(sizes, target_bytes).toDF("__of", "__chunks", "__groups")
-    mark = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in identity]), 20)
+    mark = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in identity]), 32)
+    files = materialise(rows.groupBy(named.alias("file")).agg(F.sum(size).cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.sum(mark).alias("mark")))
+    plan = schedule(files.select("file", "bytes"), target_bytes).toDF("__of", "__chunks", "__groups")
     spread = F.element_at("__groups", (F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in identity]), F.col("__chunks")) + 1).cast("int"))
     dealt = rows.withColumn("__file", named).join(plan, F.col("__file") == F.col("__of")).select(*[F.col(f"`{c}`") for c in rows.columns], spread.alias("__grp"), mark.alias("__mark"))
     written = dealt.repartition("__grp").sortWithinPartitions("__grp").mapInArrow(_writer(folder), "grp bigint, file string, rows bigint, bytes bigint, mark bigint")
@@ -121,7 +121,7 @@ def consolidate(rows: DataFrame, file: str, size: Column, identity: list[str], t
     written.write.parquet(draft)
     manifest = spark.read.parquet(draft)
     have = manifest.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.col("mark").cast("decimal(38,0)")), F.lit(0))).head()
-    want = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(mark.cast("decimal(38,0)")), F.lit(0))).head()
+    want = files.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.col("mark").cast("decimal(38,0)")), F.lit(0))).head()
     if (int(have[0]), int(have[1])) != (int(want[0]), int(want[1])):
         raise RuntimeError(f"compaction wrote {have[0]} rows of {want[0]}, or other rows; nothing is published")
     if system.exists(published) or not system.rename(jvm.org.apache.hadoop.fs.Path(draft), published):
