@@ -360,9 +360,9 @@ def _char_means(spark, d):
 CHAR_MEANS = "char_means as (select book, ch, avg(aspect_ratio) as aspect_ratio, avg(face_ratio) as face_ratio, avg(ink_coverage) as ink_coverage from entries group by book, ch having avg(aspect_ratio) is not null and avg(face_ratio) is not null)"
 
 
-@query(with_views(V.ENTRIES, CHAR_MEANS) + "select book, ch, round(aspect_ratio, 10) as aspect_ratio, round(face_ratio, 10) as face_ratio, round(ink_coverage, 10) as ink_coverage from char_means")
+@query(with_views(V.ENTRIES, CHAR_MEANS) + "select book, ch, round(aspect_ratio + 1e-12, 10) as aspect_ratio, round(face_ratio + 1e-12, 10) as face_ratio, round(ink_coverage + 1e-12, 10) as ink_coverage from char_means")
 def char_means(spark, d):
-    return _char_means(spark, d).select("book", "ch", *[F.round(m, 10).alias(m) for m in V.METRICS])
+    return _char_means(spark, d).select("book", "ch", *[F.round(F.col(m) + 1e-12, 10).alias(m) for m in V.METRICS])
 
 
 @query(with_views(V.ENTRIES, CHAR_MEANS) + "select book, count(*) as chars, round(avg(aspect_ratio) + 1e-12, 10) as aspect_ratio, round(avg(face_ratio) + 1e-12, 10) as face_ratio, round(avg(ink_coverage) + 1e-12, 10) as ink_coverage from char_means group by book")
@@ -399,19 +399,19 @@ BOOK_STATS = "book_stats as (select book, avg(aspect_ratio) as mu, stddev_pop(as
 
 
 @query(with_views(V.ENTRIES, CHAR_MEANS, BOOK_STATS, V.BOOKS) + f""", p as (select region, {PERIOD_CASE} as period, mu, sigma from book_stats join books using (book))
-  select period, region, count(*) as n, round(avg(mu), 9) as mu_mean, round(quantile_cont(mu, 0.5), 9) as mu_median, round(stddev_pop(mu), 9) as mu_std, round(avg(sigma), 9) as sigma_mean, round(quantile_cont(sigma, 0.5), 9) as sigma_median from p where period is not null group by all""")
+  select period, region, count(*) as n, round(avg(mu) + 1e-12, 9) as mu_mean, round(quantile_cont(mu, 0.5) + 1e-12, 9) as mu_median, round(stddev_pop(mu) + 1e-12, 9) as mu_std, round(avg(sigma) + 1e-12, 9) as sigma_mean, round(quantile_cont(sigma, 0.5) + 1e-12, 9) as sigma_median from p where period is not null group by all""")
 def region_period_summary(spark, d):
     p = _book_stats(spark, d).join(V.books(spark, d).select("book", "year", "region"), "book").withColumn("period", _period(F.col("year"))).where("period is not null")
-    r = lambda c, a: F.round(c, 9).alias(a)
+    r = lambda c, a: F.round(c + 1e-12, 9).alias(a)
     return p.groupBy("period", "region").agg(F.count(F.lit(1)).alias("n"), r(F.avg("mu"), "mu_mean"), r(F.percentile("mu", F.lit(0.5)), "mu_median"), r(F.stddev_pop("mu"), "mu_std"), r(F.avg("sigma"), "sigma_mean"), r(F.percentile("sigma", F.lit(0.5)), "sigma_median"))
 
 
 @query(with_views(V.ENTRIES, CHAR_MEANS, V.BOOKS) + f""", b as (select book, avg(aspect_ratio) as a, avg(face_ratio) as f, avg(ink_coverage) as i from char_means group by book), p as (select {PERIOD_CASE} as period, a, f, i from b join books using (book))
-  select period, metric, round(avg(v), 9) as mean, count(v) as n from (select period, unnest(['aspect_ratio', 'face_ratio', 'ink_coverage']) as metric, unnest([a, f, i]) as v from p where period is not null) group by all""")
+  select period, metric, round(avg(v) + 1e-12, 9) as mean, count(v) as n from (select period, unnest(['aspect_ratio', 'face_ratio', 'ink_coverage']) as metric, unnest([a, f, i]) as v from p where period is not null) group by all""")
 def period_metric_mean(spark, d):
     b = _char_means(spark, d).groupBy("book").agg(*[F.avg(m).alias(m) for m in V.METRICS])
     p = b.join(V.books(spark, d).select("book", "year"), "book").withColumn("period", _period(F.col("year"))).where("period is not null")
-    return p.unpivot(["period"], list(V.METRICS), "metric", "v").groupBy("period", "metric").agg(F.round(F.avg("v"), 9).alias("mean"), F.count("v").alias("n"))
+    return p.unpivot(["period"], list(V.METRICS), "metric", "v").groupBy("period", "metric").agg(F.round(F.avg("v") + 1e-12, 9).alias("mean"), F.count("v").alias("n"))
 
 
 @query(with_views(V.ENTRIES, V.BOOKS) + f", p as (select {PERIOD_CASE} as period, ink_coverage as v from entries join books using (book)) select period, count(v) as n, round(quantile_cont(v, 0.25), 9) as q1, round(quantile_cont(v, 0.5), 9) as median, round(quantile_cont(v, 0.75), 9) as q3 from p where period is not null group by period")
