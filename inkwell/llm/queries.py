@@ -26,10 +26,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused record of each group, field by field."""
+    """The fused record of each group, field by field, with values as the records hold them."""
     matched = table(spark, sf_dir, "matched_books")
-    fused = best_of_groups(matched, duplicate_groups(matched))
-    return fused.select("group_id", "best_record_id", "source_image", "normalized_bbox", "confidence", "char_index")
+    fused = best_of_groups(matched, duplicate_groups(matched), raw=True)
+    return fused.select("group_id", "best_record_id", *[F.col(f"{c}_raw").alias(c) for c in ("source_image", "normalized_bbox", "confidence", "char_index")])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
