@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators.boxes import linked_groups
+from inkwell.runtime import checkpoint, materialise
 
 
 def otsu(pixels: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def projection(pixels: DataFrame, axis: str, dark: Column) -> DataFrame:
     return pixels.groupBy("id", axis).agg((F.count_if(dark) / F.count(F.lit(1))).alias("coverage"))
 
 
-def dark_runs(coverage: DataFrame, axis: str, above: float) -> DataFrame:
+def dark_runs(coverage: DataFrame, axis: str, above: float | Column) -> DataFrame:
     """(id, start, stop, mass): maximal runs of neighbouring places with a coverage above ``above``; stop is exclusive."""
     over = coverage.where(F.col("coverage") > above)
     r = over.withColumn("__g", F.col(axis) - F.row_number().over(Window.partitionBy("id").orderBy(axis)))
@@ -48,16 +49,55 @@ def projection_trim(coverage: DataFrame, axis: str, length: int, reach: float =
     return ids.join(bounds, "id", "left").select("id", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.lit(length)).alias("hi"))
 
 
+def tightened(bounds: DataFrame, coverage: DataFrame, axis: str, length: int, above: Column) -> DataFrame:
+    """(id, lo, hi): bounds moved inwards to the next place with a coverage above ``above``, at least one apart."""
+    inked = bounds.join(coverage.where(above).select("id", F.col(axis).alias("at")), "id", "left").groupBy("id", "lo", "hi")
+    t = inked.agg(F.min(F.when(F.col("at") >= F.col("lo"), F.col("at"))).alias("a"), F.max(F.when(F.col("at") < F.col("hi"), F.col("at") + 1)).alias("b"))
+    lo = F.least(F.coalesce("a", F.lit(length)), F.lit(length - 1)).cast("int")
+    return t.select("id", lo.alias("lo"), F.greatest(lo + 1, F.coalesce("b", F.lit(0))).cast("int").alias("hi"))
+
+
+def axis_bounds(coverage: DataFrame, axis: str, length: int, reach: tuple[float, float], most: tuple[float, float], least: tuple[float, float] = (0.005, 0.01), tight: float = 0.01) -> DataFrame:
+    """(id, lo, hi): like ``projection_trim`` with limits per edge, runs above ``least`` (as it is, and as a share of the largest
+    coverage), and edges tightened to a coverage above ``tight``. A blank raster keeps its length; one with ink but without
+    any run is cut to the limit ``most`` on both sides."""
+    top = coverage.groupBy("id").agg(F.max("coverage").alias("top"))
+    c = coverage.join(top, "id")
+    runs = dark_runs(c, axis, F.greatest(F.lit(least[0]), least[1] * F.col("top")))
+    near, far = round(length * min(reach[0], 1.0)), length - round(length * min(reach[1], 1.0))
+    cut = [length if m <= 0 else round(length * min(m, 1.0)) for m in most]
+    size = F.col("stop") - F.col("start")
+    cut_lo, cut_hi = (F.col("stop") <= near) & (size <= length * most[0]), (F.col("start") >= far) & (size <= length * most[1])
+    b = runs.groupBy("id").agg(F.coalesce(F.min(F.when(~cut_lo, F.col("start"))), F.max("stop")).alias("lo"), F.coalesce(F.max(F.when(~cut_hi, F.col("stop"))), F.min("start")).alias("hi"))
+    ends = tightened(b, c, axis, length, F.col("coverage") > tight)
+    lo = min(length - 1, cut[0])
+    bare = [F.when(F.col("top") > 0, F.lit(v)).otherwise(F.lit(w)) for v, w in ((lo, 0), (max(lo + 1, length - cut[1]), length))]
+    return top.join(ends, "id", "left").select("id", F.coalesce("lo", bare[0]).alias("lo"), F.coalesce("hi", bare[1]).alias("hi"))
+
+
+def projection_bounds(pixels: DataFrame, dark: Column, width: int, height: int, least: tuple[float, float] = (0.005, 0.01), tight: float = 0.01) -> DataFrame:
+    """(id, x0, x1, y0, y1): ``axis_bounds`` of the columns, then of the rows of what they leave."""
+    px = pixels.select("id", "x", "y", dark.alias("ink"))
+    cols = checkpoint(axis_bounds(projection(px, "x", F.col("ink")), "x", width, (0.3, 0.3), (0.25, 0.25), least, tight).withColumnsRenamed({"lo": "x0", "hi": "x1"}))
+    inside = px.join(cols, "id").where("x >= x0 and x < x1")
+    rows = axis_bounds(projection(inside, "y", F.col("ink")), "y", height, (0.3, 0.5), (0.25, 0.3), least, tight)
+    return cols.join(rows.withColumnsRenamed({"lo": "y0", "hi": "y1"}), "id")
+
+
 def components(pixels: DataFrame, dark: Column, width: int) -> DataFrame:
-    """(id, label, x, y, w, h, area): 8-connected components of the dark pixels with their boxes; the label is the smallest
-    pixel number. Pixels are joined with the neighbours behind them, and groups are found over all rasters at once."""
+    """(id, label, x, y, w, h, area): 8-connected components of the dark pixels with their boxes."""
+    box = [F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.count(F.lit(1)).alias("area")]
+    return labelled(pixels, dark, width).groupBy("id", "label").agg(*box)
+
+
+def labelled(pixels: DataFrame, dark: Column, width: int) -> DataFrame:
+    """The dark pixels with the label of their 8-connected component, the smallest pixel number. Pixels are joined with the
+    neighbours behind them, and groups are found over all rasters at once."""
     ink = pixels.where(dark).select("id", "x", "y", (F.col("id") * (width * width) + F.col("y") * width + F.col("x")).cast("bigint").alias("n"))
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])
     ask = ink.select("id", "n", "x", "y", F.explode(steps).alias("s")).select("id", F.col("n").alias("src"), (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
     links = ask.join(ink, ["id", "x", "y"]).select("src", F.col("n").alias("dst"))
-    named = ink.join(linked_groups(links), ink["n"] == F.col("node"), "left").withColumn("label", F.coalesce("first", "n"))
-    box = [F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.count(F.lit(1)).alias("area")]
-    return named.groupBy("id", "label").agg(*box)
+    return ink.join(linked_groups(links), ink["n"] == F.col("node"), "left").withColumn("label", F.coalesce("first", "n"))
 
 
 def classified(parts: DataFrame, width: int, height: int, edge: int = 1, shares: tuple[float, float, float] = (0.05, 0.04, 0.02), max_aspect: float = 10.0, min_dim: int = 0) -> DataFrame:
@@ -113,6 +153,57 @@ def border_cuts(pixels: DataFrame, dark: Column, width: int, reach: float = 0.4,
     return both.select("id", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right"))
 
 
+def border_pass(coverage: DataFrame, state: DataFrame, reach: float, share: float, least: float, most: float, drop: float, stands_out: float, edge: int) -> DataFrame:
+    """(id, left, right): one pass over the columns within ``state`` (id, lo, hi), of rasters where a cut is found. Places count from
+    the edge; a run that starts within ``edge`` of it and ends before ``reach`` of the width is a border if its mean is above that of as
+    many places behind it (within the reach) by ``drop`` of the largest coverage and ``stands_out`` of itself. The longest run
+    counts, the first of equals: on the left its cut ends behind it, on the right behind its outermost column, as the
+    reference has it; there a reach of no whole column stands for all."""
+    w = F.col("hi") - F.col("lo")
+    c = coverage.join(state, "id").where("x >= lo and x < hi").withColumn("top", F.max("coverage").over(Window.partitionBy("id"))).where("top > 0")
+    limit = F.floor(w * F.lit(reach))
+    sides = F.array(F.struct(F.lit(0).alias("side"), (F.col("x") - F.col("lo")).alias("p"), limit.alias("n")), F.struct(F.lit(1).alias("side"), (F.col("hi") - 1 - F.col("x")).alias("p"), F.when(limit > 0, limit).otherwise(w).alias("n")))
+    seen = c.select("id", "coverage", "top", w.alias("w"), F.explode(sides).alias("s")).select("id", "coverage", "top", "w", "s.*").where("p < n")
+    high = seen.where(F.col("coverage") >= share * F.col("top")).withColumn("g", F.col("p") - F.row_number().over(Window.partitionBy("id", "side").orderBy("p")))
+    runs = high.groupBy("id", "side", "g", "top", "w", "n").agg(F.min("p").alias("start"), (F.max("p") + 1).alias("stop"), F.avg("coverage").alias("mean"))
+    size = F.col("stop") - F.col("start")
+    shortest = F.greatest(F.lit(1), F.floor(F.col("w") * F.lit(least)))
+    runs = runs.where((F.col("stop") < F.col("n")) & (F.col("start") <= edge) & size.between(shortest, F.greatest(shortest, F.floor(F.col("w") * F.lit(most)))))
+    behind = runs.join(seen.select("id", "side", "p", "coverage"), ["id", "side"]).where((F.col("p") >= F.col("stop")) & (F.col("p") < F.col("stop") + size))
+    fall = F.col("mean") - F.col("after")
+    sharp = behind.groupBy("id", "side", "start", "stop", "mean", "top").agg(F.avg("coverage").alias("after")).where((F.round(fall - drop * F.col("top"), 9) >= 0) & (F.round(fall - stands_out * F.col("mean"), 9) >= 0))
+    cut = F.max_by(F.when(F.col("side") == 0, F.col("stop")).otherwise(F.col("start") + 1), F.struct(size, -F.col("start")))
+    return sharp.groupBy("id", "side").agg(cut.alias("cut")).groupBy("id").agg(*[F.coalesce(F.max(F.when(F.col("side") == k, F.col("cut"))), F.lit(0)).alias(v) for k, v in enumerate(("left", "right"))])
+
+
+def border_bounds(pixels: DataFrame, dark: Column, width: int, height: int, reach: float = 0.15, share: float = 0.35, least: float = 0.02, most: float = 0.1, drop: float = 0.4, stands_out: float = 0.5, edge: int = 2, passes: int = 5) -> DataFrame:
+    """(id, x0, x1, y0, y1): what stays after up to ``passes`` of ``border_pass``, each on what the last one left, and of the height
+    of rasters that were cut: runs of rows wholly within 0.3 of an edge go, but no more than 0.2 of the inked height per
+    edge, and the edges are tightened. Columns keep their coverage while others are cut, so all passes read one small table."""
+    px = pixels.select("id", "x", "y", dark.alias("ink"))
+    cov = materialise(projection(px, "x", F.col("ink")))
+    state = cov.select("id").distinct().select("id", F.lit(0).alias("lo"), F.lit(width).alias("hi"), F.lit(True).alias("more"))
+    for _ in range(passes):
+        cuts = border_pass(cov, state.where("more").drop("more"), reach, share, least, most, drop, stands_out, edge)
+        w = F.col("hi") - F.col("lo")
+        xl, right = F.least(w - 1, F.coalesce("left", F.lit(0))), F.coalesce("right", F.lit(0))
+        moved = state.join(cuts, "id", "left").select("id", (F.col("lo") + xl).cast("int").alias("lo"), (F.col("lo") + F.greatest(xl + 1, w - right)).cast("int").alias("hi"), F.col("left").isNotNull().alias("more"))
+        state = checkpoint(moved)
+        if not state.where("more").limit(1).count():
+            break
+    cut = state.where((F.col("lo") > 0) | (F.col("hi") < width)).select("id", "lo", "hi")
+    rows = projection(px.join(cut, "id").where("x >= lo and x < hi"), "y", F.col("ink"))
+    rows = rows.join(rows.groupBy("id").agg(F.max("coverage").alias("top")), "id")
+    near, far = int(height * 0.3), height - int(height * 0.3)
+    b = dark_runs(rows, "y", F.greatest(F.lit(0.001), 0.01 * F.col("top"))).groupBy("id").agg(
+        F.min("start").alias("begin"), F.max("stop").alias("end"), F.coalesce(F.min(F.when(F.col("stop") > near, F.col("start"))), F.max("start")).alias("a"), F.coalesce(F.max(F.when(F.col("start") < far, F.col("stop"))), F.max("stop")).alias("b")
+    )
+    free = F.floor((F.col("end") - F.col("begin")) * F.lit(0.2))
+    b = b.select("id", (F.col("begin") + F.least(free, F.col("a") - F.col("begin"))).alias("lo"), (F.col("end") - F.least(free, F.col("end") - F.col("b"))).alias("hi"))
+    tight = tightened(b, rows, "y", height, F.col("coverage") > F.greatest(F.lit(0.005), 0.005 * F.col("top"))).withColumnsRenamed({"lo": "y0", "hi": "y1"})
+    return state.join(tight, "id", "left").select("id", F.col("lo").alias("x0"), F.col("hi").alias("x1"), F.coalesce("y0", F.lit(0)).alias("y0"), F.coalesce("y1", F.lit(height)).alias("y1"))
+
+
 def frame_pixels(pixels: DataFrame, dark: Column, width: int, height: int, length: float = 0.7, margin: int = 1, most: float = 0.5) -> DataFrame:
     """(id, x, y) of the pixels of frames: rows and columns near an edge with a dark run of ``length`` of the raster, where such a row
     and such a column cross. A raster of whose ink more than ``most`` would go keeps all."""
@@ -132,24 +223,21 @@ def frame_pixels(pixels: DataFrame, dark: Column, width: int, height: int, lengt
     return frame.join(share.select("id"), "id", "left_semi")
 
 
-def noise_scores(pixels: DataFrame, width: int, dark: int, light: int) -> DataFrame:
+def noise_scores(pixels: DataFrame, width: int, dark: int, light: int, areas: tuple[int, int] = (2, 200_000), stroke: int = 6) -> DataFrame:
     """(id, label, area, aspect, near, spread, score, noise) for the components of mid-gray pixels (above ``dark``, below
     ``light``): the box's aspect, the mean distance of its pixels to the nearest dark stroke (largest coordinate difference) and
-    that distance's variation by its mean. The score is 0.4 of how compact it is (aspect from 5 down to 2) and 0.6 of how far and
-    how unevenly it lies (1.5 to 2 pixels, variation 0.2 to 0.25, half each); from 0.4 on it is noise. Without any stroke the
-    distance is the raster's side."""
+    that distance's variation by its mean. Dark components of fewer than ``stroke`` pixels are no strokes. The score is 0.4 of
+    how compact it is (aspect from 5 down to 2) and 0.6 of how far and how unevenly it lies (1.5 to 2 pixels, variation 0.2 to
+    0.25, half each, all of it without any stroke); from 0.4 on it is noise. Components with an area outside ``areas`` are kept
+    whatever their score."""
     mid = (F.col("gray") > dark) & (F.col("gray") < light)
-    number = (F.col("id") * (width * width) + F.col("y") * width + F.col("x")).cast("bigint")
-    grey = pixels.where(mid).select("id", "x", "y", number.alias("n"))
-    strokes = pixels.where(F.col("gray") <= dark).groupBy("id").agg(F.collect_list(F.struct("x", "y")).alias("s"))
+    ink = labelled(pixels, F.col("gray") <= dark, width).groupBy("id", "label").agg(F.collect_list(F.struct("x", "y")).alias("p"))
+    strokes = ink.where(F.size("p") >= stroke).groupBy("id").agg(F.flatten(F.collect_list("p")).alias("s"))
     away = F.array_min(F.transform("s", lambda p: F.greatest(F.abs(p["x"] - F.col("x")), F.abs(p["y"] - F.col("y")))))
-    far = grey.join(strokes, "id", "left").select("id", "x", "y", "n", F.coalesce(away, F.lit(width)).alias("d"))
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])
-    ask = grey.select("id", F.col("n").alias("src"), "x", "y", F.explode(steps).alias("s")).select("id", "src", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
-    links = linked_groups(ask.join(grey, ["id", "x", "y"]).select("src", F.col("n").alias("dst")))
-    named = far.join(links, far["n"] == links["node"], "left").withColumn("label", F.coalesce("first", "n"))
+    named = labelled(pixels, mid, width).join(strokes, "id", "left").select("id", "label", "x", "y", away.alias("d"))
     w, h = F.max("x") - F.min("x") + 1, F.max("y") - F.min("y") + 1
     parts = named.groupBy("id", "label").agg(F.count(F.lit(1)).alias("area"), (F.greatest(w, h) / F.least(w, h)).alias("aspect"), F.avg("d").alias("near"), (F.stddev_pop("d") / (F.avg("d") + 1)).alias("spread"))
     ramp = lambda v, lo, hi: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo)))
-    score = 0.4 * (1 - ramp(F.col("aspect"), 2.0, 5.0)) + 0.6 * (0.5 * ramp(F.col("near"), 1.5, 2.0) + 0.5 * ramp(F.col("spread"), 0.2, 0.25))
-    return parts.withColumn("score", F.round(score, 9)).withColumn("noise", F.col("score") >= 0.4)
+    far = F.when(F.col("near").isNull(), 1.0).otherwise(0.5 * ramp(F.col("near"), 1.5, 2.0) + 0.5 * ramp(F.col("spread"), 0.2, 0.25))
+    score = 0.4 * (1 - ramp(F.col("aspect"), 2.0, 5.0)) + 0.6 * far
+    return parts.withColumn("score", F.round(score, 9)).withColumn("noise", (F.col("score") >= 0.4) & F.col("area").between(*areas))

@@ -122,3 +122,15 @@ def frame_removal(spark, d):
 @query()
 def noise_removal(spark, d):
     return K.noise_scores(V.pixels(spark, d), 8, 110, 125).select("id", "label", "area", "aspect", "score", "noise")
+
+
+@query()
+def border_bounds(spark, d):
+    """All of the border trim, of which ``border_trim`` is a single step."""
+    return K.border_bounds(V.pixels(spark, d), F.col("gray") < DARK, 8, 8, reach=0.4, most=0.25)
+
+
+@query()
+def projection_bounds(spark, d):
+    """All of the projection trim, of which ``projection_trim`` is the cut of columns."""
+    return K.projection_bounds(V.pixels(spark, d), F.col("gray") < DARK, 8, 8, (0.3, 0.01), 0.3)
