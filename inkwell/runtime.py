@@ -10,17 +10,25 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where the session names none (tests, a single
-    machine) a local folder is made and set."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only where the session names none and all its tasks run on this
+    machine (a local master, as in tests) a local folder is made and set; a cluster without one is an error, since rows
+    written to the executors' own disks would be lost."""
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not is_local(sc.master):
+        raise RuntimeError("the cluster names no shared folder: set spark.checkpoint.dir")
     sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-inkwell-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def is_local(master: str) -> bool:
+    """Does a session with this master run all its tasks on one machine? ``local-cluster`` starts executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder, so that a lost executor costs a read and no recomputation."""
     shared_dir(df.sparkSession)
@@ -36,11 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder, read back: cuts the lineage like ``checkpoint``, in a compact form for rows
     that several branches of a plan read."""
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
