@@ -1,9 +1,10 @@
 """Byte-level BPE of whole columns with the vocabulary of a public tokenizer (problem 8), and sizes in its tokens.
 
-Per slice of the corpus (some MB of whole texts in one task; nothing is shuffled) texts are cut into words by the
-vocabulary's published split rule, distinct words are kept once, and the merges are replayed over all of them together: an
-inverted index from token pair to positions is worked off in rank order, and each merge touches only the neighbours of the
-places where it applies. The ids of the words are then gathered for every text."""
+Texts are cut into words by the vocabulary's published split rule, slice by slice (about a MB of whole texts); a slice hands on
+its distinct words only, and its texts as places in that list. The words of all slices meet by their hash in blocks of the
+corpus, where each distinct word is encoded once, whatever slice it is from: an inverted index from token pair to word positions
+applies the merges in rank order, and each merge touches only the neighbours of the places where it applies. Words and texts
+come together again by slice. No text travels, and no word more often than once a slice."""
 
 from __future__ import annotations
 
@@ -17,9 +18,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Bytes of text whose distinct words are encoded together; a longer text is a slice of its own.
-SLICE_BYTES = 8_000_000
+from inkwell.runtime import materialise
+
+#: Bytes of text that are cut into words together; a longer text is a slice of its own.
+SLICE_BYTES = 1_000_000
+#: Bytes of words, by the sum over slices, that one task encodes together.
+BLOCK_BYTES = 4_000_000
 #: Below this many places a merge is replayed in plain Python, above it in numpy.
 FEW = 48
 
@@ -62,8 +68,13 @@ class Vocabulary:
         self.keys = key[self.by_key]
         self.rank_of = dict(zip(key.tolist(), range(len(pairs)), strict=True))
         self.pair_of = list(zip((key >> 20).tolist(), (key & 0xFFFFF).tolist(), strict=True))
-        length = dict.fromkeys(ids.values(), 0) | {i: len(t) for t, i in ids.items()}
-        self.byte_length = np.array([length.get(i, 0) for i in range(max(length) + 1)], np.int64)
+        byte_of = {c: b for b, c in shown.items()}
+        spelled = {i: bytes(byte_of[c] for c in t) for t, i in ids.items()}
+        tokens = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.byte_length = np.array([len(t) for t in tokens], np.int64)
+        self.characters = np.array([sum(c & 0xC0 != 0x80 for c in t) for t in tokens], np.int64)  # that begin in the token
+        self.within = np.array([bool(t) and t[0] & 0xC0 == 0x80 for t in tokens])  # begins within a character
         self.bytes_rank = self.ranks(self.byte_ids[np.arange(65536) >> 8], self.byte_ids[np.arange(65536) & 255])
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -269,56 +280,249 @@ def text_bytes(text: pa.Array) -> tuple[bytes, np.ndarray]:
 
 
 def gather(ids: np.ndarray, per_word: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """The ids of all occurrences end to end: those of word ``code[0]``, then of ``code[1]`` and so on."""
+    """What the words have in ``ids`` (``per_word`` entries each) for all occurrences end to end: that of word ``code[0]``, then
+    of ``code[1]`` and so on."""
     counts = per_word[code]
     keep = counts > 0
     src, counts = (np.cumsum(per_word) - per_word)[code][keep], counts[keep]
     if not len(counts):
-        return np.zeros(0, np.int32)
+        return ids[:0]
     first = np.cumsum(counts) - counts
     step = np.ones(int(counts.sum()), np.int64)
     step[first[1:]] = src[1:] - (src[:-1] + counts[:-1]) + 1
     step[0] = src[0]
-    return ids[np.cumsum(step)].astype(np.int32)
+    return ids[np.cumsum(step)]
+
+
+def _binary(values: list[np.ndarray]) -> pa.Array:
+    """One binary value per array, as its bytes."""
+    return _cut(np.concatenate(values) if values else np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum([len(v) for v in values])]))
+
+
+def _cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of ``values[bounds[i]:bounds[i + 1]]``."""
+    offsets = np.ascontiguousarray(bounds * values.itemsize, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _joined(column: pa.Array, kind: np.dtype | type) -> tuple[np.ndarray, np.ndarray]:
+    """The contents of a binary column end to end and where each value begins (one more than rows); null is empty."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    size = np.dtype(kind).itemsize
+    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None else np.zeros(0, kind)
+    return values, (offsets - offsets[0]) // size
 
 
-def encode_array(text: pa.Array, vocab: Vocabulary) -> pa.Array:
-    """list<int32>: the ids of every text; null for null, the empty list for the empty text."""
-    raw, offsets = text_bytes(text)
-    nulls = text.is_null().to_numpy(zero_copy_only=False)
-    words = Words(raw, np.unique(offsets[:-1][offsets[1:] > offsets[:-1]]))
-    ids, per_word = replay(words.bytes, words.word_starts, vocab)
-    flat = gather(ids, per_word, words.code)
-    before = np.concatenate([[0], np.cumsum(per_word[words.code])])
-    row = before[np.searchsorted(words.starts, offsets)].astype(np.int64)
-    values = pa.array(flat)
-    bounds = pa.array(row.astype(np.int32), mask=np.append(nulls, False)) if nulls.any() else pa.array(row.astype(np.int32))
-    return pa.ListArray.from_arrays(bounds, values)
+Strengths = Callable[[bytes, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _encoder(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cutter(strengths: Strengths | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Slices of texts: a row of kind 0 with the slice's distinct words (a: bytes, b: lengths), and one of kind 1 per text (a: the
+    places of its words in that list, b: what ``strengths`` says of the byte each word begins with; both null for a null text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        for b in batches:
-            for i, j in slices(b.column(1)):
-                ids = encode_array(b.column(1).slice(i, j - i), vocab)
-                out = ids if with_ids else pc.list_value_length(ids).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), out], names=["id", "out"])
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for i, j in slices(batch.column(1)):
+                ids, text = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
+                raw, offsets = text_bytes(text)
+                begin = np.unique(offsets[:-1][offsets[1:] > offsets[:-1]])
+                words = Words(raw, begin)
+                row = np.append(np.searchsorted(words.starts, offsets[:-1]), len(words.starts))
+                wide = len(words.word_starts) > 0xFFFF
+                code = _cut(words.code.astype(np.int32 if wide else np.uint16), row)
+                mark = _cut(strengths(raw, begin, words.starts)[words.starts], row) if strengths and len(raw) else _cut(np.zeros(0, np.int8), row * 0)
+                lengths = np.diff(np.append(words.word_starts, len(words.bytes))).astype(np.int32)
+                nulls = pc.is_null(text)
+                none = pa.scalar(None, pa.binary())
+                columns = [
+                    pa.concat_arrays([pa.nulls(1, ids.type), ids]),
+                    pa.concat_arrays([_binary([words.bytes]), pc.if_else(nulls, none, code)]),
+                    pa.concat_arrays([_binary([lengths.view(np.uint8)]), pc.if_else(nulls, none, mark)]),
+                ]
+                n = len(ids) + 1
+                kind = pa.array(np.append(0, np.ones(n - 1)).astype(np.int8))
+                fixed = [pa.array(np.full(n, number, np.int64)), kind, pa.array(np.full(n, wide))]
+                yield pa.RecordBatch.from_arrays([*fixed, *columns], names=["slice", "kind", "wide", "id", "a", "b"])
+                number += 1
+
+    return run
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word (none is empty)."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    power = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+    at = np.arange(len(data)) - np.repeat(starts, lengths)
+    h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[at], starts)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _spreader(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The words of a slice by the block that their hash falls into: block, slice, a (bytes), b (lengths), at (places)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data, _ = _joined(batch.column(1).slice(i, 1), np.uint8)
+                lengths, _ = _joined(batch.column(2).slice(i, 1), np.int32)
+                lengths = lengths.astype(np.int64)
+                starts = np.cumsum(lengths) - lengths
+                block = (_hashes(data, starts, lengths) % np.uint64(blocks)).astype(np.int32)
+                order = np.argsort(block, kind="stable")
+                first = np.flatnonzero(np.diff(block[order], prepend=-1))
+                edges = np.append(first, len(order))
+                sorted_bytes = gather(data, lengths, order)
+                spans = np.concatenate([[0], np.cumsum(lengths[order])])
+                columns = [
+                    pa.array(block[order][first]),
+                    pa.array(np.full(len(first), batch.column(0)[i].as_py(), np.int64)),
+                    _cut(sorted_bytes, spans[edges]),
+                    _cut(lengths[order].astype(np.int32), edges),
+                    _cut(order.astype(np.int32), edges),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "slice", "a", "b", "at"])
 
     return run
 
 
+def _replayer(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Encodes the distinct words of a block once and hands every slice its own: slice, at, a (ids), b (how many each)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        slice_, at = table.column("slice").combine_chunks(), table.column("at").combine_chunks()
+        data = np.concatenate([_joined(c, np.uint8)[0] for c in table.column("a").chunks])
+        lengths = np.concatenate([_joined(c, np.int32)[0] for c in table.column("b").chunks]).astype(np.int64)
+        rows = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(_joined(c, np.int32)[1]) for c in table.column("b").chunks]))])
+        del table, held
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        bounds = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[coded.dictionary.offset :][: len(coded.dictionary) + 1]
+        words = np.frombuffer(coded.dictionary.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+        ids, per_word = replay(words, bounds[:-1] - bounds[0], vocabulary(path))
+        for i in range(len(rows) - 1):
+            mine = code[rows[i] : rows[i + 1]]
+            got = [gather(ids, per_word, mine).view(np.uint8)] if with_ids else [np.zeros(0, np.uint8)]
+            columns = [slice_.slice(i, 1), at.slice(i, 1), _binary(got), _binary([per_word[mine].astype(np.int32).view(np.uint8)])]
+            yield pa.RecordBatch.from_arrays(columns, names=["slice", "at", "a", "b"])
+
+    return run
+
+
+Finish = Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
+
+
+def _finisher(finish: Finish) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams over rows sorted by slice and kind: the encoded words of a slice, then its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: int | None = None
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        ready: tuple[np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            slices_ = batch.column(0).to_numpy(zero_copy_only=False)
+            kinds = batch.column(1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((np.diff(slices_) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(slices_)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if i == j:
+                    continue
+                if slices_[i] != current:
+                    current, parts, ready = int(slices_[i]), [], None
+                run_ = batch.slice(i, j - i)
+                if kinds[i] == 0:
+                    for k in range(j - i):
+                        parts.append(tuple(_joined(run_.column(c).slice(k, 1), np.int32)[0] for c in (6, 4, 5)))
+                    continue
+                if ready is None:
+                    ready = _in_place(parts)
+                    parts = []
+                code, rows = _joined(run_.column(4), np.int32 if run_.column(2)[0].as_py() else np.uint16)
+                mark, _ = _joined(run_.column(5), np.int8)
+                nulls = pc.is_null(run_.column(4)).to_numpy(zero_copy_only=False)
+                yield finish(run_.column(3), nulls, code, rows, mark, *ready)
+
+    return run
+
+
+def _in_place(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a slice's words end to end in the order of its list, and how many each word has."""
+    at, ids, counts = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 3
+    order = np.argsort(at)
+    counts = counts.astype(np.int64)
+    return (gather(ids, counts, order) if len(ids) else ids), counts[order]
+
+
+def encoded(df: DataFrame, id_col: str, text: str, path: str | None, finish: Finish, schema: str, strengths: Strengths | None = None, with_ids: bool = True) -> DataFrame:
+    """Rows of ``schema`` that ``finish`` makes of the texts of each slice: it is given their ids, which are null, the places of their
+    words, where each text's begin, ``strengths`` per word, and the token ids of the slice's words with their numbers. Slices and
+    their words are kept as a table in the shared folder."""
+    path = path or default_path()
+    kind = df.schema[id_col].dataType.simpleString()
+    table = materialise(df.select(id_col, text).mapInArrow(_cutter(strengths), f"slice bigint, kind tinyint, wide boolean, id {kind}, a binary, b binary"), "zstd")
+    lists = table.where("kind = 0")
+    total = lists.agg(F.sum(F.octet_length("a"))).head()[0] or 0  # one row, to fix the number of blocks
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    words = lists.select("slice", "a", "b").mapInArrow(_spreader(blocks), "block int, slice bigint, a binary, b binary, at binary").repartitionById(blocks, F.col("block"))
+    known = words.mapInArrow(_replayer(path, with_ids), "slice bigint, at binary, a binary, b binary")
+    own = known.select("slice", F.lit(0).cast("tinyint").alias("kind"), F.lit(False).alias("wide"), F.lit(None).cast(kind).alias("id"), "a", "b", "at")
+    texts = table.where("kind = 1").withColumn("at", F.lit(None).cast("binary"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = own.unionAll(texts).repartition(n, "slice").sortWithinPartitions("slice", "kind")
+    return both.mapInArrow(_finisher(finish), schema)
+
+
+def _with_ids(ids: pa.Array, nulls: np.ndarray, code: np.ndarray, rows: np.ndarray, mark: np.ndarray, tokens: np.ndarray, per_word: np.ndarray) -> pa.RecordBatch:
+    before = np.concatenate([[0], np.cumsum(per_word[code])])
+    bounds = pa.array(before[rows].astype(np.int32), mask=np.append(nulls, False)) if nulls.any() else pa.array(before[rows].astype(np.int32))
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(bounds, pa.array(gather(tokens, per_word, code)))], names=["id", "out"])
+
+
+def _with_counts(ids: pa.Array, nulls: np.ndarray, code: np.ndarray, rows: np.ndarray, mark: np.ndarray, tokens: np.ndarray, per_word: np.ndarray) -> pa.RecordBatch:
+    before = np.concatenate([[0], np.cumsum(per_word[code])])
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(before[rows]), pa.int64(), mask=nulls)], names=["id", "out"])
+
+
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, out: str = "ids") -> DataFrame:
     """(id, ids): the token ids of each row's text, without special tokens (their strings are ordinary text). A null text has
     null ids, an empty one the empty list; a blank text is encoded like any other; repeated ids give repeated rows; other
-    columns are ignored. Texts are processed whole, whatever their length, and no row is shuffled."""
+    columns are ignored; an empty table gives no row. Texts are processed whole, whatever their length."""
     kind = df.schema[id_col].dataType.simpleString()
-    done = df.select(id_col, text).mapInArrow(_encoder(path or default_path(), True), f"id {kind}, out array<int>")
-    return done.toDF(id_col, out)
+    return encoded(df, id_col, text, path, _with_ids, f"id {kind}, out array<int>").toDF(id_col, out)
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, out: str = "n_tokens") -> DataFrame:
     """(id, n_tokens bigint): how many tokens each text has; null for a null text, 0 for an empty one."""
     kind = df.schema[id_col].dataType.simpleString()
-    done = df.select(id_col, text).mapInArrow(_encoder(path or default_path(), False), f"id {kind}, out bigint")
-    return done.toDF(id_col, out)
+    return encoded(df, id_col, text, path, _with_counts, f"id {kind}, out bigint", with_ids=False).toDF(id_col, out)
+
+
+def _decoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                lists = batch.column(1).slice(i, 512)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                text = gather(vocab.token_bytes, vocab.byte_length, flat)
+                ends = np.concatenate([[0], np.cumsum(vocab.byte_length[flat])])[np.concatenate([[0], np.cumsum(counts)])]
+                whole = pa.Array.from_buffers(pa.string(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(text))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 512), pc.if_else(pc.is_null(lists), pa.scalar(None, pa.string()), whole)], names=["id", "out"])
+
+    return run
+
+
+def decode_ids(df: DataFrame, id_col: str = "doc_id", ids: str = "ids", path: str | None = None, out: str = "text") -> DataFrame:
+    """(id, text): the text that token ids stand for; null for null ids, empty for none. Ids of no token stand for nothing."""
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, ids).mapInArrow(_decoder(path or default_path()), f"id {kind}, out string").toDF(id_col, out)

@@ -3,15 +3,15 @@
 Every place between two tokens of a text has a strength: a new mail part or message, a blank line, a change of the quotation
 depth, a line, a sentence, a blank, a word, anything else between characters. A sparse table of range maxima over the
 strengths gives the strongest cut in the window of permissible piece lengths; of equal ones the rightmost. The next piece
-begins the overlap before the cut. All texts of a slice advance together; texts are processed whole, without a shuffle."""
+begins the overlap before the cut. All texts of a slice advance together. Texts are processed whole; what travels with their
+words (see ``bpe``) is the strength of the cut before each word, since a cut within a word follows from its tokens."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from inkwell.llm import bpe
 
@@ -37,16 +37,12 @@ def boundary_strengths(raw: bytes, text_starts: np.ndarray, word_starts: np.ndar
     lines = np.flatnonzero(u[:-1] == 10) + 1 if n > 1 else np.zeros(0, np.int64)
     lines = lines[s[lines] >= WORD]
     s[lines] = LINE
-    # depth of quotation of every line
+    # depth of quotation of every line: its marks, each with at most one blank before it, up to the first other character
     pad = np.concatenate([u, np.zeros(2, np.uint8)])
-    at, depth = lines.copy(), np.zeros(len(lines), np.int32)
-    for _ in range(24):
-        at = at + ((pad[np.minimum(at, n)] == 32) & (pad[np.minimum(at + 1, n + 1)] == 62))
-        q = pad[np.minimum(at, n)] == 62
-        if not q.any():
-            break
-        depth += q
-        at = at + q
+    mark = pad[:-1] == 62
+    other = np.flatnonzero(~(mark | (pad[:-1] == 32) & (pad[1:] == 62)))
+    marks = np.concatenate([[0], np.cumsum(mark)])
+    depth = marks[other[np.searchsorted(other, lines)]] - marks[lines]
     if len(lines) > 1:
         s[lines[1:][depth[1:] != depth[:-1]]] = QUOTE
     p2, p3 = back(lines, 2), back(lines, 3)
@@ -96,57 +92,58 @@ def cuts(strength: np.ndarray, begin: np.ndarray, end: np.ndarray, limit: int, o
     return who[order], lo[order], hi[order]
 
 
-def split_slice(ids: pa.Array, text: pa.Array, vocab: bpe.Vocabulary, limit: int, overlap: int) -> pa.RecordBatch:
-    raw, offsets = bpe.text_bytes(text)
-    filled = np.flatnonzero(offsets[1:] > offsets[:-1])
-    words = bpe.Words(raw, offsets[:-1][filled])
-    tokens, per_word = bpe.replay(words.bytes, words.word_starts, vocab)
-    flat = bpe.gather(tokens, per_word, words.code)
-    at = np.cumsum(vocab.byte_length[flat]) - vocab.byte_length[flat]  # byte at which each token begins
-    by_byte = boundary_strengths(raw, offsets[:-1][filled], words.starts) if len(raw) else np.zeros(0, np.int8)
-    begin = np.searchsorted(at, offsets[:-1][filled])
-    end = np.append(begin[1:], len(flat))
-    who, lo, hi = cuts(by_byte[at], begin, end, limit, overlap) if len(flat) else (np.zeros(0, np.int64),) * 3
-    edge = np.append(at, len(raw))
-    b0, b1 = edge[lo], edge[hi]
-    chars = np.concatenate([[0], np.cumsum(by_byte != WITHIN)])
-    row = filled[who]
-    new = np.append(True, who[1:] != who[:-1])[: len(who)]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(who)), 0)) if len(who) else who
-    base = chars[offsets[:-1][row]]
-    pieces = pa.array([raw[i:j] for i, j in zip(b0.tolist(), b1.tolist(), strict=True)], pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [
-            ids.take(pa.array(row)),
-            pa.array((np.arange(len(who)) - first + 1).astype(np.int32)),
-            pa.array((lo - begin[who]).astype(np.int64)),
-            pa.array((hi - lo).astype(np.int64)),
-            pa.array((chars[b0] - base).astype(np.int64)),
-            pa.array((chars[b1] - chars[b0]).astype(np.int64)),
-            pieces,
-        ],
-        names=["id", "piece", "token_from", "n_tokens", "char_from", "n_chars", "text"],
-    )
-
-
-def _splitter(path: str, limit: int, overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = bpe.vocabulary(path)
-        for b in batches:
-            for i, j in bpe.slices(b.column(1)):
-                yield split_slice(b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), vocab, limit, overlap)
-
-    return run
+def _pieces(vocab: bpe.Vocabulary, limit: int, overlap: int) -> bpe.Finish:
+    def finish(ids: pa.Array, nulls: np.ndarray, code: np.ndarray, rows: np.ndarray, mark: np.ndarray, tokens: np.ndarray, per_word: np.ndarray) -> pa.RecordBatch:
+        flat = bpe.gather(tokens, per_word, code)
+        first = np.concatenate([[0], np.cumsum(per_word[code])])  # token at which each word begins
+        strength = np.where(vocab.within[flat], WITHIN, CHARACTER).astype(np.int8)
+        strength[first[:-1]] = mark
+        filled = np.flatnonzero(rows[1:] > rows[:-1])
+        begin, end = first[rows[filled]], first[rows[filled + 1]]
+        who, lo, hi = cuts(strength, begin, end, limit, overlap) if len(flat) else (np.zeros(0, np.int64),) * 3
+        chars, at = (np.concatenate([[0], np.cumsum(v[flat])]) for v in (vocab.characters, vocab.byte_length))
+        text = bpe.gather(vocab.token_bytes, vocab.byte_length, flat).tobytes()
+        new = np.append(True, who[1:] != who[:-1])[: len(who)]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(who)), 0)) if len(who) else who
+        return pa.RecordBatch.from_arrays(
+            [
+                ids.take(pa.array(filled[who])),
+                pa.array((np.arange(len(who)) - start + 1).astype(np.int32)),
+                pa.array(lo - begin[who], pa.int64()),
+                pa.array(hi - lo, pa.int64()),
+                pa.array(chars[lo] - chars[begin[who]], pa.int64()),
+                pa.array(chars[hi] - chars[lo], pa.int64()),
+                pa.array([text[i:j] for i, j in zip(at[lo].tolist(), at[hi].tolist(), strict=True)], pa.binary()).cast(pa.string()),
+            ],
+            names=["id", "piece", "token_from", "n_tokens", "char_from", "n_chars", "text"],
+        )
+
+    return finish
+
+
+def _finish_with(path: str, limit: int, overlap: int) -> bpe.Finish:
+    def finish(*slice_: object) -> pa.RecordBatch:
+        return _pieces(bpe.vocabulary(path), limit, overlap)(*slice_)
+
+    return finish
 
 
 def split_texts(df: DataFrame, limit: int, overlap: int, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(id, piece, token_from, n_tokens, char_from, n_chars, text): the pieces of every text, in tokens of the text's own
     encoding. Texts within ``limit`` tokens are one piece; no piece is longer. Consecutive pieces share ``overlap`` tokens (up to
     three more where that would fall within a character). Null and empty texts have no piece; repeated ids give repeated
-    pieces; other columns are ignored. ``limit`` has to be at least twice ``overlap`` plus 16, so that every window holds the
-    end of a character."""
+    pieces; other columns are ignored; an empty table gives no row. Bytes that are no UTF-8 come out as U+FFFD. ``limit`` has to be
+    at least twice ``overlap`` plus 16, so that every window holds the end of a character."""
     if overlap < 0 or limit < 2 * overlap + 16:
         raise ValueError("the limit has to be at least twice the overlap plus 16")
+    path = path or bpe.default_path()
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, token_from bigint, n_tokens bigint, char_from bigint, n_chars bigint, text string"
-    return df.select(id_col, text).mapInArrow(_splitter(path or bpe.default_path(), limit, overlap), schema).withColumnRenamed("id", id_col)
+    return bpe.encoded(df, id_col, text, path, _finish_with(path, limit, overlap), schema, boundary_strengths).withColumnRenamed("id", id_col)
+
+
+def rejoined(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, text): each text put together again from its pieces, without the overlaps. Ids have to be unique."""
+    behind = F.lead("char_from").over(Window.partitionBy(id_col).orderBy("piece"))
+    own = pieces.select(id_col, "piece", F.when(behind.isNull(), F.col("text")).otherwise(F.substring("text", F.lit(1), (behind - F.col("char_from")).cast("int"))).alias("t"))
+    return own.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("piece", "t"))).alias("p")).select(id_col, F.array_join(F.transform("p", lambda x: x["t"]), "").alias("text"))

@@ -31,6 +31,8 @@ def texts(n=300, seed=1):
 
 def test_ids_equal_the_library(spark, reference, monkeypatch):
     monkeypatch.setattr(bpe, "FEW", 3)
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 700)  # many slices share words
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 2000)
     rows = [(i, t, "x") for i, t in enumerate(texts())] + [(0, "twice", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string").repartition(3)
     got = bpe.encode_texts(df).collect()
@@ -40,20 +42,31 @@ def test_ids_equal_the_library(spark, reference, monkeypatch):
     counts = {r.doc_id: r.n_tokens for r in bpe.token_counts(df).collect() if r.doc_id}
     assert counts == {i: None if ids is None else len(ids) for i, ids in want}
     assert bpe.encode_texts(df.limit(0)).count() == 0
+    back = {r.doc_id: r.text for r in bpe.decode_ids(bpe.encode_texts(df)).collect() if r.doc_id}
+    assert back == {i: t for i, t, _ in rows if i}
+
+
+def encode_array(text, vocab):
+    raw, offsets = bpe.text_bytes(text)
+    words = bpe.Words(raw, np.unique(offsets[:-1][offsets[1:] > offsets[:-1]]))
+    ids, per_word = bpe.replay(words.bytes, words.word_starts, vocab)
+    row = np.append(np.searchsorted(words.starts, offsets[:-1]), len(words.starts))
+    out = [bpe.gather(ids, per_word, words.code[i:j]).tolist() for i, j in zip(row[:-1], row[1:], strict=True)]
+    return [y if v else None for v, y in zip(text.is_valid().to_pylist(), out, strict=True)]
 
 
 @pytest.mark.parametrize("few", [0, 10**9])
 def test_replay_in_both_forms(reference, monkeypatch, few):
     monkeypatch.setattr(bpe, "FEW", few)
     t = texts(2000, 7)
-    got = bpe.encode_array(pa.array(t, pa.string()), bpe.vocabulary(PATH)).to_pylist()
+    got = encode_array(pa.array(t, pa.string()), bpe.vocabulary(PATH))
     assert got == [None if x is None else reference.encode(x, add_special_tokens=False).ids for x in t]
 
 
 def test_broken_utf8():
     broken = pa.Array.from_buffers(pa.string(), 2, [None, pa.py_buffer(np.array([0, 3, 5], np.int32)), pa.py_buffer(b"a\xffbcd")])
-    got = bpe.encode_array(broken, bpe.vocabulary(PATH)).to_pylist()
-    assert got == bpe.encode_array(pa.array(["a\ufffdb", "cd"]), bpe.vocabulary(PATH)).to_pylist()
+    got = encode_array(broken, bpe.vocabulary(PATH))
+    assert got == encode_array(pa.array(["a\ufffdb", "cd"]), bpe.vocabulary(PATH))
 
 
 def test_slices_hold_whole_texts():
@@ -132,6 +145,19 @@ def test_split(spark, reference, limit, overlap):
         split_texts(df, 20, 10)
 
 
+def test_depth_of_quotation_without_a_limit():
+    from inkwell.llm.splitting import LINE, QUOTE, boundary_strengths
+
+    depths = [0, 3, 4, 24, 25, 30, 60, 60, 2000, 1999]
+    lines = ["x\n", *((">" if i % 2 else "> ") * d + "x\n" for i, d in enumerate(depths))]
+    raw = "".join(lines).encode()
+    starts = np.cumsum([0, *map(len, lines[:-1])])
+    words = np.unique(np.concatenate([starts, [0]]))
+    s = boundary_strengths(raw, np.array([0]), words)
+    want = [QUOTE if a != b else LINE for a, b in zip([0, *depths][:-1], depths, strict=True)]
+    assert s[starts[2:]].tolist() == want[1:]
+
+
 def test_cuts_are_the_strongest(spark):
     body = "word " * 40
     text = f"{body}\n\n{body}\n{body}. {body}"
