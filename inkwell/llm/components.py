@@ -1,23 +1,29 @@
 """Consolidating pairwise matches into groups (problem 2): near-overlapping boxes and connected components.
 
-One global sort by key, box and id puts identical boxes together without expanding them into pairs and drops rows that are
-alone with their key; pairs of the others are found on the key plus a grid cell, so that no key is one task. Components come from union-find within edge partitions: blocks of bounded size keep a spanning
-forest each, and forests are merged level by level over the roots alone, until no node has two roots."""
+One global sort by key, box and id puts identical boxes together without expanding them into pairs; while streaming over a
+sorted partition, the few boxes of a key are compared on the spot, and only keys of many boxes, or that reach over the
+partition's ends, go to a join on the key plus a grid cell, so that no key is one task. Components come from union-find within
+edge partitions: blocks of bounded size keep a spanning forest each, and forests are merged level by level over the roots alone,
+until no node has two roots."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators.boxes import overlap_pairs, page_boxes
-from inkwell.runtime import checkpoint, materialise
+from inkwell.operators.boxes import OVERLAP, RATIO, overlap_pairs, page_boxes
+from inkwell.runtime import materialise
 
 #: Edges that one union-find holds at once; a larger partition is worked off in blocks of this size.
 BLOCK_EDGES = 1_000_000
+#: Distinct boxes of a key up to which all are compared on the spot.
+FEW_BOXES = 32
+#: Rows of one key that wait for the rest of their key; a longer run goes to the join.
+HELD_ROWS = 100_000
 
 
 def _forest(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,18 +82,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     levels: list[DataFrame] = []
     lows: list[DataFrame] = []
     while True:
-        forest = checkpoint(links.mapInArrow(_forest_batches, "node bigint, root bigint"))
+        forest = materialise(links.mapInArrow(_forest_batches, "node bigint, root bigint"))
         pick = F.min_by("root", F.xxhash64("root", F.lit(len(levels))))
-        label = forest.groupBy("node").agg(pick.alias("up"), F.min("root").alias("low"), F.max("root").alias("high"))
-        met = label.where("low <> high").select("node", "up")
-        if met.isEmpty():
+        label = materialise(forest.groupBy("node").agg(pick.alias("up"), F.min("root").alias("low"), F.max("root").alias("high")))
+        if label.where("low <> high").isEmpty():
             levels.append(label.select("node", F.col("low").alias("up")))
             break
-        label = checkpoint(label.select("node", "up", "low", "high"))
         levels.append(label.select("node", "up"))
         lows.append(forest.select("root").distinct())
+        # pairs of roots, spread by both: many trees meet in few roots
         links = forest.join(label.where("low <> high").select("node", "up"), "node").where("root <> up").select(F.col("root").alias("src"), F.col("up").alias("dst")).distinct()
-        links = links.repartition("dst")
     found = levels[-1]
     for below in reversed(levels[:-1]):
         above = found.select(F.col("node").alias("up"), F.col("up").alias("__top"))
@@ -98,85 +102,96 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return found.select("node", F.col("up").alias("component"))
 
 
-def _runs(change: np.ndarray) -> np.ndarray:
-    return np.cumsum(change) - 1
-
-
-def _linked_boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams over a partition sorted by key, box and id: each row with the first row of its box here (``rep``) and whether
-    its key has another box, here or perhaps in the partition before or behind (``pair``). Rows alone with their key are
-    dropped: nothing can match them. A row that may yet be alone waits for the next batch."""
-    names = ["k1", "k2", "x", "y", "w", "h", "id"]
-    waiting: pa.RecordBatch | None = None
-    rep: int | None = None
-    last: tuple | None = None  # the last row passed on
-    first_key: tuple | None = None
-    boxes_of_last = 0
-
-    def emit(b: pa.RecordBatch, ends: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal rep, last, first_key, boxes_of_last
-        c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-        n = b.num_rows
-        new_key = np.ones(n, bool)
-        new_key[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])
-        new_box = new_key.copy()
-        for v in c[2:6]:
-            new_box[1:] |= v[1:] != v[:-1]
-        head = tuple(int(v[0]) for v in c[:6])
-        same_key = last is not None and head[:2] == last[:2]
-        same_box = last is not None and head == last
-        new_box[0] = not same_box
-        key, box = _runs(new_key), np.cumsum(new_box)
-        starts = np.flatnonzero(new_box)
-        ids = c[6]
-        reps = np.concatenate([[rep if rep is not None else 0], ids[starts]])[box]
-        rows_of, boxes_of = np.bincount(key), np.bincount(key, weights=new_box).astype(np.int64)
-        if same_key:
-            rows_of[0] += 1
-            boxes_of[0] += boxes_of_last
-        if first_key is None:
-            first_key = head[:2]
-        edge = np.zeros(len(rows_of), bool)
-        edge[0] = head[:2] == first_key
-        edge[-1] |= ends
-        keep = (rows_of > 1) | edge
-        pair = (boxes_of > 1) | edge
-        # a key that goes on in the next batch may get more boxes there
-        pair[-1] = True
-        last = tuple(int(v[-1]) for v in c[:6])
-        rep = int(reps[-1])
-        boxes_of_last = int(boxes_of[-1])
-        out = pa.RecordBatch.from_arrays([*b.columns, pa.array(reps.astype(np.int64)), pa.array(pair[key])], names=[*names, "rep", "pair"])
-        yield out.filter(pa.array(keep[key]))
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        if waiting is not None:
-            b = pa.Table.from_batches([waiting, b]).combine_chunks().to_batches()[0]
-            waiting = None
-        k1, k2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        n = b.num_rows
-        continues = n == 1 and last is not None and (int(k1[0]), int(k2[0])) == last[:2]
-        alone = not continues and (n == 1 or k1[-1] != k1[-2] or k2[-1] != k2[-2])
-        if alone:
-            waiting = b.slice(n - 1)
-            b = b.slice(0, n - 1)
-        if b.num_rows:
-            yield from emit(b, False)
-    if waiting is not None:
-        yield from emit(waiting, True)
-
-
-def duplicate_groups(matched: DataFrame, id_col: str = "record_id", overlap: float = 0.8, ratio: float = 1.6) -> DataFrame:
+BY = ["k1", "k2", "x", "y", "w", "h", "id"]
+
+
+def _near(a: list[np.ndarray], b: list[np.ndarray], overlap: int, ratio: int) -> np.ndarray:
+    """Do the boxes (x, y, w, h) nearly coincide? Limits in whole thousandths."""
+    ok = np.ones(len(a[0]), bool)
+    for p, w in ((0, 2), (1, 3)):
+        common = np.minimum(a[p] + a[w], b[p] + b[w]) - np.maximum(a[p], b[p])
+        small, large = np.minimum(a[w], b[w]), np.maximum(a[w], b[w])
+        ok &= (common * 1000 >= small * overlap) & (large * 1000 <= small * ratio)
+    return ok
+
+
+def _linker(overlap: int, ratio: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams over a partition sorted by key, box and id. Rows (src, dst): a copy with the first row of its box, and the first rows
+    of two boxes that nearly coincide. Rows with a box (src alone): boxes still to be compared, since their key has many or may
+    have more in another partition. Rows alone with their key give none: nothing can match them."""
+
+    def links(src: np.ndarray, dst: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(src), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), *[none] * 6], names=["src", "dst", *BY[:6]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 7
+        first = True  # the key at hand may have begun in the partition before
+        last_box: tuple | None = None
+        rep = 0
+
+        def emit(c: list[np.ndarray], open_end: bool) -> Iterator[pa.RecordBatch]:
+            """Whole keys, but for the first key while ``first`` and the last with ``open_end``."""
+            nonlocal first, last_box, rep
+            n = len(c[0])
+            if not n:
+                return
+            new_key = np.ones(n, bool)
+            new_key[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])
+            new_box = new_key.copy()
+            for v in c[2:6]:
+                new_box[1:] |= v[1:] != v[:-1]
+            if last_box is not None and last_box == tuple(int(v[0]) for v in c[:6]):
+                new_box[0] = False  # the box of a long key goes on
+            key = np.cumsum(new_key) - 1
+            starts = np.flatnonzero(new_box)
+            reps = np.concatenate([[rep], c[6][starts]])[np.cumsum(new_box)]
+            copy = ~new_box & (reps != c[6])
+            yield links(reps[copy], c[6][copy])
+            boxes = [v[starts] for v in c]
+            of = key[starts]
+            many = np.bincount(of, minlength=key[-1] + 1)
+            to_join = many > FEW_BOXES
+            to_join[0] |= first
+            to_join[-1] |= open_end
+            at = np.flatnonzero(~to_join[of]) if len(of) else of
+            for d in range(1, FEW_BOXES):
+                at = at[at + d < len(of)]
+                at = at[of[at] == of[at + d]]
+                if not len(at):
+                    break
+                near = at[_near([v[at] for v in boxes[2:6]], [v[at + d] for v in boxes[2:6]], overlap, ratio)]
+                yield links(boxes[6][near], boxes[6][near + d])
+            j = np.flatnonzero(to_join[of])
+            yield pa.RecordBatch.from_arrays([pa.array(boxes[6][j]), pa.nulls(len(j), pa.int64()), *[pa.array(v[j]) for v in boxes[:6]]], names=["src", "dst", *BY[:6]])
+            last_box, rep = tuple(int(v[-1]) for v in c[:6]), int(reps[-1])
+            first = open_end
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+            change = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]))
+            cut = int(change[-1]) + 1 if len(change) else 0
+            if cut:
+                yield from emit([v[:cut] for v in c], False)
+            held = [v[cut:] for v in c]
+            if len(held[0]) > HELD_ROWS:
+                yield from emit(held, True)
+                held = [v[:0] for v in held]
+        yield from emit(held, True)
+
+    return run
+
+
+def duplicate_groups(matched: DataFrame, id_col: str = "record_id", overlap: float = OVERLAP, ratio: float = RATIO) -> DataFrame:
     """(record_id, group_id) of every row that nearly coincides, directly or through others, with another row on the same
     page image; group_id is the smallest record_id of the group. Ids have to be unique. See ``page_boxes`` for the rows that
     match nothing; an empty table gives no row, further columns are ignored."""
-    by = ["k1", "k2", "x", "y", "w", "h", "id"]
-    rows = page_boxes(matched, id_col).select(*by)
+    rows = materialise(page_boxes(matched, id_col).select(*BY))  # a table, since the sort reads its rows twice
     parts = int(matched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    linked = materialise(ordered.mapInArrow(_linked_boxes, ", ".join(f"{c} bigint" for c in by) + ", rep bigint, pair boolean"))
-    pairs = overlap_pairs(linked.where("id = rep and pair"), overlap, ratio)
-    copies = linked.where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
-    return connected_components(pairs.unionAll(copies)).select(F.col("node").alias(id_col), F.col("component").alias("group_id"))
+    ordered = rows.repartitionByRange(parts, *BY).sortWithinPartitions(*BY)
+    found = materialise(ordered.mapInArrow(_linker(round(overlap * 1000), round(ratio * 1000)), "src bigint, dst bigint, " + ", ".join(f"{c} bigint" for c in BY[:6])))
+    pairs = overlap_pairs(found.where("dst is null").withColumnRenamed("src", "rep"), overlap, ratio)
+    edges = found.where("dst is not null").select("src", "dst").unionAll(pairs)
+    return connected_components(edges).select(F.col("node").alias(id_col), F.col("component").alias("group_id"))
