@@ -64,8 +64,10 @@ def brute_groups(rows):
     return {i: find(i) for i in linked}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups_and_survivors(spark, seed):
+@pytest.mark.parametrize(("seed", "few", "held"), [(1, 32, 100_000), (2, 32, 100_000), (1, 2, 5), (2, 1, 40)])
+def test_groups_and_survivors(spark, monkeypatch, seed, few, held):
+    monkeypatch.setattr(C, "FEW_BOXES", few)
+    monkeypatch.setattr(C, "HELD_ROWS", held)
     rows = matched(seed=seed)
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute_groups(rows)
@@ -103,9 +105,29 @@ def test_votes_prefer_trust_and_recency(spark):
     rows = [(1, raw, None, 0.5, 3, day(1)), (2, raw, None, 0.5, 3, day(1)), (3, pre, (0.1, 0.1, 0.1, 0.1), 0.5, 4, day(1)), (4, raw, None, None, 5, day(12))]
     df = spark.createDataFrame(rows, f"record_id bigint, source_image string, normalized_bbox {NB}, confidence double, char_index int, loaded_at timestamp_ntz")
     r = best_of_groups(df, spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4)], "record_id bigint, group_id bigint")).head()
-    assert (r.best_record_id, r.source_image, r.char_index, r.normalized_bbox) == (3, "other scan", "5", "0.1 0.1 0.1 0.1")
+    assert (r.best_record_id, r.source_image, r.char_index, r.normalized_bbox) == (3, "other scan", "5", "100 100 100 100")
 
 
+def test_old_groups_keep_their_trust(spark):
+    raw, pre = "data/raw/b/v/page_1.png", "data/results/preprocessed/b/v/page_1_preprocessed.png"
+    old = dt.datetime(1980, 1, 1)
+    rows = [(1, raw, None, 0.5, 3, old), (2, pre, None, 0.5, 4, old), (3, raw, None, 0.5, 5, dt.datetime(1, 1, 1)), (4, pre, None, 0.5, 5, dt.datetime(9999, 1, 1))]
+    df = spark.createDataFrame(rows, f"record_id bigint, source_image string, normalized_bbox {NB}, confidence double, char_index int, loaded_at timestamp_ntz")
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2)], "record_id bigint, group_id bigint")
+    got = {r.group_id: r for r in best_of_groups(df, groups).collect()}
+    assert (got[1].char_index, got[1].source_image, got[1].best_record_id) == ("4", "preprocessed", 2)
+    assert (got[2].source_image, got[2].best_record_id) == ("preprocessed", 4)
+    assert got[2].source_image_votes < float("inf")
+
+
+def test_missing_sides_keep_boxes_apart(spark):
+    raw = "data/raw/b/v/page_1.png"
+    rows = [(1, raw, (None, 0.2, 0.1, 0.3), 0.5, 3, None), (2, raw, (0.2, None, 0.1, 0.3), 0.9, 3, None), (3, raw, (None, 0.2, 0.1, 0.3), 0.4, 3, None)]
+    df = spark.createDataFrame(rows, f"record_id bigint, source_image string, normalized_bbox {NB}, confidence double, char_index int, loaded_at timestamp_ntz")
+    r = best_of_groups(df, spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "record_id bigint, group_id bigint")).head()
+    assert (r.normalized_bbox, r.best_record_id) == ("- 200 100 300", 2)
+    assert tuple(r.normalized_bbox_raw) == (None, 0.2, 0.1, 0.3)
+
 def test_components_over_levels(spark, monkeypatch):
     rng = random.Random(4)
     n = 4000
@@ -154,6 +176,7 @@ def test_percentiles_exact_and_combined(spark):
     df = spark.createDataFrame(rows, "g string, value double, day int")
     at = (0.0, 0.05, 0.5, 0.999, 1.0)
     once = {r.g: r for r in percentiles(value_counts(df, ["g"]), ["g"], at).collect()}
+    assert once == {r.g: r for r in percentiles(df, ["g"], at).collect()} == {r.g: r for r in percentiles(df, ["g"], at, ties="day").collect()}
     days = value_counts(df, ["day", "g"])
     combined = {r.g: r for r in percentiles(value_counts(days.drop("day"), ["g"]), ["g"], at).collect()}
     assert once == combined
@@ -169,6 +192,6 @@ def test_percentiles_exact_and_combined(spark):
 
 
 def test_measurements_are_whole(spark):
-    df = spark.createDataFrame([("b", "c", dt.datetime(2021, 1, 1), 1.0, None, float("nan"))], "book string, std_char string, measured_at timestamp_ntz, aspect_ratio double, face_ratio double, ink_coverage double")
+    df = spark.createDataFrame([(1, "b", "c", dt.datetime(2021, 1, 1), 1.0, None, float("nan"))], "entry_id bigint, book string, std_char string, measured_at timestamp_ntz, aspect_ratio double, face_ratio double, ink_coverage double")
     assert measurements(df).count() == 6
     assert value_counts(measurements(df), GROUP).count() == 2  # one value for the book, one for the character

@@ -116,6 +116,30 @@ def test_pack(spark):
         pack(df, 0)
 
 
+def test_packing_does_not_hang_on_tasks(spark, monkeypatch):
+    from inkwell.llm import packing
+
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 500)
+    rng = random.Random(5)
+    rows = [(i, int(rng.lognormvariate(6.5, 1.2))) for i in range(4000)] + [(7, 300)] * 3000
+    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint")
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (2, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, pack(df.repartition(n + 1), 8192).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    assert sum(r[5] for r in found[0]) == sum(n for _, n in rows)
+    bins = {}
+    for r in found[0]:
+        bins[r[0]] = bins.get(r[0], 0) + r[5]
+    assert max(bins.values()) <= 8192
+    assert len(bins) <= sum(n for _, n in rows) / 8192 * 1.002 + 1
+
+
 @pytest.mark.parametrize(("limit", "overlap"), [(64, 16), (40, 0), (64, 24)])
 def test_split(spark, reference, limit, overlap):
     t = texts(50, 9) + ["Subject: x\n\nFirst sentence. Second one!\n\n> quoted\n>> deeper\nback " * 60, "中" * 4000, "😀" * 900]
