@@ -2,7 +2,7 @@
 
 Both sort the whole table once into range partitions by (group, score, identifier), number rows inside each partition while
 streaming over it, and turn counts per (group, partition) into offsets by a prefix sum. A group of any size is spread over
-as many partitions as its rows need."""
+as many partitions as its rows need. The pass that percentiles share with the core is ``operators.global_sort``."""
 
 from __future__ import annotations
 
@@ -10,34 +10,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.runtime import materialise
+from inkwell.operators.global_sort import quantiles, runs, sorted_ranges
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _runs(cols: list[pa.Array]) -> np.ndarray:
-    """Starts of the runs of equal rows over the columns."""
-    n = len(cols[0])
-    change = np.zeros(n, dtype=bool)
-    change[:1] = True
-    for c in cols:
-        if n > 1:
-            differs = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
-            nulls = pc.is_null(c).to_numpy(zero_copy_only=False)
-            change[1:] |= differs | (nulls[1:] != nulls[:-1])
-    return np.flatnonzero(change)
-
-
-def _numbered(group: list[str], keep: int | None, weight: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Streams over one sorted partition: adds ``__part``, ``__local`` (rows, or weight, of the row's group before it in this
-    partition) and, on the last row of each (group, partition) that passes, nothing else; with ``keep``, rows whose local
-    place can't be among the first ``keep`` are dropped on the spot."""
+def _numbered(group: list[str], keep: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams over one sorted partition: adds ``__part`` and ``__local`` (rows of the row's group before it in this partition); rows
+    whose local place can't be among the first ``keep`` are dropped on the spot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -49,28 +30,24 @@ def _numbered(group: list[str], keep: int | None, weight: str | None) -> Callabl
             if not b.num_rows:
                 continue
             cols = [b.column(b.schema.get_field_index(g)) for g in group]
-            starts = _runs(cols)
-            w = np.ones(b.num_rows, np.int64) if weight is None else b.column(b.schema.get_field_index(weight)).to_numpy(zero_copy_only=False)
-            total = np.cumsum(w) - w
+            starts = runs(cols)
             lens = np.diff(np.append(starts, b.num_rows))
-            local = total - np.repeat(total[starts], lens)
+            local = np.arange(b.num_rows) - np.repeat(starts, lens)
             head = tuple(c[0].as_py() for c in cols)
             if head == last:
                 local[: lens[0]] += before
             last = tuple(c[-1].as_py() for c in cols)
-            before = int(local[-1] + w[-1])
+            before = int(local[-1]) + 1
             out = pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(local)], names=[*b.schema.names, "__part", "__local"])
-            yield out if keep is None else out.filter(pa.array(local < keep))
+            yield out.filter(pa.array(local < keep))
 
     return run
 
 
-def numbered_sort(df: DataFrame, group: list[str], order: list[Column], keep: int | None = None, weight: str | None = None) -> DataFrame:
-    """``df`` sorted globally by group and order in range partitions, with ``__part`` and ``__local``."""
-    by = [*[F.col(g).asc_nulls_first() for g in group], *order]
-    ranged = df.repartitionByRange(_partitions(df), *by).sortWithinPartitions(*by)
+def numbered_sort(df: DataFrame, group: list[str], order: list[Column], keep: int) -> DataFrame:
+    """``df`` sorted globally by group and order in range partitions, with ``__part`` and ``__local``, up to ``keep`` rows of each."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return ranged.mapInArrow(_numbered(group, keep, weight), f"{schema}, __part int, __local bigint")
+    return sorted_ranges(df, group, order).mapInArrow(_numbered(group, keep), f"{schema}, __part int, __local bigint")
 
 
 def first_of_groups(df: DataFrame, group: list[str], order: list[Column], n: int, place: str = "place") -> DataFrame:
@@ -95,26 +72,18 @@ def value_counts(long: DataFrame, group: list[str], value: str = "value", count:
     return long.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).groupBy(*group, value).agg(rows.cast("bigint").alias(count))
 
 
-def percentiles(state: DataFrame, group: list[str], at: Iterable[float], value: str = "value", count: str = "cnt") -> DataFrame:
+def percentiles(state: DataFrame, group: list[str], at: Iterable[float], value: str = "value", count: str = "cnt", ties: str | None = None) -> DataFrame:
     """Exact percentiles (linear between neighbouring order statistics) per group of a state of ``value_counts``: group,
     n (rows), and one double per entry of ``at``: p50 for 0.5, p99_9 for 0.999. The error is 0 but for the rounding of the
     interpolation, however the rows were split into states. Groups without a value give no row; one value is every
-    percentile of its group."""
+    percentile of its group; null, NaN and infinite values are missing.
+
+    Without the column ``count`` the rows are single values. They are counted by value first, or, where ``ties`` names a column that
+    differs among equal values, sorted as they are. The sort's counts per partition give offsets for the groups at the
+    partitions' ends; the groups within a partition have their targets located and interpolated while streaming over it."""
     at = [float(p) for p in at]
     if any(not 0 <= p <= 1 for p in at):
         raise ValueError("percentiles lie between 0 and 1")
-    slim = state.select(*group, value, count)
-    ranked = materialise(numbered_sort(slim, group, [F.col(value).asc()], weight=count))
-    parts = ranked.groupBy(*group, "__part").agg(F.sum(count).alias("__rows"))
-    before = Window.partitionBy(*group).orderBy("__part")
-    parts = parts.select(*group, "__part", (F.sum("__rows").over(before) - F.col("__rows")).alias("__offset"), F.sum("__rows").over(Window.partitionBy(*group)).alias("n"))
-    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*group, "__part"]]
-    placed = ranked.alias("r").join(parts.alias("o"), on).select(*[F.col(f"r.{g}") for g in group], F.col(f"r.{value}").alias("__v"), F.col("n"), (F.col("__offset") + F.col("__local")).alias("__from"), F.col(f"r.{count}").alias("__c"))
-    covers = lambda k: (F.col("__from") <= k) & (k < F.col("__from") + F.col("__c"))
-    spot = {p: F.lit(p) * (F.col("n") - 1) for p in at}
-    wanted = [c for p in at for c in (covers(F.floor(spot[p])), covers(F.ceil(spot[p])))]
-    near = placed.where(F.array_contains(F.array(*wanted), True))
-    pair = lambda p: (F.max(F.when(covers(F.floor(spot[p])), F.col("__v"))), F.max(F.when(covers(F.ceil(spot[p])), F.col("__v"))))
-    found = near.groupBy(*group, "n").agg(*[x.alias(f"__{i}_{side}") for i, p in enumerate(at) for side, x in zip("lh", pair(p), strict=True)])
-    exact = lambda i, p: F.col(f"__{i}_l") + (F.col(f"__{i}_h") - F.col(f"__{i}_l")) * (spot[p] - F.floor(spot[p]))
-    return found.select(*group, "n", *[exact(i, p).alias("p" + f"{p * 100:g}".replace(".", "_")) for i, p in enumerate(at)])
+    finite = state.where(F.abs(F.col(value).cast("double")) < float("inf"))
+    found = quantiles(finite, group, value, at, total="n", out="__at", weight=count if count in state.columns else None, ties=ties)
+    return found.select(*group, "n", *[F.col("__at")[i].alias("p" + f"{p * 100:g}".replace(".", "_")) for i, p in enumerate(at)])
