@@ -68,6 +68,7 @@ class Vocabulary:
         self.keys = key[self.by_key]
         self.rank_of = dict(zip(key.tolist(), range(len(pairs)), strict=True))
         self.pair_of = list(zip((key >> 20).tolist(), (key & 0xFFFFF).tolist(), strict=True))
+        self.kind = np.uint16 if max(ids.values()) <= 0xFFFF else np.int32  # in which ids travel
         byte_of = {c: b for b, c in shown.items()}
         spelled = {i: bytes(byte_of[c] for c in t) for t, i in ids.items()}
         tokens = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
@@ -364,7 +365,8 @@ def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 def _spreader(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The words of a slice by the block that their hash falls into: block, slice, a (bytes), b (lengths), at (places)."""
+    """The words of a slice by the block that their hash falls into: block, slice, a (bytes), b (lengths), at (places, each as what
+    it is above the one before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,13 +386,20 @@ def _spreader(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                     pa.array(np.full(len(first), batch.column(0)[i].as_py(), np.int64)),
                     _cut(sorted_bytes, spans[edges]),
                     _cut(lengths[order].astype(np.int32), edges),
-                    _cut(order.astype(np.int32), edges),
+                    _cut(_steps(order, first).astype(np.int32), edges),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "slice", "a", "b", "at"])
 
     return run
 
 
+def _steps(rising: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences to the entry before, in runs that begin at ``first`` (and at 0)."""
+    steps = np.diff(rising, prepend=0)
+    steps[first] = rising[first]
+    return steps
+
+
 def _replayer(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Encodes the distinct words of a block once and hands every slice its own: slice, at, a (ids), b (how many each)."""
 
@@ -410,6 +419,7 @@ def _replayer(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]],
         bounds = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[coded.dictionary.offset :][: len(coded.dictionary) + 1]
         words = np.frombuffer(coded.dictionary.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
         ids, per_word = replay(words, bounds[:-1] - bounds[0], vocabulary(path))
+        ids = ids.astype(vocabulary(path).kind)
         for i in range(len(rows) - 1):
             mine = code[rows[i] : rows[i + 1]]
             got = [gather(ids, per_word, mine).view(np.uint8)] if with_ids else [np.zeros(0, np.uint8)]
@@ -422,7 +432,7 @@ def _replayer(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]],
 Finish = Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
 
 
-def _finisher(finish: Finish) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _finisher(finish: Finish, ids_kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Streams over rows sorted by slice and kind: the encoded words of a slice, then its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,7 +451,8 @@ def _finisher(finish: Finish) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 run_ = batch.slice(i, j - i)
                 if kinds[i] == 0:
                     for k in range(j - i):
-                        parts.append(tuple(_joined(run_.column(c).slice(k, 1), np.int32)[0] for c in (6, 4, 5)))
+                        at, ids, counts = (_joined(run_.column(c).slice(k, 1), t)[0] for c, t in ((6, np.int32), (4, ids_kind), (5, np.int32)))
+                        parts.append((np.cumsum(at), ids.astype(np.int32), counts))
                     continue
                 if ready is None:
                     ready = _in_place(parts)
@@ -478,7 +489,7 @@ def encoded(df: DataFrame, id_col: str, text: str, path: str | None, finish: Fin
     texts = table.where("kind = 1").withColumn("at", F.lit(None).cast("binary"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = own.unionAll(texts).repartition(n, "slice").sortWithinPartitions("slice", "kind")
-    return both.mapInArrow(_finisher(finish), schema)
+    return both.mapInArrow(_finisher(finish, vocabulary(path).kind), schema)
 
 
 def _with_ids(ids: pa.Array, nulls: np.ndarray, code: np.ndarray, rows: np.ndarray, mark: np.ndarray, tokens: np.ndarray, per_word: np.ndarray) -> pa.RecordBatch:
