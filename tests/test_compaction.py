@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators.compaction import consolidate, deal, kept_images, read_consolidated, same_image_pairs, schedule
+from inkwell.operators.compaction import consolidate, consolidate_files, deal, kept_images, read_consolidated, same_image_members, same_image_pairs
 
 SCHEMA = "item_id bigint, segmented_path string, confirmed_path string, shard_file string, item_bytes int, written_at timestamp_ntz"
 
@@ -40,11 +40,36 @@ def test_deal_is_balanced_and_longest_first():
     assert deal([0, 0], 10) == [0, 0]
 
 
-def test_schedule_splits_a_large_file(spark):
-    plan = {r.file: r for r in schedule(spark.createDataFrame([("big", 1000), ("a", 30), ("b", 40), ("z", None), ("neg", -5)], "file string, bytes bigint"), 100).collect()}
-    assert plan["big"].chunks == 10
-    assert len(plan["big"].groups) == 10
-    assert {r.file for r in plan.values()} == {"big", "a", "b", "z", "neg"}
+def test_a_large_file_is_split_and_loads_are_even(spark):
+    rows = [(i, None, None, "big", 1000, dt.datetime(2021, 1, 1)) for i in range(600)] + [(1000 + i, None, None, f"s{i}", 100 + i % 7, dt.datetime(2021, 1, 1)) for i in range(3000)]
+    folder, manifest = consolidate(spark.createDataFrame(rows, SCHEMA), "shard_file", F.col("item_bytes"), ["item_id"], 20_000)
+    m = manifest.collect()
+    total = sum(r[4] for r in rows)
+    assert sum(r.load for r in m) == total
+    assert total // 20_000 <= len(m) <= -(-total // 20_000) * 1.5
+    assert max(r.load for r in m) <= 40_000
+    assert sum(r.rows for r in m) == len(rows) == read_consolidated(spark, folder, SCHEMA).count()
+
+
+def test_other_rows_are_not_published(spark, monkeypatch):
+    from inkwell.operators import compaction
+
+    seen = compaction._marks
+    monkeypatch.setattr(compaction, "_marks", lambda rows: seen(rows.withColumn("confirmed_path", F.upper("confirmed_path"))))
+    with pytest.raises(RuntimeError, match="nothing is published"):
+        consolidate(spark.createDataFrame(items(50), SCHEMA), "shard_file", F.col("item_bytes"), ["item_id"])
+
+
+def test_files_are_consolidated_without_moving_rows(spark, tmp_path):
+    rows = items()
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.repartition(40).write.parquet(f"{tmp_path}/in")
+    listed = spark.read.format("binaryFile").load(f"{tmp_path}/in").select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    before = listed.count()
+    folder, manifest = consolidate_files(listed, SCHEMA, 20_000)
+    assert Counter(tuple(r) for r in read_consolidated(spark, folder, SCHEMA).collect()) == Counter(rows)
+    assert manifest.count() < before / 2
+    assert consolidate_files(listed.limit(0), SCHEMA)[1].count() == 0
 
 
 def test_consolidate_keeps_every_row_once(spark):
@@ -78,6 +103,11 @@ def test_pairs_and_kept_images(spark):
     got = [(r[0], r[1]) for r in same_image_pairs(df).collect()]
     assert len(got) == len(set(got))
     assert set(got) == want
+    first = {}
+    for r in rows:
+        for k in images(r):
+            first[k] = min(first.get(k, r[0]), r[0])
+    assert sorted(tuple(r) for r in same_image_members(df).collect()) == sorted({(r[0], first[k]) for r in rows for k in images(r)})
     kept = kept_images(df.withColumn("image", F.lit("clash"))).collect()
     named = Counter(os.path.basename(r.image) for r in kept if r.image is not None)
     assert named == Counter({k for r in rows for k in images(r)})
