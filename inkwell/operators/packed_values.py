@@ -37,8 +37,17 @@ def _class(chars: str) -> str:
 def packed_values(text: Column) -> Column:
     """array<string>: the values of the text in order, trimmed, without their quotation marks, empty ones left out."""
     any_quote = _class("".join(dict.fromkeys(QUOTES_OPEN + QUOTES_CLOSE)))
-    pieces = F.split(text, any_quote, -1)
-    marks = F.regexp_extract_all(text, F.lit(f"({any_quote})"), F.lit(1))
+    parts = F.struct(F.split(text, any_quote, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(f"({any_quote})"), F.lit(1)).alias("marks"))
+    return let(parts, lambda t: let(_last_places(t["marks"]), lambda last: _folded(t["pieces"], t["marks"], last)))
+
+
+def _last_places(marks: Column) -> Column:
+    """Where each closing mark stands last (from 0, -1 for nowhere), so that an opening one knows whether it is ever closed."""
+    behind = lambda c: F.coalesce(F.nullif(F.array_position(F.reverse(marks), c), F.lit(0)), F.size(marks) + 1)
+    return F.array(*[F.size(marks) - behind(c).cast("int") for c in QUOTES_CLOSE])
+
+
+def _folded(pieces: Column, marks: Column, last: Column) -> Column:
     # piece i stands between mark i-1 and mark i (the last piece has no mark behind it)
     steps = F.transform(
         pieces,
@@ -47,7 +56,7 @@ def packed_values(text: Column) -> Column:
             F.coalesce(F.get(marks, i), F.lit("")).alias("mark"),
             F.coalesce(F.get(pieces, i + 1), F.lit("")).alias("next"),
             F.coalesce(F.get(marks, i + 1), F.lit("")).alias("mark2"),
-            F.slice(marks, i + 2, F.size(marks)).alias("later"),
+            i.alias("at"),
         ),
     )
     # state: done values, the value being put together, whether it was quoted, the mark that closes, a doubled mark to skip
@@ -70,7 +79,7 @@ def packed_values(text: Column) -> Column:
         quoted_out = acc["quoted"] & ~many
         closing = F.translate(s["mark"], QUOTES_OPEN, QUOTES_CLOSE)
         is_open = F.instr(F.lit(QUOTES_OPEN), s["mark"]) > 0
-        opens = (s["mark"] != "") & is_open & (strip_space(cur_out) == "") & ~quoted_out & F.array_contains(F.concat(F.array(s["mark2"]), s["later"]), closing)
+        opens = (s["mark"] != "") & is_open & (strip_space(cur_out) == "") & ~quoted_out & (F.element_at(last, F.greatest(F.lit(1), F.instr(F.lit(QUOTES_CLOSE), closing))) > s["at"])
         outside = F.struct(
             done_out.alias("done"),
             F.when(opens, F.lit("")).otherwise(F.concat(cur_out, s["mark"])).alias("cur"),
