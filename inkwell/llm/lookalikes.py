@@ -1,7 +1,12 @@
 """Visually identical text with different characters (problem 4).
 
 Texts are exploded into positioned code points, joined with a broadcast table of decompositions and look-alikes (bounded by
-Unicode itself), combining marks are ordered by their class, base and marks are recomposed, and the text is rebuilt."""
+Unicode itself), combining marks are ordered by their class, base and marks are recomposed, Hangul letters by Unicode's
+arithmetic, and the text is rebuilt. A code point carries a 128-bit key of its text, not the text.
+
+The look-alikes of other scripts are those of the lists below (capitals of eight scripts, small letters of three, dashes, dots,
+slashes, kana, radicals), not all that Unicode's confusables name: a caller may give more, for instance from that file
+(``read_confusables``)."""
 
 from __future__ import annotations
 
@@ -9,11 +14,11 @@ import json
 import unicodedata as ud
 from functools import cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from inkwell.operators.packed_values import DELIMITERS, QUOTES_CLOSE, QUOTES_OPEN, SPACE, explode_values, strip_space
-from inkwell.runtime import small
+from inkwell.runtime import materialise, small
 
 #: Letters of other scripts and signs that look like the second string, character by character.
 LOOKALIKES = [
@@ -22,6 +27,9 @@ LOOKALIKES = [
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),  # Greek capitals
     ("ονϲϳι", "ovcjı"),  # Greek small letters; iota has no dot
     ("օոսհցզԼՏՍ", "onuhgqLSU"),  # Armenian
+    ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "ABEHIKMNOPCTYX"),  # Coptic
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),  # Cherokee
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu
     ("ɑɡ", "ag"),
     ("‐‑‒–⁃−˗", "-------"),
     ("・•‧∙⋅ᐧ᛫", "·······"),
@@ -42,10 +50,22 @@ def _ignorable(cp: int) -> bool:
     return ud.category(chr(cp)) == "Cf" and cp not in range(0x600, 0x606) or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or 0x180B <= cp <= 0x180F or cp in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0)
 
 
+Pairs = tuple[tuple[str, str], ...]
+
+
+def read_confusables(path: str) -> Pairs:
+    """(character, what it looks like) of a file in the format of Unicode's confusables: code points in hex, separated by ``;``."""
+    with open(path, encoding="utf-8-sig") as f:
+        fields = [line.split("#")[0].split(";") for line in f]
+    text = lambda x: "".join(chr(int(c, 16)) for c in x.split())
+    return tuple((text(x[0]), text(x[1])) for x in fields if len(x) > 1)
+
+
 @cache
-def _replacements() -> dict[str, str]:
-    """What every code point is replaced by before recomposition; code points that stay are not listed."""
-    direct = {a: b for src, dst in LOOKALIKES for a, b in zip(src, dst, strict=True)} | dict(zip(RADICALS[::2], RADICALS[1::2], strict=True))
+def _replacements(more: Pairs = ()) -> dict[str, str]:
+    """What every code point is replaced by before recomposition; code points that stay are not listed. ``more`` look-alikes (from
+    one character to a text) come before those listed above."""
+    direct = {a: b for src, dst in LOOKALIKES for a, b in zip(src, dst, strict=True)} | dict(zip(RADICALS[::2], RADICALS[1::2], strict=True)) | {a: b for a, b in more if len(a) == 1 and a != b}
 
     def full(ch: str, depth: int = 0) -> str:
         if depth > 20:
@@ -84,23 +104,42 @@ def _compositions() -> dict[str, str]:
     return out
 
 
-def same_look(df: DataFrame, text: str, out: str = "same_look") -> DataFrame:
+def _hangul(s: Column, in_text: WindowSpec) -> Column:
+    """A rebuilt character with the Hangul letters that follow it in its syllable; of those letters only their marks stay. L, V and T
+    by Unicode's arithmetic, over a window in the order of the text; a letter with marks ends its syllable."""
+    at = lambda k: F.lag(s, -k).over(in_text) if k < 0 else F.lead(s, k).over(in_text) if k else s
+    first = lambda k: F.ascii(at(k))
+    bare = lambda k: F.when(F.length(at(k)) == 1, F.ascii(at(k)))
+    lead_ = lambda c: c.between(0x1100, 0x1112)
+    vowel = lambda c: c.between(0x1161, 0x1175)
+    trail = lambda c: c.between(0x11A8, 0x11C2)
+    open_ = lambda c: c.between(0xAC00, 0xD7A3) & ((c - 0xAC00) % 28 == 0)
+    tail = F.when(vowel(bare(1)) & trail(first(2)), first(2) - 0x11A7).otherwise(F.lit(0))
+    syllable = F.when(lead_(bare(0)) & vowel(first(1)), 0xAC00 + ((bare(0) - 0x1100) * 21 + first(1) - 0x1161) * 28 + tail).when(open_(bare(0)) & trail(first(1)), bare(0) + first(1) - 0x11A7)
+    taken = vowel(first(0)) & lead_(bare(-1)) | trail(first(0)) & (open_(bare(-1)) | vowel(bare(-1)) & lead_(bare(-2)))
+    return F.when(F.coalesce(taken, F.lit(False)), F.substring(s, 2, 2**31 - 1)).when(syllable.isNotNull(), F.decode(F.unhex(F.hex(syllable)), "UTF-16BE")).otherwise(s)
+
+
+def same_look(df: DataFrame, text: str, out: str = "same_look", more: Pairs = ()) -> DataFrame:
     """(text, out): for every distinct non-null text the one form that all texts of the same look share. Full-width and
-    other compatibility forms, letters of other scripts, radicals and dashes take one form, invisible characters vanish,
-    every white space is a blank, combining marks are ordered by class and recomposed. Case, accents and letters that look
-    different stay. The empty text stays empty, as does a text of invisible characters only."""
+    other compatibility forms, letters of other scripts, radicals and dashes take one form, as do the look-alikes ``more``
+    (character, text); invisible characters vanish, every white space is a blank, combining marks are ordered by class and
+    recomposed, Hangul letters are put together. Case, accents and letters that look different stay. The empty text stays empty, as
+    does a text of invisible characters only."""
     spark = df.sparkSession
-    rows = [(a, [(c, ud.combining(c)) for c in b]) for a, b in _replacements().items()] + [(chr(c), [(chr(c), ud.combining(chr(c)))]) for c in range(0x300, 0x1F000) if ud.combining(chr(c)) and chr(c) not in _replacements()]
+    known = _replacements(more)
+    rows = [(a, [(c, ud.combining(c)) for c in b]) for a, b in known.items()] + [(chr(c), [(chr(c), ud.combining(chr(c)))]) for c in range(0x300, 0x1F000) if ud.combining(chr(c)) and chr(c) not in known]
     table = spark.createDataFrame(rows, "ch string, seq array<struct<c: string, ccc: int>>")
+    keys = ["k1", "k2"]
+    keyed = lambda t: [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit("inkwell"), t).alias("k2")]
     distinct = df.select(F.col(text).alias("t")).where("t is not null").distinct()
-    points = distinct.select("t", F.posexplode(F.split("t", "")).alias("pos", "ch"))
+    points = distinct.select(*keyed("t"), F.posexplode(F.split("t", "")).alias("pos", "ch"))
     seq = F.coalesce("seq", F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"))))
-    units = points.join(F.broadcast(table), "ch", "left").select("t", "pos", F.posexplode(seq).alias("sub", "u")).select("t", "pos", "sub", "u.c", "u.ccc")
-    in_text = Window.partitionBy("t").orderBy("pos", "sub")
-    bases = units.withColumn("base", F.sum((F.col("ccc") == 0).cast("int")).over(in_text))
-    # one row per base with its marks in canonical order
+    units = points.join(F.broadcast(table), "ch", "left").select(*keys, "pos", F.posexplode(seq).alias("sub", "u")).select(*keys, "pos", "sub", "u.c", "u.ccc")
+    bases = units.withColumn("base", F.sum((F.col("ccc") == 0).cast("int")).over(Window.partitionBy(*keys).orderBy("pos", "sub")))
+    # one row per base with its marks in canonical order; all that follows keeps the partitions by text
     marked = F.array_sort(F.collect_list(F.struct(F.col("ccc"), F.col("pos"), F.col("sub"), F.col("c"))))
-    runs = bases.groupBy("t", "base").agg(marked.alias("run"))
+    runs = bases.groupBy(*keys, "base").agg(marked.alias("run"))
     pairs = F.from_json(F.lit(json.dumps(_compositions())), "map<string,string>")
     start = F.struct(F.lit("").alias("done"), F.lit("").alias("base"), F.lit(0).alias("blocked"))
 
@@ -114,25 +153,29 @@ def same_look(df: DataFrame, text: str, out: str = "same_look") -> DataFrame:
             F.when(first | free, acc["blocked"]).otherwise(u["ccc"]).alias("blocked"),
         )
 
-    composed = runs.select("t", "base", F.aggregate("run", start, step, lambda a: F.concat(a["base"], a["done"])).alias("s"))
-    rebuilt = composed.groupBy("t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("base", "s"))), lambda x: x["s"]), "").alias(out))
-    return distinct.join(rebuilt, "t", "left").select(F.col("t").alias(text), F.coalesce(out, F.lit("")).alias(out))
+    folded = F.aggregate("run", start, step, lambda a: F.concat(a["base"], a["done"]))
+    composed = runs.select(*keys, "base", F.when(F.size("run") == 1, F.col("run")[0]["c"]).otherwise(folded).alias("s"))
+    composed = composed.select(*keys, "base", _hangul(F.col("s"), Window.partitionBy(*keys).orderBy("base")).alias("s"))
+    rebuilt = composed.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("base", "s"))), lambda x: x["s"]), "").alias(out))
+    return distinct.select("t", *keyed("t")).join(rebuilt, keys, "left").select(F.col("t").alias(text), F.coalesce(out, F.lit("")).alias(out))
 
 
-def lookalike_terms(values: DataFrame, terms: DataFrame, id_col: str = "book_no", field: str = "field_name", value: str = "value") -> DataFrame:
+def lookalike_terms(values: DataFrame, terms: DataFrame, id_col: str = "book_no", field: str = "field_name", value: str = "value", more: Pairs = ()) -> DataFrame:
     """(id, field_name, term_id): the values that look the same as a term of their field but are another string. ``values``
     has (id, field_name, value), ``terms`` (term_id, field_name, term). A value that equals the term, or any other term of the
-    field, is no case; each (id, field, term) comes once. Null values and terms are left out."""
+    field, is no case; each (id, field, term) comes once. Null values and terms are left out. Distinct values are compared, and the
+    cases alone are joined with the ids, so that a value that a third of all rows hold is compared once."""
     listed = terms.select("term_id", F.col(field).alias("__field"), "term")
-    terms = listed.join(same_look(listed, "term", "look"), "term").select("term_id", "__field", "term", "look")
-    values = values.select(id_col, field, F.col(value).alias("__value"))
-    looks = same_look(values, "__value", "look")
+    looked = listed.join(same_look(listed, "term", "look", more), "term").select("term_id", "__field", "term", "look")
+    values = values.select(id_col, F.col(field).alias("__of"), F.col(value).alias("__value")).where("__value is not null")
+    distinct = values.select("__of", "__value").distinct()
     # invisible characters and spaces around the rebuilt text do not make it another look
     edge = f"^[{SPACE}]+|[{SPACE}]+$"
-    found = values.join(looks, "__value").withColumn("look", F.regexp_replace("look", edge, ""))
-    t = small(terms, listed)
-    cases = found.join(t, (found["look"] == terms["look"]) & (found[field] == terms["__field"]) & (found["__value"] != terms["term"]))
-    return cases.select(id_col, field, "term_id").distinct()
+    found = distinct.join(same_look(distinct, "__value", "look", more), "__value").withColumn("look", F.regexp_replace("look", edge, ""))
+    cases = found.join(small(looked, listed), (found["look"] == looked["look"]) & (found["__of"] == looked["__field"]) & (found["__value"] != looked["term"])).select(F.col("__of").alias("__f"), F.col("__value").alias("__v"), "term_id")
+    cases = materialise(cases)
+    hits = values.join(small(cases), (F.col("__of") == F.col("__f")) & (F.col("__value") == F.col("__v")))
+    return hits.select(id_col, F.col("__of").alias(field), "term_id").distinct()
 
 
 def metadata_values(books: DataFrame) -> DataFrame:
@@ -142,3 +185,21 @@ def metadata_values(books: DataFrame) -> DataFrame:
     region = books.select("book_no", F.lit("region").alias("field_name"), F.regexp_replace("区域划分", f"^{around}|{around}$", "").alias("value"))
     style = explode_values(books.select("book_no", "刻体倾向"), "刻体倾向", value="value").select("book_no", F.lit("style").alias("field_name"), strip_space(F.col("value")).alias("value"))
     return region.unionAll(style).where("value <> ''")
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def terms_sql(cleaned: str) -> str:
+    """The SQL of ``lookalike_terms`` over the catalogue, with the replacements as a map; ``cleaned`` are the CTEs of the style values
+    (the last one named clean: book_no, vals)."""
+    table = _replacements()
+    shown = f"map([{', '.join(map(_sql_text, table))}], [{', '.join(map(_sql_text, table.values()))}])"
+    around = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    both = around + "".join(f"\\x{{{ord(c):x}}}" for c in dict.fromkeys(DELIMITERS + QUOTES_OPEN + QUOTES_CLOSE)) + "]+"
+    around += "]+"
+    look = "regexp_replace(nfc_normalize(regexp_replace(array_to_string(list_transform(range(1, length({v}) + 1), lambda i: coalesce(m[substring({v}, i, 1)], substring({v}, i, 1))), ''), 'ı([\\x{{300}}-\\x{{314}}])', 'i\\1', 'g')), '^" + around.replace("{", "{{").replace("}", "}}") + "|" + around.replace("{", "{{").replace("}", "}}") + "$', '', 'g')"
+    return f"""{cleaned}, m as (select {shown} as m), vals as (select book_no, 'style' as field_name, unnest(vals) as value from clean union all select book_no, 'region', regexp_replace(区域划分, '^{both}|{both}$', '', 'g') from books_metadata),
+  looks as (select value, {look.format(v="value")} as look from (select distinct value from vals where value <> '') cross join m), known as (select term_id, field_name, term, {look.format(v="term")} as look from script_terms cross join m where term is not null)
+  select distinct v.book_no, v.field_name, k.term_id from vals v join looks l using (value) join known k on k.look = l.look and k.field_name = v.field_name and k.term <> v.value"""

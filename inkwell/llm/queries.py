@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.bpe import decode_ids, encode_texts, token_counts
 from inkwell.llm.components import duplicate_groups
-from inkwell.llm.lookalikes import lookalike_terms, metadata_values
+from inkwell.llm.lookalikes import lookalike_terms, metadata_values, terms_sql
 from inkwell.llm.packing import pack
 from inkwell.llm.ranked import first_of_groups, percentiles, value_counts
 from inkwell.llm.splitting import rejoined, split_texts
 from inkwell.llm.survivors import best_of_groups, confidence_of
+from inkwell.plans.compaction import STYLE_VALUES
 from inkwell.runtime import materialise, table
 
 CAPACITY = 8192
@@ -171,6 +172,7 @@ from groups g join image m using (record_id)) where k = 1""",
     "p7_found": f"""select record_id, cast(k as int) as place from (select record_id, row_number() over (partition by book, std_char order by bbox.width desc, {_CONFIDENCE} desc, record_id) as k
 from matched_books where bbox.width > 0 and bbox.height > 0) where k <= 3""",
 }
+ORACLE["p4_found"] = terms_sql(STYLE_VALUES)
 ORACLE["p8_round_trip"] = "select doc_id, text from documents"
 ORACLE["p9_checks"] = "select 0 as bad_containers, count(text) as whole_texts, count(*) - count(text) as null_texts from documents"
 ORACLE["p10_round_trip"] = "select doc_id, text from documents where text <> ''"

@@ -40,6 +40,33 @@ def test_recomposition_is_normal(spark):
         assert got[t] == ud.normalize("NFC", t), t
 
 
+def test_hangul_is_put_together(spark):
+    whole = ["한글", "각", "가", "값이 한국어 x가ㅏ", "가̣", "ᄀ각ᆨ", "ᅡᆨ", "가ᅡ", "각ᆨ"]
+    texts = [*whole, *[ud.normalize("NFD", t) for t in whole], "각", "한글"]
+    got = looks(spark, texts)
+    for t in texts:
+        if "ㅏ" not in t:  # a compatibility letter takes the form of the letter
+            assert got[t] == ud.normalize("NFC", t), t
+    assert got["한글"] == got[ud.normalize("NFD", "한글")] == got["한글"]
+
+
+def test_more_lookalikes_from_a_file(spark, tmp_path):
+    from inkwell.llm.lookalikes import read_confusables
+
+    (tmp_path / "confusables.txt").write_text("\ufeff# a comment\n0417 ;\t0033 ;\tMA\t# ( З → 3 )\n20A8 ; 0052 0073 ; MA # two\n\n", encoding="utf-8")
+    more = read_confusables(str(tmp_path / "confusables.txt"))
+    assert more == (("З", "3"), ("₨", "Rs"))
+    df = spark.createDataFrame([("З₨",), ("3Rs",)], "t string")
+    got = {r.t: r.same_look for r in same_look(df, "t", more=more).collect()}
+    assert got["З₨"] == got["3Rs"] == "3Rs"
+    assert looks(spark, ["З"])["З"] == "З"
+
+
+def test_a_long_text(spark):
+    text = "Ｆé " * 25_000
+    assert looks(spark, [text])[text] == ud.normalize("NFC", "Fé ") * 25_000
+
+
 @pytest.mark.parametrize("text", ["", "​", "a" * 3000 + "́" * 50])
 def test_edges(spark, text):
     got = looks(spark, [text, None, text])
