@@ -122,3 +122,19 @@ def hex_rgb(c: Column) -> Column:
     """struct<r, g, b> of ``#rrggbb``; null where the text is none."""
     part = lambda i: F.conv(F.substring(c, i, 2), 16, 10).cast("int")
     return F.when(c.rlike("^#[0-9A-Fa-f]{6}$"), F.struct(part(2).alias("r"), part(4).alias("g"), part(6).alias("b")))
+
+
+def periods(text: str) -> list[tuple[str, int, int, bool]]:
+    """(label, start, end, end included) of periods written ``1127-1162,1162-1208``: half open but for the last. Raises for an empty
+    text and for parts that are no period."""
+    names = {0: "早期", 1: "中期", 2: "后期"}
+    parts = [p.strip() for p in (text or "").replace("，", ",").split(",") if p.strip()]
+    out = []
+    for i, part in enumerate(parts):
+        start, dash, end = part.partition("-")
+        if not dash or not start.strip().isdecimal() or not end.strip().isdecimal() or int(end) < int(start):
+            raise ValueError(f"no period: {part}")
+        out.append((names.get(i, f"P{i + 1}"), int(start), int(end), i == len(parts) - 1))
+    if not out:
+        raise ValueError("no periods")
+    return out

@@ -194,8 +194,9 @@ def quantiles(df: DataFrame, group: list[str], value: str, at: Sequence[float],
     if ties is None:
         rows = rows.groupBy(*keys, v.alias("__v")).agg(F.sum(c).alias("__c"))
     else:
-        rows = rows.select(*keys, v.alias("__v"), c.alias("__c"), F.col(ties).alias("__t"))
-    ordered = sorted_ranges(rows, group, [F.col("__v").asc(), *([F.col("__t").asc()] if ties else [])]).select(*keys, "__v", "__c")
+        rows = rows.select(*keys, v.alias("__v"), F.col(ties).alias("__t"), *([] if weight is None else [c.alias("__c")]))
+    ordered = sorted_ranges(rows, group, [F.col("__v").asc(), *([F.col("__t").asc()] if ties else [])])
+    ordered = ordered.select(*keys, "__v", F.col("__c") if "__c" in rows.columns else c.alias("__c"))
     kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
     table = materialise(ordered.mapInArrow(_placer(group, at, nearest), f"{kinds}, __n bigint, __q array<double>, __v double, __c bigint, __part int, __local bigint"))
     inner = table.where("__q is not null").select(*keys, F.col("__n").alias(total), F.col("__q").alias(out))

@@ -1,9 +1,10 @@
-"""Trend statistics of series: rank correlation, slopes and resampling.
+"""Trend statistics of series: rank correlation, slopes, influence and resampling.
 
-A series is one row per point (group, x, y). Rank correlation, linear fits and influence are plain aggregates and joins over
-ranks; pairwise statistics fold one array per series; resampling runs in grouped pandas functions, one series per group, with
-a seed that depends on the series' values alone, so that a repeated task gives the same result. A series has one point per
-book or other entity, never one per raw row: callers aggregate first."""
+A series is one row per point (group, x, y), one point per book or other entity, never one per raw row: callers aggregate first.
+Pairs of points are counted, not built: how many points lie above and to the right of each follows from running counts, one
+window per bit of the rank, so that a series costs n log n rows. Leave-one-out correlations follow from those counts and rank
+sums. Resamples are rows of their own (series, replicate) drawn by a hash, so that they spread over tasks and any engine can draw
+the same. The draws of a seeded generator, one series per task, are there too (``seeded_trends``)."""
 
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.global_sort import numbered, quantiles
+
 RESAMPLES = 400
 
 
@@ -24,6 +27,13 @@ def with_rank(df: DataFrame, group: list[str], value: str, out: str) -> DataFram
     return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2.0)
 
 
+def with_sorted_rank(df: DataFrame, group: list[str], value: str, unique: list[str], out: str) -> DataFrame:
+    """The same from one global sort, for groups of any size; ``unique`` are columns that tell rows of a group apart."""
+    places = numbered(df, group, [F.col(value).asc(), *[F.col(u).asc() for u in unique]], "__place")
+    mean = places.groupBy(*group, F.col(value).alias("__value")).agg(F.avg("__place").alias(out))
+    return places.join(mean.withColumnsRenamed({g: f"__{g}" for g in group}), [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group] + [F.col(value).eqNullSafe(F.col("__value"))]).select(*df.columns, out)
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson's r from sums as an aggregate; null for fewer than two rows or a constant side."""
     n, sx, sy = F.count(F.lit(1)), F.sum(x), F.sum(y)
@@ -38,59 +48,185 @@ def spearman(df: DataFrame, group: list[str], x: str = "x", y: str = "y") -> Dat
     return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("__rx"), F.col("__ry")).alias("rho"))
 
 
-def pairwise(df: DataFrame, group: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """group, n, and over all pairs of points: concordant, discordant, tied_x, tied_y and tied_both counts, and the slopes
-    (array) of the pairs with different x."""
-    points = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("__p"))
-    pairs = F.flatten(F.transform("__p", lambda a, i: F.transform(F.slice("__p", i + 2, F.size("__p")), lambda b: F.struct((b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy")))))
-    number = lambda f: F.size(F.filter("__d", f)).alias
-    d = points.select(*group, F.size("__p").alias("n"), pairs.alias("__d"))
-    return d.select(
-        *group, "n",
-        number(lambda p: p["dx"] * p["dy"] > 0)("concordant"), number(lambda p: p["dx"] * p["dy"] < 0)("discordant"),
-        number(lambda p: (p["dx"] == 0) & (p["dy"] != 0))("tied_x"), number(lambda p: (p["dy"] == 0) & (p["dx"] != 0))("tied_y"), number(lambda p: (p["dx"] == 0) & (p["dy"] == 0))("tied_both"),
-        F.array_sort(F.transform(F.filter("__d", lambda p: p["dx"] != 0), lambda p: F.try_divide(p["dy"], p["dx"]))).alias("slopes"),
-    )
+def above_right(df: DataFrame, group: list[str], x: str = "x", y: str = "y", out: str = "__more") -> DataFrame:
+    """``df`` with the number of points of the series that have a larger x and a larger y. Two ranks differ first in one bit: with the
+    points in order of x (and falling y), those with a 0 there count the later ones that have a 1, among the points that agree
+    in all higher bits."""
+    w = Window.partitionBy(*group)
+    ranked = df.withColumns({"__r": F.dense_rank().over(w.orderBy(y)) - 1, "__pos": F.row_number().over(w.orderBy(F.col(x).asc(), F.col(y).desc()))})
+    ranked = ranked.withColumn("__top", F.max("__r").over(w))
+    bits = F.when(F.col("__top") > 0, F.sequence(F.lit(0), F.floor(F.log2(F.col("__top").cast("double"))).cast("int"))).otherwise(F.array().cast("array<int>"))
+    each = ranked.select(*[F.col(f"`{g}`") for g in group], "__r", "__pos", F.explode(bits).alias("__b"))
+    each = each.select(*[F.col(f"`{g}`") for g in group], "__pos", "__b", F.expr("shiftright(__r, __b + 1)").alias("__high"), F.expr("shiftright(__r, __b) & 1").alias("__bit"))
+    later = Window.partitionBy(*group, "__b", "__high").orderBy(F.col("__pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counted = each.withColumn("__n", F.when(F.col("__bit") == 0, F.coalesce(F.sum("__bit").over(later), F.lit(0))).otherwise(F.lit(0)))
+    sums = counted.groupBy(*group, "__pos").agg(F.sum("__n").alias(out))
+    return ranked.join(sums, [*group, "__pos"], "left").withColumn(out, F.coalesce(out, F.lit(0))).drop("__r", "__pos", "__top")
+
+
+def pair_counts(df: DataFrame, group: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """group, n, and over all pairs of points: concordant, discordant, tied_x (on x alone), tied_y and tied_both."""
+    more = above_right(df.select(*group, x, y), group, x, y).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("__more").alias("concordant"))
+    two = F.sum(F.expr("__c * (__c - 1) div 2"))
+
+    def ties(by: list[str], name: str) -> DataFrame:
+        return df.groupBy(*group, *by).agg(F.count(F.lit(1)).alias("__c")).groupBy(*group).agg(two.alias(name))
+
+    for by, name in (([x], "__tx"), ([y], "__ty"), ([x, y], "tied_both")):
+        more = more.join(ties(by, name), group)
+    all_ = F.expr("n * (n - 1) div 2")
+    d = all_ - F.col("__tx") - F.col("__ty") + F.col("tied_both") - F.col("concordant")
+    return more.select(*group, "n", "concordant", d.alias("discordant"), (F.col("__tx") - F.col("tied_both")).alias("tied_x"), (F.col("__ty") - F.col("tied_both")).alias("tied_y"), "tied_both")
 
 
 def tau_of_counts(joint: bool) -> Column:
-    """Kendall's tau from the counts of ``pairwise``; with ``joint``, pairs tied on both sides count as ties of either side."""
+    """Kendall's tau from the counts of ``pair_counts``; with ``joint``, pairs tied on both sides count as ties of either side."""
     both = F.col("tied_both") if joint else F.lit(0)
     c, d = F.col("concordant"), F.col("discordant")
     denominator = F.sqrt((c + d + F.col("tied_x") + both).cast("double") * (c + d + F.col("tied_y") + both))
     return F.when(denominator > 0, F.try_divide((c - d).cast("double"), denominator))
 
 
-def median_slope() -> Column:
-    """Theil and Sen's slope from the slopes of ``pairwise``; null where no pair differs in x."""
-    s, n = F.col("slopes"), F.size("slopes")
-    at = lambda k: F.get(s, k.cast("int"))
-    return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+#: Points of a block: two blocks of a series are compared by one key of the join.
+BLOCK = 256
+
+
+def slopes(df: DataFrame, group: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """group, slope: of every pair of points with different x. All pairs are what Theil and Sen's slope is the median of; they are
+    made block by block, so that no task has a whole series, and are never kept together."""
+    w = Window.partitionBy(*group)
+    p = df.select(*group, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.row_number().over(w.orderBy(x, y)).alias("__i"), F.count(F.lit(1)).over(w).alias("__n"))
+    block, last = F.floor((F.col("__i") - 1) / BLOCK), F.floor((F.col("__n") - 1) / BLOCK)
+    mine = [F.col(f"`{g}`") for g in group]
+    a = p.select(*mine, block.alias("__a"), F.explode(F.sequence(block, last)).alias("__b"), "__x", "__y", "__i").alias("a")
+    b = p.select(*mine, F.explode(F.sequence(F.lit(0).cast("bigint"), block)).alias("__a"), block.alias("__b"), "__x", "__y", "__i").alias("b")
+    on = [F.col(f"a.`{g}`").eqNullSafe(F.col(f"b.`{g}`")) for g in group] + [F.col("a.__a") == F.col("b.__a"), F.col("a.__b") == F.col("b.__b"), F.col("a.__i") < F.col("b.__i"), F.col("a.__x") != F.col("b.__x")]
+    return a.join(b, on).select(*[F.col(f"a.`{g}`") for g in group], F.try_divide(F.col("b.__y") - F.col("a.__y"), F.col("b.__x") - F.col("a.__x")).alias("slope"))
+
+
+def theil_sen(df: DataFrame, group: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """group, slope: the median of the slopes of all pairs; series without two different x give no row."""
+    return quantiles(slopes(df, group, x, y), group, "slope", (0.5,)).select(*group, F.col("q")[0].alias("slope"))
 
 
 def leave_one_out(df: DataFrame, group: list[str], point: str, x: str = "x", y: str = "y") -> DataFrame:
     """group, point, rho without the point less rho of all. Without a point, every rank above it falls by one and every tied
-    rank by a half, so the ranks of all n leave-one-out series follow from pairs of points of one series (n squared rows for
-    a series of n entities). Series of fewer than three points give no row."""
-    big = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*group))).where("__n >= 3")
-    ranked = with_rank(with_rank(big, group, x, "__rx"), group, y, "__ry").select(*group, point, F.col(x).alias("__x"), F.col(y).alias("__y"), "__rx", "__ry")
-    packed = ranked.groupBy(*group).agg(F.collect_list(F.struct(F.col(point).alias("p"), "__x", "__y", "__rx", "__ry")).alias("__l"))
-    each = packed.select(*group, "__l", F.explode("__l").alias("o"))
-    rest = each.select(*group, F.col("o.p").alias(point), F.col("o.__x").alias("__ox"), F.col("o.__y").alias("__oy"), F.explode(F.filter("__l", lambda r: r["p"] != F.col("o.p"))).alias("r"))
-    less = lambda v, o, r: r - F.when(v > o, 1.0).when(v == o, 0.5).otherwise(0.0)
-    left = rest.groupBy(*group, point).agg(correlation(less(F.col("r.__x"), F.col("__ox"), F.col("r.__rx")), less(F.col("r.__y"), F.col("__oy"), F.col("r.__ry"))).alias("__left"))
-    full = spearman(df, group, x, y)
-    return left.join(full, group).select(*group, point, (F.col("__left") - F.col("rho")).alias("delta"), "rho")
+    rank by a half, so that the sums of the n leave-one-out series follow from rank sums above and beside each point and from
+    ``above_right``. Series of fewer than three points give no row."""
+    w = Window.partitionBy(*group)
+    p = df.withColumn("__n", F.count(F.lit(1)).over(w)).where("__n >= 3")
+    p = above_right(with_rank(with_rank(p, group, x, "__rx"), group, y, "__ry"), group, x, y)
+    upto = lambda v: w.orderBy(v).rangeBetween(Window.unboundedPreceding, 0)
+    tied = lambda *v: Window.partitionBy(*group, *v)
+    p = p.withColumns(
+        {
+            "__cx": F.count(F.lit(1)).over(tied(x)), "__cy": F.count(F.lit(1)).over(tied(y)), "__cb": F.count(F.lit(1)).over(tied(x, y)),
+            "__y_above": F.rank().over(tied(x).orderBy(F.col(y).desc())) - 1, "__x_above": F.rank().over(tied(y).orderBy(F.col(x).desc())) - 1,
+            "__ry_right": F.sum("__ry").over(w) - F.sum("__ry").over(upto(x)), "__rx_above": F.sum("__rx").over(w) - F.sum("__rx").over(upto(y)),
+            "__ry_beside": F.sum("__ry").over(tied(x)) - F.col("__ry"), "__rx_beside": F.sum("__rx").over(tied(y)) - F.col("__rx"),
+            "__sxx": F.sum(F.col("__rx") * F.col("__rx")).over(w), "__syy": F.sum(F.col("__ry") * F.col("__ry")).over(w), "__sxy": F.sum(F.col("__rx") * F.col("__ry")).over(w),
+        }
+    )
+    n, rx, ry = F.col("__n"), F.col("__rx"), F.col("__ry")
+
+    def square(r: Column, ties: Column, total: Column) -> Column:
+        upper = r + (ties - 1) / 2.0  # places up to the point's ties; what is above has the places behind them
+        above = (n * (n + 1) - upper * (upper + 1)) / 2.0
+        return total - r * r - 2 * (above + 0.5 * (ties - 1) * r) + (n - upper) + 0.25 * (ties - 1)
+
+    both = F.col("__more") + 0.5 * (F.col("__y_above") + F.col("__x_above")) + 0.25 * (F.col("__cb") - 1)
+    xy = F.col("__sxy") - rx * ry - (F.col("__rx_above") + 0.5 * F.col("__rx_beside")) - (F.col("__ry_right") + 0.5 * F.col("__ry_beside")) + both
+    m = n - 1
+    s = m * (m + 1) / 2.0
+    vx, vy = m * square(rx, F.col("__cx"), F.col("__sxx")) - s * s, m * square(ry, F.col("__cy"), F.col("__syy")) - s * s
+    left = F.when((vx > 1e-9) & (vy > 1e-9), (m * xy - s * s) / F.sqrt(F.when((vx > 1e-9) & (vy > 1e-9), vx * vy)))
+    whole = n * (n + 1) / 2.0
+    wx, wy = n * F.col("__sxx") - whole * whole, n * F.col("__syy") - whole * whole
+    rho = F.when((wx > 1e-9) & (wy > 1e-9), (n * F.col("__sxy") - whole * whole) / F.sqrt(F.when((wx > 1e-9) & (wy > 1e-9), wx * wy)))
+    return p.select(*group, point, (left - rho).alias("delta"), rho.alias("rho"))
+
+
+def rho_p(rho: Column, n: Column) -> Column:
+    """Two-sided p of a rank correlation by the normal tail of its t statistic; null for n < 3 or a missing rho. The tail is 1 less a
+    series of positive terms, to about 15 digits."""
+    z = F.abs(rho) * F.sqrt((n - 2) / F.greatest(F.lit(1e-12), 1 - rho * rho)) / math.sqrt(2)
+    start = F.struct(z.alias("t"), z.alias("s"))
+
+    def step(a: Column, k: Column) -> Column:
+        t = a["t"] * 2 * z * z / (2 * k + 1)
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+    erf = F.aggregate(F.sequence(F.lit(1), F.lit(150)), start, step, lambda a: a["s"]) * F.exp(-z * z) * (2 / math.sqrt(math.pi))
+    return F.when((n >= 3) & rho.isNotNull(), F.when((F.abs(rho) >= 1) | (z > 6), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - erf))))
+
 
+# ---- resampling, drawn by a hash ----
 
-# ---- resampling, within one series ----
+
+def drawn(tag: str, *parts: Column) -> Column:
+    """A whole number below 2 to the 48 from a tag and the parts, by MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(tag), *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("bigint")
+
+
+def replicates(df: DataFrame, group: str, tag: str, times: int = RESAMPLES, shuffled: bool = False, x: str = "x", y: str = "y") -> DataFrame:
+    """(group, r, x, y): ``times`` resamples of each series, each of as many points. Place k of replicate r has the point number
+    ``drawn(tag, group, r, k)`` modulo n, with points numbered by x and y; with ``shuffled`` the xs stay and the ys take the order of
+    ``drawn(tag, group, r, number)``."""
+    w = Window.partitionBy(group)
+    p = df.select(F.col(group), F.col(x).alias("x"), F.col(y).alias("y"), (F.row_number().over(w.orderBy(x, y)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n")).where("n >= 3")
+    each = p.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    if shuffled:
+        order = Window.partitionBy(group, "r").orderBy(drawn(tag, F.col(group), F.col("r"), F.col("i")), "i")
+        to = each.select(group, "r", "y", (F.row_number().over(order) - 1).alias("i"))
+        return to.join(p.select(group, "i", "x"), [group, "i"]).select(group, "r", "x", "y")
+    draws = each.select(group, "r", (drawn(tag, F.col(group), F.col("r"), F.col("i")) % F.col("n")).alias("i"))
+    return draws.join(p.select(group, "i", "x", "y"), [group, "i"]).select(group, "r", "x", "y")
+
+
+def interval(stats: DataFrame, group: str, value: str, low: str, high: str) -> DataFrame:
+    """group, low, high: the 2.5 and 97.5 percentiles of the replicates' statistics that are defined, null for fewer than ten."""
+    q = quantiles(stats, [group], value, (0.025, 0.975))
+    enough = lambda k: F.when(F.col("n") >= 10, F.col("q")[k])
+    return q.select(group, enough(0).alias(low), enough(1).alias(high))
+
+
+def rho_interval(df: DataFrame, group: str, times: int = RESAMPLES) -> DataFrame:
+    """group, rho_ci_lo, rho_ci_hi by ``times`` resamples of the series."""
+    return interval(spearman(replicates(df, group, "rho", times), [group, "r"]), group, "rho", "rho_ci_lo", "rho_ci_hi")
+
+
+def tau_interval(df: DataFrame, group: str, times: int = RESAMPLES) -> DataFrame:
+    """group, tau_ci_lo, tau_ci_hi by ``times`` resamples of the series."""
+    taus = pair_counts(replicates(df, group, "tau_ci", times), [group, "r"]).withColumn("tau", tau_of_counts(True))
+    return interval(taus, group, "tau", "tau_ci_lo", "tau_ci_hi")
+
+
+def tau_permutation_p(df: DataFrame, group: str, times: int = RESAMPLES) -> DataFrame:
+    """group, p_tau: the share of ``times`` shuffled series, and the series itself, whose tau is at least as far from 0; null where tau
+    is undefined or for fewer than three points."""
+    own = pair_counts(df, [group]).select(group, "n", F.round(F.abs(tau_of_counts(True)), 12).alias("__own"))
+    taus = pair_counts(replicates(df, group, "tau_p", times, shuffled=True), [group, "r"]).select(group, F.round(F.abs(tau_of_counts(True)), 12).alias("__tau"))
+    hits = taus.join(own, group).groupBy(group).agg(F.count_if(F.col("__tau") >= F.col("__own")).alias("__hits"))
+    defined = (F.col("n") >= 3) & F.col("__own").isNotNull()
+    return own.join(hits, group, "left").select(group, F.when(defined, (1 + F.coalesce("__hits", F.lit(0))) / F.lit(float(times + 1))).alias("p_tau"))
+
+
+# ---- resampling by a seeded generator, within one series ----
 
 
 def ranks(v: np.ndarray) -> np.ndarray:
-    """Mean ranks along the last axis."""
-    below = (v[..., None, :] < v[..., :, None]).sum(-1)
-    same = (v[..., None, :] == v[..., :, None]).sum(-1)
-    return below + (same + 1) / 2.0
+    """Mean ranks along the last axis, by sorting."""
+    order = np.argsort(v, axis=-1, kind="stable")
+    ordered = np.take_along_axis(v, order, -1)
+    fresh = np.ones(v.shape, bool)
+    fresh[..., 1:] = ordered[..., 1:] != ordered[..., :-1]
+    places = np.broadcast_to(np.arange(1, v.shape[-1] + 1), v.shape)
+    first = np.maximum.accumulate(np.where(fresh, places, 0), -1)
+    ends = np.concatenate([fresh[..., 1:], np.ones((*v.shape[:-1], 1), bool)], -1)
+    last = np.minimum.accumulate(np.where(ends, places, v.shape[-1])[..., ::-1], -1)[..., ::-1]
+    out = np.empty(v.shape)
+    np.put_along_axis(out, order, (first + last) / 2.0, -1)
+    return out
 
 
 def _rho(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -181,9 +317,9 @@ def robust_slope(x: np.ndarray, y: np.ndarray, method: str = "huber", rounds: in
 TREND_SCHEMA = "n double, rho double, p_rho double, rho_ci_lo double, rho_ci_hi double, tau double, p_tau double, tau_ci_lo double, tau_ci_hi double, huber double, bisquare double"
 
 
-def trend_bundle(df: DataFrame, group: str, x: str = "x", y: str = "y") -> DataFrame:
+def seeded_trends(df: DataFrame, group: str, x: str = "x", y: str = "y") -> DataFrame:
     """One row per series: the statistics of ``trend`` and both robust slopes; undefined ones are null. Points are taken in the
-    order of x, then y, since the seeds depend on it."""
+    order of x, then y, since the seeds depend on it. A series is one task's."""
     kind = df.schema[group].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -194,3 +330,18 @@ def trend_bundle(df: DataFrame, group: str, x: str = "x", y: str = "y") -> DataF
 
     points = df.select(group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     return points.groupBy(group).applyInPandas(run, f"`{group}` {kind}, {TREND_SCHEMA}")
+
+
+def robust_slopes(df: DataFrame, group: str, x: str = "x", y: str = "y") -> DataFrame:
+    """group, huber, bisquare: robust slopes of each series, null for fewer than two points. Each round reads the series anew, so
+    that one task keeps it; its size is that of the points alone."""
+    kind = df.schema[group].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"])
+        a, b = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        found = {m: robust_slope(a, b, m) for m in ("huber", "bisquare")}
+        return pd.DataFrame([{group: pdf[group].iloc[0]} | {k: v if math.isfinite(v) else None for k, v in found.items()}])
+
+    points = df.select(group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return points.groupBy(group).applyInPandas(run, f"`{group}` {kind}, huber double, bisquare double")

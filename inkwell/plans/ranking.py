@@ -6,10 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import scalars as S
-from inkwell.operators import boxes as B
 from inkwell.operators import review_state as RS
+from inkwell.operators.global_sort import numbered
 from inkwell.plans.registry import Registry
-from inkwell.plans.relational import _IID, DROPPED, KEY, NEAR, NORMAL, _keyed, _page_boxes
 from inkwell.runtime import small, table
 from inkwell.sources import views as V
 from inkwell.sources.views import with_views
@@ -39,28 +38,6 @@ def best_instance(spark, d):
     return i.groupBy("book", "ch").agg(F.max_by("record_id", best).alias("record_id"))
 
 
-_SCORE = "case when review_status = 'confirmed' and filter_status = 'accepted' then 6 when review_status = 'confirmed' then 5 when filter_status = 'accepted' and review_status = 'pending' then 4 when filter_status = 'pending' then 3 else 0 end"
-
-
-def _score():
-    r, f = F.col("review_status"), F.col("filter_status")
-    return F.when((r == "confirmed") & (f == "accepted"), 6).when(r == "confirmed", 5).when((f == "accepted") & (r == "pending"), 4).when(f == "pending", 3).otherwise(0)
-
-
-@query(with_views(NORMAL) + f"select book, ch, item_id from (select *, row_number() over (partition by book, ch order by {_SCORE} desc, coalesce(review_at, '') desc, coalesce(instance_id, '') desc, item_id) as k from normal) where k = 1")
-def best_review(spark, d):
-    n = RS.normalised(V.reviews(spark, d))
-    return n.groupBy("book", "ch").agg(F.max_by("item_id", F.struct(_score(), F.coalesce("review_at", F.lit("")), F.coalesce("instance_id", F.lit("")), -F.col("item_id"))).alias("item_id"))
-
-
-@query(with_views(V.INSTANCES, NORMAL) + f""", m as (select book, ch, {_IID} as instance_id, max(coalesce(w, 0)) as w from instances group by all) select book, ch, item_id from (select n.*, row_number() over (partition by n.book, n.ch order by {_SCORE} desc, coalesce(m.w, 0) desc, item_id) as k
-  from normal n left join m on n.book = m.book and n.ch = m.ch and n.instance_id = m.instance_id) where k = 1""")
-def best_filter_candidate(spark, d):
-    width = _keyed(spark, d).where("instance_id is not null").groupBy(*KEY).agg(F.max(F.coalesce("w", F.lit(0))).alias("w"))
-    n = RS.normalised(V.reviews(spark, d)).join(width, KEY, "left")
-    return n.groupBy("book", "ch").agg(F.max_by("item_id", F.struct(_score(), F.coalesce("w", F.lit(0)), -F.col("item_id"))).alias("item_id"))
-
-
 @query(with_views(V.GLYPHS) + """, g as (select ch, book, avg(w) as mu from glyphs group by all), n as (select *, row_number() over (partition by ch order by book) as i, count(*) over (partition by ch) as n from g),
   e as (select ch, i, mu, n from n union all select ch, 1 - s, mu, n from n, (values (1), (2)) t(s) where i = 1 and s <= case when n >= 10 then 2 when n >= 5 then 1 else 0 end union all select ch, n + s, mu, n from n, (values (1), (2)) t(s) where i = n and s <= case when n >= 10 then 2 when n >= 5 then 1 else 0 end)
   select ch, i, round(sm, 9) as trend from (select ch, i, n, case when n >= 10 then avg(mu) over (partition by ch order by i rows between 2 preceding and 2 following) when n >= 5 then avg(mu) over (partition by ch order by i rows between 1 preceding and 1 following) else mu end as sm from e) where i between 1 and n""")
@@ -88,12 +65,13 @@ def coverage_runs(spark, d):
 
 @query(with_views(V.BOOKS) + ", r as (select region, count(*) as n from books group by region), o as (select region, sum(n) over (order by region) - n + row_number() over (order by region) - 1 as base from r) select book, region, cast(base + row_number() over (partition by region order by book) as bigint) as pos from books join o using (region)")
 def group_positions(spark, d):
-    """Places with one more between regions: numbers within a region plus an offset per region from a prefix sum of counts."""
-    b = V.books(spark, d)
+    """Places with one more between regions: numbers within a region, from a global sort, plus an offset per region from a prefix
+    sum of counts."""
+    b = numbered(V.books(spark, d).select("book", "region"), ["region"], [F.col("book").asc()], "k")
     counts = b.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("region")
     base = counts.select("region", (F.sum("n").over(before) - F.col("n") + F.row_number().over(before) - 1).alias("base"))
-    return b.join(base, "region").select("book", "region", (F.col("base") + F.row_number().over(Window.partitionBy("region").orderBy("book"))).alias("pos"))
+    return b.join(base, "region").select("book", "region", (F.col("base") + F.col("k")).alias("pos"))
 
 
 def _candidates(spark, d):
@@ -114,16 +92,6 @@ def topk_early_stop(spark, d):
     return RS.first_per(a, ["book", "ch"], [F.col("h").desc(), F.col("conf").desc(), F.col("record_id").asc()], 5, "rank").select("book", "ch", "record_id", "rank")
 
 
-@query(with_views(NORMAL) + f"select book, ch, item_id, cast(k as int) as place, n > 20 as has_more from (select *, row_number() over (partition by book, ch order by {_SCORE} desc, item_id) as k, count(*) over (partition by book, ch) as n from normal where not {DROPPED}) where k <= 20")
-def priority_page(spark, d):
-    """The first page of 20 of every (book, character) by priority, and whether there is more."""
-    n = RS.normalised(V.reviews(spark, d)).where(~RS.is_dropped()).select("book", "ch", "item_id", _score().alias("score"))
-    total = n.groupBy("book", "ch").agg(F.count(F.lit(1)).alias("n"))
-    page = RS.first_per(n, ["book", "ch"], [F.col("score").desc(), F.col("item_id").asc()], 20, "place")
-    on = (F.col("p.book").eqNullSafe(F.col("t.book"))) & (F.col("p.ch").eqNullSafe(F.col("t.ch")))
-    return page.alias("p").join(total.alias("t"), on).select("p.book", "p.ch", "item_id", "place", (F.col("n") > 20).alias("has_more"))
-
-
 @query(with_views(V.INSTANCES) + """, t as (select book, ch, record_id, row_number() over (partition by book, ch order by w desc, conf desc, record_id) as r from instances where w > 0 and h > 0), o as (select i.book, i.ch, i.record_id, coalesce(case when t.r <= 3 then t.r end, 1000000) as r from instances i left join t using (record_id))
   select book, ch, record_id, cast(k as int) as place from (select *, row_number() over (partition by book, ch order by r, record_id) as k from o) where k between 11 and 20""")
 def instances_page(spark, d):
@@ -136,12 +104,10 @@ def instances_page(spark, d):
 
 @query(with_views(V.BOOKS) + "select book, row_number() over (order by coalesce(year, 9999), coalesce(try_cast(split_part(book, '_', 1) as int), 9999), book) as k from books")
 def chronological(spark, d):
-    """Places of all books by year, order and id; missing ones last. Ranked within years and offset by the years' counts, so
-    that no single task sorts the catalogue."""
+    """Places of all books by year, order and id; missing ones last. One global sort, so that no task sorts the catalogue or a year."""
     b = V.books(spark, d).select("book", F.coalesce("year", F.lit(9999)).alias("y"), F.coalesce(S.book_prefix(F.col("book"))["ord"], F.lit(9999)).alias("o"))
-    years = b.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    base = years.select("y", (F.sum("n").over(Window.orderBy("y")) - F.col("n")).alias("base"))
-    return b.join(base, "y").select("book", (F.col("base") + F.row_number().over(Window.partitionBy("y").orderBy("o", "book"))).alias("k"))
+    places = numbered(b.withColumn("all", F.lit(1)), ["all"], [F.col("y").asc(), F.col("o").asc(), F.col("book").asc()], "k")
+    return places.select("book", "k")
 
 
 @query(with_views(V.INSTANCES, V.DICTIONARY) + ", f as (select ch, min(ord) as ord from dictionary group by ch), c as (select ch, count(*) as n from instances group by ch) select ch, n, coalesce(ord, 1000000000) as ord from c left join f using (ch)")
@@ -165,38 +131,7 @@ def next_unvisited(spark, d):
     return behind.groupBy("key").agg(F.min("event_id").alias("next"))
 
 
-# ---- clustering and dedupe ----
-
-_CLUSTERS = "with recursive " + NEAR + ", link as (select src as a, dst as b from near union select dst, src from near), reach as (select a as node, b as seen from link union select r.node, l.b from reach r join link l on r.seen = l.a), cluster as (select id, page, conf, w, h, coalesce(least(id, c), id) as cluster from box left join (select node, min(seen) as c from reach group by node) on id = node)"
-
-
-def _clustered(spark, d):
-    """Every box with the first box of its page cluster; boxes that touch none are their own."""
-    b = _page_boxes(spark, d)
-    links = B.linked_groups(B.overlap_pairs(b))
-    return b.join(links, b["rep"] == links["node"], "left").select(F.col("rep").alias("id"), F.col("k1").alias("page"), "conf", "w", "h", F.coalesce("first", "rep").alias("cluster"))
-
-
-@query(_CLUSTERS + " select page, id, cluster from cluster")
-def page_clusters(spark, d):
-    return _clustered(spark, d).select("page", "id", "cluster")
-
-
-@query(_CLUSTERS + " select cluster, id as best, n from (select cluster, id, row_number() over (partition by cluster order by conf desc, id) as k, count(*) over (partition by cluster) as n from cluster) where k = 1")
-def dedupe_instances(spark, d):
-    return _clustered(spark, d).groupBy("cluster").agg(F.max_by("id", F.struct("conf", -F.col("id"))).alias("best"), F.count(F.lit(1)).alias("n"))
-
-
-@query(_CLUSTERS + " select cluster, id as best from (select cluster, id, row_number() over (partition by cluster order by case when conf >= 0.06 then 6 when conf >= 0.03 then 4 else 0 end desc, w desc, id) as k from cluster) where k = 1")
-def dedupe_review(spark, d):
-    score = F.when(F.col("conf") >= 0.06, 6).when(F.col("conf") >= 0.03, 4).otherwise(0)
-    return _clustered(spark, d).groupBy("cluster").agg(F.max_by("id", F.struct(score, "w", -F.col("id"))).alias("best"))
-
-
-@query(_CLUSTERS + " select cluster, id as best from (select cluster, id, row_number() over (partition by cluster order by case when conf >= 0.08 then 2 when conf >= 0.04 then 1 else 0 end desc, w * h desc, id) as k from cluster) where k = 1")
-def dedupe_filter(spark, d):
-    level = F.when(F.col("conf") >= 0.08, 2).when(F.col("conf") >= 0.04, 1).otherwise(0)
-    return _clustered(spark, d).groupBy("cluster").agg(F.max_by("id", F.struct(level, F.col("w") * F.col("h"), -F.col("id"))).alias("best"))
+# ---- variants ----
 
 
 @query("select book, std_char as ch, count(distinct coalesce(source_image, '') || '|' || coalesce(ocr_file, '') || '|' || coalesce(char_index, -1)) as variants, count(*) as n, greatest(0, count(*) - count(distinct coalesce(source_image, '') || '|' || coalesce(ocr_file, '') || '|' || coalesce(char_index, -1))) as removed from matched_books group by all")

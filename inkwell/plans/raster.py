@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.scalars import finite
 from inkwell.operators import raster as K
-from inkwell.operators.review_state import first_per
+from inkwell.operators.global_sort import numbered
 from inkwell.plans.registry import Registry
 from inkwell.sources import views as V
 from inkwell.sources.views import with_views
@@ -59,8 +59,8 @@ def shrink_to_ink(spark, d):
 @query(with_views(V.INSTANCES) + "select book, ch, record_id, cast((k - 1) % 10 as int) as col, cast((k - 1) // 10 as int) as row from (select book, ch, record_id, row_number() over (partition by book, ch order by record_id) as k from instances)")
 def montage_layout(spark, d):
     """Tiles of every (book, character) in rows of ten."""
-    t = first_per(V.instances(spark, d).select("book", "ch", "record_id"), ["book", "ch"], [F.col("record_id").asc()], 2**31 - 1, "k")
-    return t.select("book", "ch", "record_id", ((F.col("k") - 1) % 10).alias("col"), F.floor((F.col("k") - 1) / 10).cast("int").alias("row"))
+    t = numbered(V.instances(spark, d).select("book", "ch", "record_id"), ["book", "ch"], [F.col("record_id").asc()], "k")
+    return t.select("book", "ch", "record_id", ((F.col("k") - 1) % 10).cast("int").alias("col"), F.floor((F.col("k") - 1) / 10).cast("int").alias("row"))
 
 
 @query("select record_id, greatest(0, bbox.x - 10) as x0, greatest(0, bbox.y - 10) as y0, least(1600, bbox.x + bbox.width + 10) as x1, least(2400, bbox.y + bbox.height + 10) as y1 from matched_books where bbox.x is not null and bbox.y is not null and bbox.width is not null and bbox.height is not null and least(1600, bbox.x + bbox.width + 10) - greatest(0, bbox.x - 10) >= 10 and least(2400, bbox.y + bbox.height + 10) - greatest(0, bbox.y - 10) >= 10")

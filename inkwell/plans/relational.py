@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import scalars as S
-from inkwell.operators import boxes as B
 from inkwell.operators import review_state as RS
-from inkwell.operators.quantiles import quantiles
+from inkwell.operators.global_sort import numbered, quantiles
 from inkwell.plans.registry import Registry
 from inkwell.plans.scalars import _REVIEW, _STATE
-from inkwell.runtime import small, table
+from inkwell.runtime import SMALL_ROWS, materialise, small, table
 from inkwell.sources import views as V
 from inkwell.sources.views import with_views
 
@@ -19,7 +19,7 @@ QUERIES, ORACLE = R.queries, R.oracle
 query = R.query
 
 #: Periods of years, half open but for the last.
-PERIODS = [("早期", 1127, 1162, False), ("中期", 1162, 1208, False), ("后期", 1208, 1273, True)]
+PERIODS = S.periods("1127-1162,1162-1208,1208-1273")
 PERIODS_SQL = "periods(label, k, lo, hi, closed) as (values " + ", ".join(f"('{a}', {i}, {b}, {c}, {str(e).lower()})" for i, (a, b, c, e) in enumerate(PERIODS)) + ")"
 NORMAL = f"normal as (select item_id, book, std_char as ch, instance_id, {_STATE} as filter_status, {_REVIEW} as review_status, coalesce(nullif(decision, ''), case when {_REVIEW} = 'dropped' then 'drop' else 'need' end) as decision, segmented_path, confirmed_path, review_at, written_at from review_books)"
 DROPPED = "(review_status = 'dropped' or decision = 'drop')"
@@ -38,12 +38,6 @@ def confirmed(spark, d):
     return RS.confirmed(RS.normalised(V.reviews(spark, d))).select("item_id", "book")
 
 
-@query(with_views(NORMAL) + f"select item_id from normal where not {DROPPED} and (filter_status = 'accepted' or review_status = 'confirmed' or (segmented_path <> '' and confirmed_path is null))")
-def visible(spark, d):
-    items = RS.normalised(V.reviews(spark, d))
-    return items.where(~RS.is_dropped() & ((F.col("filter_status") == "accepted") | (F.col("review_status") == "confirmed") | ((F.col("segmented_path") != "") & F.col("confirmed_path").isNull()))).select("item_id")
-
-
 @query(with_views(V.BOOKS) + "select book, region from books where region = '（空）' or contains(region, '路')")
 def region_blank(spark, d):
     return V.books(spark, d).where((F.col("region") == S.BLANK_BUCKET) | F.col("region").contains("路")).select("book", "region")
@@ -179,22 +173,6 @@ def methods_listing(spark, d):
     return listed.select("book", "method_id", F.array_join(F.transform("l", lambda x: x["ch"]), "").alias("chars"))
 
 
-NEAR = """box as (select l_orderkey as page, l_orderkey * 10 + l_linenumber as id, l_partkey % 24 as x, l_suppkey % 24 as y, 20 + l_linenumber % 3 as w, 20 + cast(l_quantity as int) % 4 as h, l_discount as conf from lineitem),
-  near as (select a.id as src, b.id as dst, a.page from box a join box b on a.page = b.page and a.id < b.id
-  where least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) >= 0.8 * least(a.w, b.w) and least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) >= 0.8 * least(a.h, b.h)
-  and greatest(a.w, b.w) <= 1.6 * least(a.w, b.w) and greatest(a.h, b.h) <= 1.6 * least(a.h, b.h))"""
-
-
-def _page_boxes(spark, d):
-    li = table(spark, d, "lineitem")
-    return li.select(F.col("l_orderkey").alias("k1"), F.lit(0).alias("k2"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rep"), (F.col("l_partkey") % 24).alias("x"), (F.col("l_suppkey") % 24).alias("y"), (20 + F.col("l_linenumber") % 3).cast("bigint").alias("w"), (20 + F.col("l_quantity").cast("int") % 4).cast("bigint").alias("h"), F.col("l_discount").alias("conf"))
-
-
-@query("with recursive " + NEAR + " select src, dst from near")
-def near_overlap_pairs(spark, d):
-    return B.overlap_pairs(_page_boxes(spark, d))
-
-
 @query(with_views(V.BOOKS, PERIODS_SQL) + ", p as (select book, year, label, row_number() over (partition by book order by k) as j from books join periods on year >= lo and (year < hi or closed and year = hi)) select book, year, label from p where j = 1")
 def period_range_join(spark, d):
     """The first period that a year lies in; years in none give no row. The periods are a parameter, so the range join is an
@@ -227,12 +205,16 @@ def newest_or_larger_merge(spark, d):
 
 @query(with_views(V.DICTIONARY, V.INSTANCES) + ", pairs as (select distinct book from instances), have as (select distinct book, ch from instances), firsts as (select ch, min(ord) as ord from dictionary group by ch) select p.book, f.ord, f.ch from pairs p cross join firsts f where not exists (select 1 from have h where h.book = p.book and h.ch = f.ch)")
 def missing_chars_anti(spark, d):
-    """Dictionary characters that a book lacks: from the book's sorted set of characters, without a cross join of books and
-    dictionary; the dictionary's few hundred characters are one array."""
-    firsts = V.dictionary(spark, d).groupBy("ch").agg(F.min("ord").alias("ord")).agg(F.collect_list(F.struct("ord", "ch")).alias("all"))
-    have = V.instances(spark, d).where("book is not null").groupBy("book").agg(F.collect_set("ch").alias("have")).withColumn("one", F.lit(1))
-    joined = have.join(F.broadcast(firsts.withColumn("one", F.lit(1))), "one")
-    missing = joined.select("book", F.explode(F.filter("all", lambda x: ~F.array_contains(F.col("have"), x["ch"]))).alias("m"))
+    """Dictionary characters that a book lacks: each book's set of dictionary characters (no more than the dictionary has), taken
+    from the list of them all. The dictionary is small by nature; one that grew beyond ``SMALL_ROWS`` is an error, not a driver's or
+    a broadcast's burden."""
+    firsts = V.dictionary(spark, d).groupBy("ch").agg(F.min("ord").alias("ord"))
+    if firsts.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        raise ValueError("the dictionary has too many characters for one list")
+    listed = firsts.agg(F.collect_list(F.struct("ord", "ch")).alias("all"))
+    books = V.instances(spark, d).where("book is not null").select("book", "ch")
+    have = books.join(F.broadcast(firsts.select(F.col("ch").alias("known"))), F.col("ch") == F.col("known"), "left").groupBy("book").agg(F.collect_set("known").alias("have"))
+    missing = have.join(F.broadcast(listed), F.lit(True)).select("book", F.explode(F.filter("all", lambda x: ~F.array_contains(F.col("have"), x["ch"]))).alias("m"))
     return missing.select("book", "m.ord", "m.ch")
 
 
@@ -263,8 +245,8 @@ def book_resolution(spark, d):
 @query("""with l as (select book, std_char, instance_id, segmented_path, row_number() over (partition by book, std_char order by item_id) - 1 as i from review_books), m as (select book, std_char, record_id, row_number() over (partition by book, std_char order by record_id) - 1 as i from matched_books)
   select m.record_id, l.instance_id from l join m on l.book = m.book and l.std_char = m.std_char and l.i = m.i""")
 def positional_join(spark, d):
-    """Two lists per (book, character) joined by place."""
-    place = lambda df, order: RS.first_per(df, ["book", "ch"], [F.col(order)], 2**31 - 1, "i")
+    """Two lists per (book, character) joined by place; places come from a global sort, so that a list of any length is spread."""
+    place = lambda df, order: numbered(df, ["book", "ch"], [F.col(order).asc()], "i")
     lo = place(V.reviews(spark, d).where("ch is not null").select("book", "ch", "item_id", "instance_id"), "item_id")
     m = place(V.instances(spark, d).select("book", "ch", "record_id"), "record_id")
     return lo.join(m, ["book", "ch", "i"]).select("record_id", "instance_id")
@@ -401,9 +383,13 @@ BOOK_STATS = "book_stats as (select book, avg(aspect_ratio) as mu, stddev_pop(as
 @query(with_views(V.ENTRIES, CHAR_MEANS, BOOK_STATS, V.BOOKS) + f""", p as (select region, {PERIOD_CASE} as period, mu, sigma from book_stats join books using (book))
   select period, region, count(*) as n, round(avg(mu) + 1e-12, 9) as mu_mean, round(quantile_cont(mu, 0.5) + 1e-12, 9) as mu_median, round(stddev_pop(mu) + 1e-12, 9) as mu_std, round(avg(sigma) + 1e-12, 9) as sigma_mean, round(quantile_cont(sigma, 0.5) + 1e-12, 9) as sigma_median from p where period is not null group by all""")
 def region_period_summary(spark, d):
-    p = _book_stats(spark, d).join(V.books(spark, d).select("book", "year", "region"), "book").withColumn("period", _period(F.col("year"))).where("period is not null")
+    p = materialise(_book_stats(spark, d).join(V.books(spark, d).select("book", "year", "region"), "book").withColumn("period", _period(F.col("year"))).where("period is not null").select("period", "region", "mu", "sigma"))
     r = lambda c, a: F.round(c + 1e-12, 9).alias(a)
-    return p.groupBy("period", "region").agg(F.count(F.lit(1)).alias("n"), r(F.avg("mu"), "mu_mean"), r(F.percentile("mu", F.lit(0.5)), "mu_median"), r(F.stddev_pop("mu"), "mu_std"), r(F.avg("sigma"), "sigma_mean"), r(F.percentile("sigma", F.lit(0.5)), "sigma_median"))
+    by = ["period", "region"]
+    out = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), r(F.avg("mu"), "mu_mean"), r(F.stddev_pop("mu"), "mu_std"), r(F.avg("sigma"), "sigma_mean"))
+    for c in ("mu", "sigma"):
+        out = out.join(quantiles(p, by, c, (0.5,)).select(*by, r(F.col("q")[0], f"{c}_median")), by, "left")
+    return out.select(*by, "n", "mu_mean", "mu_median", "mu_std", "sigma_mean", "sigma_median")
 
 
 @query(with_views(V.ENTRIES, CHAR_MEANS, V.BOOKS) + f""", b as (select book, avg(aspect_ratio) as a, avg(face_ratio) as f, avg(ink_coverage) as i from char_means group by book), p as (select {PERIOD_CASE} as period, a, f, i from b join books using (book))
@@ -448,17 +434,16 @@ def page_full_text(spark, d):
   join e a on g.book = a.book and a.p = 0.25 join e b on g.book = b.book and b.p = 0.75""")
 def descriptive_stats(spark, d):
     """Mean, population deviation, extremes, median and exclusive quartiles ((n+1)p-th value, interpolated) per book, from counts
-    per value, so that nothing but distinct values is sorted."""
-    from pyspark.sql import Window
-
+    per value: the values of the places that are asked for come from one global sort."""
     g = V.glyphs(spark, d)
-    base = g.groupBy("book").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("w"), 9).alias("mean"), F.round(F.stddev_pop("w"), 9).alias("std"), F.min("w").alias("lo"), F.max("w").alias("hi"), F.round(F.percentile("w", F.lit(0.5)), 9).alias("median"))
+    base = g.groupBy("book").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("w"), 9).alias("mean"), F.round(F.stddev_pop("w"), 9).alias("std"), F.min("w").alias("lo"), F.max("w").alias("hi"))
+    median = quantiles(g, ["book"], "w", (0.5,)).select("book", F.round(F.col("q")[0], 9).alias("median"))
     counts = g.groupBy("book", "w").agg(F.count(F.lit(1)).alias("c"))
     ordered = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("book").orderBy("w"))).join(base.select("book", "n"), "book")
-    out = base
+    out = base.join(median, "book")
     for p, name in ((0.25, "q1"), (0.75, "q3")):
         h = (F.col("n") + 1) * p
         at = lambda k: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.least(F.col("n"), k)), F.col("w")))
         q = ordered.groupBy("book", "n").agg(at(F.floor(h)).alias("a"), at(F.floor(h) + 1).alias("b"))
         out = out.join(q.select("book", F.round(F.col("a") + (h - F.floor(h)) * (F.col("b") - F.col("a")), 9).alias(name)), "book")
-    return out
+    return out.select("book", "n", "mean", "std", "lo", "hi", "median", "q1", "q3")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import scalars as S
 from inkwell.operators import review_state as RS
-from inkwell.operators.quantiles import quantiles
+from inkwell.operators.global_sort import numbered, quantiles
 from inkwell.plans.registry import Registry
 from inkwell.plans.relational import _IID, _LAST_ENTRY, _LAST_REVIEW, CHAR_MEANS, DROPPED, KEY, NORMAL, _char_means, _keyed, _last
 from inkwell.runtime import scratch_path, small, table
@@ -20,31 +20,12 @@ QUERIES, ORACLE = R.queries, R.oracle
 query = R.query
 
 
-@query(with_views(V.INSTANCES, V.ENTRIES, NORMAL, _LAST_REVIEW, _LAST_ENTRY) + f""", m as (select *, {_IID} as instance_id from instances)
-  select record_id, m.book, m.ch, m.instance_id, x, y, w, h, conf, method_name, coalesce(r.filter_status, 'pending') as filter_status, coalesce(r.review_status, 'pending') as review_status, r.decision, r.confirmed_path, e.aspect_ratio, e.face_ratio, e.ink_coverage,
-  case when e.entry_id is null then 'pending' when e.lookup_missing then 'error' else 'ready' end as state from m left join lastr r using (book, ch, instance_id) left join laste e using (book, ch, instance_id) where not coalesce(r.review_status = 'dropped' or r.decision = 'drop', false)""")
-def filter_payload(spark, d):
-    """The wide row of the filter view; dropped items are left out."""
-    r = _last(RS.normalised(V.reviews(spark, d)), "item_id").select(*KEY, "filter_status", "review_status", "decision", "confirmed_path")
-    e = _last(V.entries(spark, d), "entry_id").select(*KEY, *V.METRICS, "lookup_missing", F.lit(True).alias("measured"))
-    m = _keyed(spark, d).select("record_id", *KEY, "x", "y", "w", "h", "conf", "method_name")
-    out = m.join(r, KEY, "left").join(e, KEY, "left").where(~F.coalesce(RS.is_dropped(), F.lit(False)))
-    state = F.when(F.col("measured").isNull(), "pending").when(F.col("lookup_missing"), "error").otherwise("ready")
-    pend = lambda c: F.coalesce(c, F.lit("pending")).alias(c)
-    return out.select("record_id", *KEY, "x", "y", "w", "h", "conf", "method_name", pend("filter_status"), pend("review_status"), "decision", "confirmed_path", *V.METRICS, state.alias("state"))
-
-
 @query(with_views(NORMAL) + f"select book, ch, instance_id, item_id, case when review_status = 'pending' then 'unreviewed' else review_status end as status, coalesce(nullif(confirmed_path, ''), nullif(segmented_path, '')) as path from normal where not {DROPPED} and filter_status = 'accepted'")
 def combined_view(spark, d):
     a = RS.accepted(RS.normalised(V.reviews(spark, d)))
     return a.select(*KEY, "item_id", F.when(F.col("review_status") == "pending", "unreviewed").otherwise(F.col("review_status")).alias("status"), F.coalesce(F.nullif("confirmed_path", F.lit("")), F.nullif("segmented_path", F.lit(""))).alias("path"))
 
 
-@query(with_views(NORMAL) + f"select book, ch, count(*) as n, count(*) filter (review_status = 'confirmed') as confirmed from normal where not {DROPPED} and filter_status = 'accepted' group by book, ch")
-def accepted_by_char(spark, d):
-    return RS.accepted(RS.normalised(V.reviews(spark, d))).groupBy("book", "ch").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("review_status") == "confirmed").alias("confirmed"))
-
-
 @query(with_views(NORMAL) + f"select distinct book from normal where not {DROPPED} and filter_status = 'accepted'")
 def books_with_accepted(spark, d):
     return RS.accepted(RS.normalised(V.reviews(spark, d))).select("book").distinct()
@@ -53,7 +34,9 @@ def books_with_accepted(spark, d):
 @query(with_views(NORMAL) + f"select book, ch, instance_id, coalesce(nullif(confirmed_path, ''), nullif(segmented_path, '')) as path, cast(row_number() over (partition by book order by ch nulls first, instance_id nulls first, item_id) as int) as k from normal where not {DROPPED} and filter_status = 'accepted' and review_status = 'confirmed' and coalesce(confirmed_path, '') <> ''")
 def confirmed_entries(spark, d):
     c = RS.confirmed(RS.normalised(V.reviews(spark, d))).where("coalesce(confirmed_path, '') <> ''")
-    return RS.first_per(c, ["book"], [F.col("ch").asc_nulls_first(), F.col("instance_id").asc_nulls_first(), F.col("item_id").asc()], 2**31 - 1, "k").select("book", "ch", "instance_id", F.col("confirmed_path").alias("path"), "k")
+    c = c.select("book", "ch", "instance_id", "item_id", F.col("confirmed_path").alias("path"))
+    k = numbered(c, ["book"], [F.col("ch").asc_nulls_first(), F.col("instance_id").asc_nulls_first(), F.col("item_id").asc()], "k")
+    return k.select("book", "ch", "instance_id", "path", F.col("k").cast("int").alias("k"))
 
 
 @query(with_views(V.ENTRIES, CHAR_MEANS, V.BOOKS) + ", m as (select book, count(*) as chars, round(avg(aspect_ratio) + 1e-12, 9) as aspect from char_means group by book) select m.book, chars, aspect, title, coalesce(year, try_cast(split_part(m.book, '_', 2) as int)) as year, region, province, place from m left join books using (book)")
@@ -137,8 +120,10 @@ def trimmed_mean_std(spark, d):
 
 @query(with_views(V.ENTRIES) + "select book, ch, count(aspect_ratio) as n, round(case when count(aspect_ratio) >= 2 then stddev_pop(aspect_ratio) end + 1e-12, 8) as std, round(quantile_cont(aspect_ratio, 0.5) + 1e-12, 8) as median from entries group by book, ch")
 def within_char_std(spark, d):
-    n = F.count("aspect_ratio")
-    return V.entries(spark, d).groupBy("book", "ch").agg(n.alias("n"), F.round(F.when(n >= 2, F.stddev_pop("aspect_ratio")) + 1e-12, 8).alias("std"), F.round(F.percentile("aspect_ratio", F.lit(0.5)) + 1e-12, 8).alias("median"))
+    n, e = F.count("aspect_ratio"), V.entries(spark, d)
+    base = e.groupBy("book", "ch").agg(n.alias("n"), F.round(F.when(n >= 2, F.stddev_pop("aspect_ratio")) + 1e-12, 8).alias("std"))
+    median = quantiles(e, ["book", "ch"], "aspect_ratio", (0.5,)).select(F.col("book").alias("b"), F.col("ch").alias("c"), F.round(F.col("q")[0] + 1e-12, 8).alias("median"))
+    return base.join(median, F.col("book").eqNullSafe(F.col("b")) & F.col("ch").eqNullSafe(F.col("c")), "left").select("book", "ch", "n", "std", "median")
 
 
 @query(with_views(V.ENTRIES) + "select ch, " + ", ".join(f"round(quantile_cont(ink_coverage, {p}) + 1e-12, 8) as p{int(p * 100)}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + " from entries where ink_coverage is not null group by ch")

@@ -5,11 +5,16 @@ partitioned by book, and a partition overwrite replaces only the books it holds.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions.scalars import lenient_int
+from inkwell.functions.scalars import lenient_int, safe_name
 from inkwell.operators.review_state import latest
+from inkwell.runtime import materialise
 
 BOX = "struct<x:int,y:int,width:int,height:int>"
 NORMAL_BOX = "struct<x:double,y:double,width:double,height:double>"
@@ -39,17 +44,36 @@ def _stem(file: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(F.try_url_decode(file), "/"), -1), "\\.json$", "")
 
 
-def matched_instances(spark: SparkSession, path: str) -> DataFrame:
-    """Matched shards in any of their three layouts (data, chars, books by name) as rows (book, char, ord, instance); the book of
-    the first two is the file's stem. A later layout counts only where the ones before it are missing."""
+def _matched_books(spark: SparkSession, path: str) -> DataFrame:
+    """(book, chars) of the matched files below ``path`` that can be read."""
     raw = _json(spark, path, MATCHED, "*.json")
     own = F.coalesce("data", "chars")
     single = raw.where(own.isNotNull()).select(_stem(F.col("file")).alias("book"), own.alias("chars"))
     many = raw.where(own.isNull()).select(F.explode("books").alias("book", "b")).select("book", F.col("b.chars").alias("chars"))
-    by_char = single.unionByName(many).select("book", F.explode("chars").alias("char", "list"))
+    return single.unionByName(many).where("chars is not null")
+
+
+def _instance_rows(books: DataFrame) -> DataFrame:
+    by_char = books.select("book", F.explode("chars").alias("char", "list"))
     return by_char.select("book", "char", F.posexplode("list").alias("ord", "i")).select("book", "char", "ord", "i.*")
 
 
+def matched_instances(spark: SparkSession, path: str) -> DataFrame:
+    """Matched shards in any of their three layouts (data, chars, books by name) as rows (book, char, ord, instance); the book of
+    the first two is the file's stem. A later layout counts only where the ones before it are missing."""
+    return _instance_rows(_matched_books(spark, path))
+
+
+def matched_with_fallback(spark: SparkSession, *stores: str) -> DataFrame:
+    """Like ``matched_instances`` over several stores (a folder of shards, one of cached shards, the file of all books): each book
+    comes from the first store in which it can be read."""
+    found = None
+    for path in stores:
+        books = _matched_books(spark, path)
+        found = books if found is None else found.unionByName(books.join(found.select("book").distinct(), "book", "left_anti"))
+    return _instance_rows(found)
+
+
 def review_items(spark: SparkSession, path: str, backups: str | None = None) -> DataFrame:
     """Review shards as rows (book, char, instance_id, filter, review). A book whose shard can't be parsed is read from its newest
     backup that can (``backups/<book>/<time>.json``, by name)."""
@@ -82,7 +106,7 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """The catalogue's CSV with trimmed fields and whole numbers where they are; blank ids are left out, the last of repeated ids
     (by the catalogue's own number) wins."""
-    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     t = raw.select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in raw.columns]).where("coalesce(BookID, '') <> ''")
     return latest(t.withColumns({"年份": F.col("年份").try_cast("int"), "Number": lenient_int(F.col("Number"))}), ["BookID"], [F.col("Number")])
 
@@ -117,3 +141,34 @@ def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
         safe.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")) for c in safe.columns]).alias("value")).write.mode("overwrite").text(path)
     else:
         raise ValueError(f"no report form {form}")
+
+
+def write_documents(df: DataFrame, path: str, name: str = "name", content: str = "content", folder: str | None = None) -> DataFrame:
+    """Write each row's ``content`` (text or bytes) as the file ``path/name``, or ``path/folder/name`` with the folder that a column
+    gives, and return the index (name, bytes). A file appears whole or not at all: it is written beside its place and moved there, so a task that is repeated writes the same again. Names are
+    cleaned of slashes; null contents write nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        root = path.removeprefix("file://").removeprefix("file:")
+        system, root = fs.FileSystem.from_uri(path) if "://" in path and not path.startswith("file:") else (fs.LocalFileSystem(), root)
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            told = []
+            for n, c, below in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                if c is None:
+                    continue
+                if below:
+                    n = f"{below}/{n}"
+                    system.create_dir(f"{root}/{below}", recursive=True)
+                data = c.encode() if isinstance(c, str) else bytes(c)
+                draft = f"{root}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(draft) as out:
+                    out.write(data)
+                system.move(draft, f"{root}/{n}")
+                told.append((n, len(data)))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in told], pa.string()), pa.array([k for _, k in told], pa.int64())], names=["name", "bytes"])
+
+    rows = df.select(safe_name(F.col(name)).alias("name"), content, F.lit("").alias("below") if folder is None else safe_name(F.col(folder)).alias("below"))
+    return materialise(rows.mapInArrow(run, "name string, bytes bigint"))

@@ -16,7 +16,7 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyph boxes (book, ch, instance_id, w, h) that line items stand for, all whole numbers."""
     li = table(spark, sf_dir, "lineitem")
     book, ch = F.col("l_suppkey") % 38, F.col("l_partkey") % 60
-    return li.where(ch + book > 3).select(
+    return li.select(
         book.alias("book"),
         ch.alias("ch"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("instance_id"),
@@ -26,7 +26,7 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GLYPHS = """glyphs as (select l_suppkey % 38 as book, l_partkey % 60 as ch, l_orderkey * 10 + l_linenumber as instance_id, cast(l_quantity as int) as w,
-  cast(1 + (l_partkey * 7 + l_linenumber * 13) % 50 as int) as h from lineitem where l_partkey % 60 + l_suppkey % 38 > 3)"""
+  cast(1 + (l_partkey * 7 + l_linenumber * 13) % 50 as int) as h from lineitem)"""
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:

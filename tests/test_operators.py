@@ -103,26 +103,59 @@ def test_common_and_trim(spark):
     assert sum(r.g == "b" for r in kept) == 2
 
 
-def test_trends_against_loops(spark):
+def test_trends_against_loops(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    rows = [(g, i, float(rng.integers(0, 6))) for g in range(4) for i in range(g * 6)]
-    df = spark.createDataFrame(rows, "g int, x int, y double")
-    got = {r.g: r for r in trends.pairwise(df, ["g"]).withColumn("t", trends.tau_of_counts(True)).withColumn("s", trends.median_slope()).collect()}
-    rho = {r.g: r.rho for r in trends.spearman(df, ["g"]).collect()}
-    loo = {(r.g, r.x): r.delta for r in trends.leave_one_out(df, ["g"], "x").collect()}
-    for g in range(1, 4):
-        y = np.array([v for k, _, v in rows if k == g])
-        x = np.arange(len(y), dtype=float)
-        assert got[g].t == pytest.approx(float(trends._tau(x, y)))
+    rows = [(g, i, float(rng.integers(0, 3 * g + 4) if g % 2 else i), float(rng.integers(0, 6))) for g in range(6) for i in range(g * 6)]
+    rows += [(9, i, float(i), float(i % 2)) for i in range(2)]
+    df = spark.createDataFrame(rows, "g int, p int, x double, y double")
+    monkeypatch.setattr(trends, "BLOCK", 4)
+    counts = trends.pair_counts(df, ["g"])
+    got = {r.g: r for r in counts.withColumn("t", trends.tau_of_counts(True)).withColumn("b", trends.tau_of_counts(False)).collect()}
+    slope = {r.g: r.slope for r in trends.theil_sen(df, ["g"]).collect()}
+    rho = {r.g: (r.rho, r.p) for r in trends.spearman(df, ["g"]).withColumn("p", trends.rho_p(F.col("rho"), F.col("n"))).collect()}
+    loo = {(r.g, r.p): r.delta for r in trends.leave_one_out(df, ["g"], "p").collect()}
+    assert not any(g == 9 for g, _ in loo)
+    for g in range(1, 6):
+        x, y = (np.array([r[k] for r in rows if r[0] == g]) for k in (2, 3))
         i, j = np.triu_indices(len(x), 1)
-        assert got[g].s == pytest.approx(float(np.median((y[j] - y[i]) / (x[j] - x[i]))))
+        dx, dy = x[j] - x[i], y[j] - y[i]
+        assert (got[g].concordant, got[g].discordant, got[g].tied_both) == ((dx * dy > 0).sum(), (dx * dy < 0).sum(), ((dx == 0) & (dy == 0)).sum())
+        assert (got[g].tied_x, got[g].tied_y) == (((dx == 0) & (dy != 0)).sum(), ((dx != 0) & (dy == 0)).sum())
+        assert got[g].t == pytest.approx(float(trends._tau(x, y)))
+        assert slope[g] == pytest.approx(float(np.median(dy[dx != 0] / dx[dx != 0])))
         r = np.corrcoef(trends.ranks(x), trends.ranks(y))[0, 1]
-        assert rho[g] == pytest.approx(r)
+        assert rho[g] == (pytest.approx(r), pytest.approx(trends.rho_p_value(r, len(x)), abs=1e-12))
         for k in range(len(x)):
             keep = np.arange(len(x)) != k
             assert loo[g, k] == pytest.approx(np.corrcoef(trends.ranks(x[keep]), trends.ranks(y[keep]))[0, 1] - r)
 
 
+def test_ranks_by_sorting():
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 5, (4, 30)).astype(float)
+    below, same = (v[:, None, :] < v[:, :, None]).sum(-1), (v[:, None, :] == v[:, :, None]).sum(-1)
+    assert np.array_equal(trends.ranks(v), below + (same + 1) / 2.0)
+
+
+def test_resampling_by_hash(spark):
+    rng = np.random.default_rng(3)
+    rows = [("up", float(i), i + float(rng.normal())) for i in range(25)] + [("noise", float(i), float(rng.normal())) for i in range(25)] + [("short", 1.0, 1.0), ("short", 2.0, 2.0)] + [("flat", float(i), 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    drawn = trends.replicates(df, "g", "t", 20).groupBy("g", "r").count().collect()
+    assert {(r.g, r["count"]) for r in drawn} == {("up", 25), ("noise", 25), ("flat", 5)}
+    mixed = trends.replicates(df, "g", "t", 5, shuffled=True).where("g = 'up'").groupBy("r").agg(F.sort_array(F.collect_list("y")).alias("y"), F.sort_array(F.collect_list("x")).alias("x")).collect()
+    assert all(r.y == sorted(y for g, _, y in rows if g == "up") and r.x == [float(i) for i in range(25)] for r in mixed)
+    ci = {r.g: (r.rho_ci_lo, r.rho_ci_hi) for r in trends.rho_interval(df, "g", 200).collect()}
+    assert 0.9 < ci["up"][0] <= ci["up"][1] <= 1
+    assert ci["noise"][0] < 0.3 and ci["noise"][1] > -0.3
+    tau = {r.g: (r.tau_ci_lo, r.tau_ci_hi) for r in trends.tau_interval(df, "g", 100).collect()}
+    assert tau["up"][0] > 0.7
+    p = {r.g: r.p_tau for r in trends.tau_permutation_p(df, "g", 200).collect()}
+    assert p["up"] == pytest.approx(1 / 201)
+    assert p["noise"] > 0.02
+    assert p["short"] is None and p["flat"] is None
+
+
 def test_trend_bundle(spark):
     x = np.arange(30.0)
     up, down = trends.trend(x, x * 2), trends.trend(x, -x)
@@ -137,7 +170,7 @@ def test_trend_bundle(spark):
     assert a["rho_ci_lo"] <= a["rho"] <= a["rho_ci_hi"]
     assert 1 / 401 <= a["p_tau"] <= 1
     df = spark.createDataFrame([("s", float(i), float(v)) for i, v in zip(x, y, strict=True)] + [("short", 1.0, 2.0), ("flat", 1.0, 1.0), ("flat", 2.0, 1.0), ("flat", 3.0, 1.0)], "g string, x double, y double")
-    got = {r.g: r for r in trends.trend_bundle(df, "g").collect()}
+    got = {r.g: r for r in trends.seeded_trends(df, "g").collect()}
     assert got["s"].rho == pytest.approx(a["rho"])
     assert got["short"].rho is None
     assert got["flat"].rho is None
@@ -168,7 +201,7 @@ def test_trim_and_otsu(spark):
 
 
 def test_quantiles(spark):
-    from inkwell.operators.quantiles import quantiles
+    from inkwell.operators.global_sort import quantiles
 
     rng = np.random.default_rng(5)
     rows = [(str(rng.integers(0, 3)), float(v)) for v in np.round(rng.normal(size=500), 1)] + [("one", 2.0), ("none", None), (None, 1.0), (None, 4.0)]

@@ -103,6 +103,47 @@ def test_stream_keeps_the_latest(spark, tmp_path):
     assert len(got) == 5
 
 
+def test_half_written_versions_are_not_read(spark, tmp_path):
+    src, state = str(tmp_path / "src"), str(tmp_path / "state")
+    run = lambda: decisions.keep_latest(decisions.decision_stream(spark, src, LOG), state, str(tmp_path / "ck"), ["user_id"], ["ts", "event_id"], buckets=3).awaitTermination()
+    for k in range(4):
+        spark.createDataFrame(log(40, 100 * k), LOG).coalesce(1).write.mode("append").parquet(src)
+        run()
+    want = sorted(map(tuple, decisions.latest_version(spark, state).collect()))
+    assert want == sorted(map(tuple, RS.latest(spark.read.parquet(src), ["user_id"], [F.col("ts"), F.col("event_id")]).collect()))
+    assert all(len(os.listdir(f"{state}/{b}")) <= 2 for b in os.listdir(state))
+    bucket = sorted(os.listdir(state))[0]
+    spark.createDataFrame(log(3, 10**6), LOG).write.parquet(f"{state}/{bucket}/v99")
+    os.remove(f"{state}/{bucket}/v99/_SUCCESS")
+    assert sorted(map(tuple, decisions.latest_version(spark, state).collect())) == want
+    with pytest.raises(ValueError, match="no complete version"):
+        decisions.latest_version(spark, str(tmp_path / "nothing"))
+    assert decisions.latest_version(spark, str(tmp_path / "nothing"), LOG).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from inkwell import runtime
+
+    class Nothing:
+        isDefined = staticmethod(lambda: False)
+
+    sc = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: Nothing)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, v=None: v)))
+    assert [runtime.is_local(m) for m in ("local", "local[4]", "local[*]", "local-cluster[2,1,512]", "yarn")] == [True, True, True, False, False]
+
+
+def test_periods():
+    from inkwell.functions.scalars import periods
+
+    assert periods("1127-1162，1162 - 1208,1208-1273, 1300-1300") == [("早期", 1127, 1162, False), ("中期", 1162, 1208, False), ("后期", 1208, 1273, False), ("P4", 1300, 1300, True)]
+    for bad in ("", "1127", "a-b", "1200-1100"):
+        with pytest.raises(ValueError):
+            periods(bad)
+
+
 def test_stream_windows_equal_the_batch(spark, tmp_path):
     src = str(tmp_path / "src")
     spark.createDataFrame(log(200), LOG).coalesce(1).write.parquet(src)
