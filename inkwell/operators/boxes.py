@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.paths import page_image_key
-from inkwell.runtime import checkpoint
+from inkwell.runtime import materialise
 
 #: Side of a grid cell for boxes of more than once and up to twice that size; others use cells doubled or halved as often as
 #: they need, so that a cell is never larger than the boxes in it.
@@ -72,17 +72,27 @@ def page_boxes(matched: DataFrame, id_col: str = "record_id") -> DataFrame:
 
 
 def linked_groups(links: DataFrame) -> DataFrame:
-    """(node, first): every node of a link with the smallest node it is linked to, by labels that travel along links and jump
-    over each other's labels; each round is written to the shared folder. Null ends are left out; no link gives no row."""
-    both = checkpoint(links.where("src is not null and dst is not null and src <> dst").select("src", "dst").unionAll(links.where("src <> dst").select("dst", "src")).distinct())
-    label = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("first"))
-    label = checkpoint(label)
+    """(node, first): every node of a link with the smallest node it is linked to, directly or indirectly. Null ends and loops are
+    left out; no link gives no row.
+
+    Each round every node goes over to the neighbour (or itself) that comes first by a hash of the round, links are named by where
+    their ends went, and those that became loops are gone: only what isn't put together yet goes on, a constant factor less
+    each time. Rounds are tables in the shared folder; the moves are joined back from the last one to the first."""
+    some = links.where("src is not null and dst is not null and src <> dst")
+    edges = materialise(some.select("src", "dst").unionAll(some.select("dst", "src")).distinct())
+    moves: list[DataFrame] = []
     while True:
-        near = both.join(label, both["dst"] == label["node"]).groupBy("src").agg(F.min("first").alias("seen"))
-        over = label.select(F.col("node").alias("at"), F.col("first").alias("jump"))
-        new = label.join(near, label["node"] == near["src"]).select("node", F.col("first").alias("old"), F.least("first", "seen").alias("low"))
-        new = new.join(over, new["low"] == over["at"], "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("first"), "old")
-        new = checkpoint(new)
-        if new.where("first <> old").isEmpty():
-            return new.select("node", "first")
-        label = new.select("node", "first")
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))), F.col(c))  # noqa: E731, B023
+        near = edges.groupBy("src").agg(F.min_by("dst", order("dst")).alias("dst"))
+        move = materialise(near.select(F.col("src").alias("node"), F.when(order("dst") < order("src"), F.col("dst")).otherwise(F.col("src")).alias("up")))
+        moves.append(move)
+        to = move.select(F.col("node").alias("dst"), F.col("up").alias("__to"))
+        left = edges.join(move.withColumnRenamed("node", "src"), "src").join(to, "dst").where(F.col("up") != F.col("__to"))
+        edges = materialise(left.select(F.col("up").alias("src"), F.col("__to").alias("dst")).distinct())
+        if edges.isEmpty():
+            break
+    found = moves[-1]
+    for below in reversed(moves[:-1]):
+        above = found.select(F.col("node").alias("up"), F.col("up").alias("__top"))
+        found = below.join(above, "up", "left").select("node", F.coalesce("__top", "up").alias("up"))
+    return found.join(found.groupBy("up").agg(F.min("node").alias("first")), "up").select("node", "first")

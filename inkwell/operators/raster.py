@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators.boxes import linked_groups
+from inkwell.operators.global_sort import quantiles
 from inkwell.runtime import checkpoint, materialise
 
 
@@ -223,21 +224,70 @@ def frame_pixels(pixels: DataFrame, dark: Column, width: int, height: int, lengt
     return frame.join(share.select("id"), "id", "left_semi")
 
 
-def noise_scores(pixels: DataFrame, width: int, dark: int, light: int, areas: tuple[int, int] = (2, 200_000), stroke: int = 6) -> DataFrame:
-    """(id, label, area, aspect, near, spread, score, noise) for the components of mid-gray pixels (above ``dark``, below
-    ``light``): the box's aspect, the mean distance of its pixels to the nearest dark stroke (largest coordinate difference) and
-    that distance's variation by its mean. Dark components of fewer than ``stroke`` pixels are no strokes. The score is 0.4 of
-    how compact it is (aspect from 5 down to 2) and 0.6 of how far and how unevenly it lies (1.5 to 2 pixels, variation 0.2 to
-    0.25, half each, all of it without any stroke); from 0.4 on it is noise. Components with an area outside ``areas`` are kept
-    whatever their score."""
+def stroke_distance(pixels: DataFrame, strokes: DataFrame) -> DataFrame:
+    """``pixels`` with ``d2``: the squared distance to the nearest of ``strokes`` (id, x, y) in the same raster, null without any. Within
+    columns the nearest stroke above and below comes from running maxima and minima; along a row each pixel then meets one
+    candidate per column, so that no raster is collected."""
+    cells = pixels.select("id", "x", "y").distinct().join(strokes.select("id", "x", "y").distinct().withColumn("__s", F.lit(True)), ["id", "x", "y"], "left")
+    col = Window.partitionBy("id", "x").orderBy("y")
+    at = F.when(F.col("__s"), F.col("y"))
+    above = F.max(at).over(col.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.min(at).over(col.rowsBetween(0, Window.unboundedFollowing))
+    near = F.least(F.col("y") - above, below - F.col("y"))  # least leaves nulls out
+    columns = cells.select("id", "y", F.col("x").alias("__x"), near.alias("__dy")).where("__dy is not null")
+    along = F.col("x") - F.col("__x")
+    best = pixels.select("id", "x", "y").distinct().join(columns, ["id", "y"]).groupBy("id", "x", "y").agg(F.min(along * along + F.col("__dy") * F.col("__dy")).alias("d2"))
+    return pixels.join(best, ["id", "x", "y"], "left")
+
+
+def noise_scores(pixels: DataFrame, width: int, dark: int, light: int, areas: tuple[int, int] = (2, 200_000), stroke: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Components of mid-gray pixels (above ``dark``, below ``light``) and what speaks for noise, and their pixels.
+
+    The first table has (id, label, area, aspect, near, spread, score, noise): the box's aspect, the mean distance of the pixels to
+    the nearest dark stroke and that distance's variation by its mean. Dark components of fewer than ``stroke`` pixels are no strokes.
+    The score is 0.4 of how compact it is (aspect from 5 down to 2) and 0.6 of how far and how unevenly it lies (1.5 to 2 pixels,
+    variation 0.2 to 0.25, half each, all of it without any stroke); from 0.4 on it is noise. Components with an area outside
+    ``areas`` are kept whatever their score. The second has (id, label, x, y, gray, d) of their pixels."""
     mid = (F.col("gray") > dark) & (F.col("gray") < light)
-    ink = labelled(pixels, F.col("gray") <= dark, width).groupBy("id", "label").agg(F.collect_list(F.struct("x", "y")).alias("p"))
-    strokes = ink.where(F.size("p") >= stroke).groupBy("id").agg(F.flatten(F.collect_list("p")).alias("s"))
-    away = F.array_min(F.transform("s", lambda p: F.greatest(F.abs(p["x"] - F.col("x")), F.abs(p["y"] - F.col("y")))))
-    named = labelled(pixels, mid, width).join(strokes, "id", "left").select("id", "label", "x", "y", away.alias("d"))
+    ink = labelled(pixels, F.col("gray") <= dark, width).select("id", "label", "x", "y")
+    strokes = ink.join(ink.groupBy("id", "label").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= stroke), ["id", "label"])
+    found = labelled(pixels, mid, width).select("id", "label", "x", "y")
+    far_ = stroke_distance(pixels, strokes).select("id", "x", "y", "gray", F.sqrt("d2").alias("d"))
+    named = materialise(found.join(far_, ["id", "x", "y"]).select("id", "label", "x", "y", "gray", "d"))
     w, h = F.max("x") - F.min("x") + 1, F.max("y") - F.min("y") + 1
     parts = named.groupBy("id", "label").agg(F.count(F.lit(1)).alias("area"), (F.greatest(w, h) / F.least(w, h)).alias("aspect"), F.avg("d").alias("near"), (F.stddev_pop("d") / (F.avg("d") + 1)).alias("spread"))
-    ramp = lambda v, lo, hi: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo)))
+    ramp = lambda v, lo, hi: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.round(v, 9) - lo) / (hi - lo)))
     far = F.when(F.col("near").isNull(), 1.0).otherwise(0.5 * ramp(F.col("near"), 1.5, 2.0) + 0.5 * ramp(F.col("spread"), 0.2, 0.25))
-    score = 0.4 * (1 - ramp(F.col("aspect"), 2.0, 5.0)) + 0.6 * far
-    return parts.withColumn("score", F.round(score, 9)).withColumn("noise", (F.col("score") >= 0.4) & F.col("area").between(*areas))
+    score = F.round(0.4 * (1 - ramp(F.col("aspect"), 2.0, 5.0)) + 0.6 * far, 6)
+    return parts.withColumn("score", score).withColumn("noise", (F.col("score") >= 0.4) & F.col("area").between(*areas)), named
+
+
+def background(pixels: DataFrame, parts: DataFrame, radius: int = 8, light: int = 150, default: int = 245) -> DataFrame:
+    """(id, label, background): the median gray, rounded down, of the light pixels within ``radius`` of a component (id, label, x, y) and
+    not of it; of all such pixels where none is light, and ``default`` where there are none."""
+    disc = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in disc])
+    own = parts.select("id", "label", "x", "y").distinct()
+    around = own.select("id", "label", (F.col("x")).alias("__x"), F.col("y").alias("__y"), F.explode(steps).alias("s")).select("id", "label", (F.col("__x") + F.col("s.dx")).alias("x"), (F.col("__y") + F.col("s.dy")).alias("y")).distinct()
+    ring = materialise(around.join(own, ["id", "label", "x", "y"], "left_anti").join(pixels.select("id", "x", "y", "gray"), ["id", "x", "y"]).select("id", "label", "gray"))
+    middle = lambda rows, out: quantiles(rows, ["id", "label"], "gray", (0.5,)).select("id", "label", F.floor(F.col("q")[0]).cast("int").alias(out))
+    all_ = own.select("id", "label").distinct().join(middle(ring.where(F.col("gray") >= light), "__light"), ["id", "label"], "left").join(middle(ring, "__any"), ["id", "label"], "left")
+    return all_.select("id", "label", F.coalesce("__light", "__any", F.lit(default)).alias("background"))
+
+
+def without_noise(pixels: DataFrame, width: int, dark: int, light: int, keep: float = 3.0, radius: int = 8, bright: int = 150, areas: tuple[int, int] = (2, 200_000), stroke: int = 6) -> DataFrame:
+    """(id, x, y, gray, new): the pixels of noise that are ``keep`` or farther from the nearest stroke (all of them without one), and the
+    background that takes their place."""
+    scores, named = noise_scores(pixels, width, dark, light, areas, stroke)
+    noise = materialise(named.join(scores.where("noise").select("id", "label"), ["id", "label"], "left_semi"))
+    gone = noise.where(F.col("d").isNull() | (F.col("d") >= keep))
+    return gone.join(background(pixels, noise, radius, bright), ["id", "label"]).select("id", "x", "y", "gray", F.col("background").alias("new"))
+
+
+def local_ink(pixels: DataFrame, radius: int = 1, less: int = 2) -> DataFrame:
+    """(id, x, y, ink): is a pixel darker than the mean of the pixels within ``radius`` of it, itself included, by more than ``less``? Beyond
+    the raster there is nothing. Each pixel hands its gray to its neighbours, so that sums are aggregates."""
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)])
+    given = pixels.select("id", F.col("x").alias("__x"), F.col("y").alias("__y"), "gray", F.explode(steps).alias("s")).select("id", (F.col("__x") + F.col("s.dx")).alias("x"), (F.col("__y") + F.col("s.dy")).alias("y"), F.col("gray").alias("__g"))
+    mean = given.groupBy("id", "x", "y").agg(F.sum("__g").alias("__s"), F.count(F.lit(1)).alias("__n"))
+    return pixels.join(mean, ["id", "x", "y"]).select("id", "x", "y", ((F.col("gray") + less) * F.col("__n") < F.col("__s")).alias("ink"))

@@ -119,9 +119,45 @@ def frame_removal(spark, d):
     return K.frame_pixels(V.pixels(spark, d), F.col("gray") < 150, 8, 8, 0.5)
 
 
-@query()
+def _components_sql(name: str, where: str) -> str:
+    """CTEs of the 8-connected components of pixels: <name> (id, x, y, gray, label)."""
+    return f"""{name}_ink as (select id, x, y, gray, id * 64 + y * 8 + x as n from pixels where {where}), {name}_link as (select a.n as a, b.n as b from {name}_ink a join {name}_ink b on a.id = b.id and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1),
+  {name}_reach as (select a as node, b as seen from {name}_link union select r.node, l.b from {name}_reach r join {name}_link l on r.seen = l.a), {name}_part as (select node, min(seen) as label from {name}_reach group by node),
+  {name} as (select id, x, y, gray, label from {name}_ink join {name}_part on n = node)"""
+
+
+#: Gray levels and the least stroke of the noise queries.
+STROKE, MID, LEAST = 110, 125, 6
+
+_ramp = lambda v, lo, hi: f"greatest(0.0, least(1.0, (round({v}, 9) - {lo}) / ({hi} - {lo})))"
+_NOISE = f"""{_components_sql('dark', f'gray <= {STROKE}')}, {_components_sql('mid', f'gray > {STROKE} and gray < {MID}')}, stroke as (select d.id, d.x, d.y from dark d join (select id, label from dark group by all having count(*) >= {LEAST}) using (id, label)),
+  away as (select m.id, m.label, m.x, m.y, m.gray, sqrt(min((m.x - s.x) * (m.x - s.x) + (m.y - s.y) * (m.y - s.y))) as d from mid m left join stroke s on m.id = s.id group by all),
+  part as (select id, label, count(*) as area, greatest(max(x) - min(x) + 1, max(y) - min(y) + 1) / least(max(x) - min(x) + 1, max(y) - min(y) + 1) as aspect, avg(d) as near, stddev_pop(d) / (avg(d) + 1) as spread from away group by id, label),
+  scored as (select *, round(0.4 * (1 - {_ramp('aspect', 2.0, 5.0)}) + 0.6 * case when near is null then 1.0 else 0.5 * {_ramp('near', 1.5, 2.0)} + 0.5 * {_ramp('spread', 0.2, 0.25)} end, 6) as score from part), named as (select *, score >= 0.4 and area between 2 and 200000 as noise from scored)"""
+
+
+@query(with_views(V.PIXELS, _NOISE) + " select id, label, area, round(aspect, 9) as aspect, score, noise from named")
 def noise_removal(spark, d):
-    return K.noise_scores(V.pixels(spark, d), 8, 110, 125).select("id", "label", "area", "aspect", "score", "noise")
+    """Components of mid-gray pixels with their scores."""
+    scores, _ = K.noise_scores(V.pixels(spark, d), 8, STROKE, MID, stroke=LEAST)
+    return scores.select("id", "label", "area", F.round("aspect", 9).alias("aspect"), "score", "noise")
+
+
+_RING = """noise as (select a.* from away a join named n on a.id = n.id and a.label = n.label where n.noise), around as (select distinct n.id, n.label, p.x, p.y, p.gray from noise n join pixels p on p.id = n.id and (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) <= 4
+    where not exists (select 1 from noise o where o.id = n.id and o.label = n.label and o.x = p.x and o.y = p.y)),
+  ground as (select n.id, n.label, cast(floor(coalesce(quantile_cont(gray, 0.5) filter (gray >= 130), quantile_cont(gray, 0.5), 245)) as int) as g from (select distinct id, label from noise) n left join around a on a.id = n.id and a.label = n.label group by n.id, n.label)"""
+
+
+@query(with_views(V.PIXELS, _NOISE, _RING) + " select n.id, x, y, gray, g as new from noise n join ground on n.id = ground.id and n.label = ground.label where d is null or d >= 1.5")
+def selective_removal(spark, d):
+    """Pixels of noise away from strokes, with the background that replaces them (radius 2, light from 130 on)."""
+    return K.without_noise(V.pixels(spark, d), 8, STROKE, MID, 1.5, 2, 130, stroke=LEAST)
+
+
+@query(with_views(V.PIXELS) + " select a.id, a.x, a.y, (any_value(a.gray) + 2) * count(*) < sum(b.gray) as ink from pixels a join pixels b on a.id = b.id and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1 group by a.id, a.x, a.y")
+def adaptive_threshold(spark, d):
+    """Ink by the mean of the neighbourhood."""
+    return K.local_ink(V.pixels(spark, d))
 
 
 @query()

@@ -4,12 +4,12 @@ import os
 
 import pytest
 
-from inkwell.plans import compaction, matched, ranking, raster, relational, reports, scalars, state, stores, trends
+from inkwell.plans import compaction, matched, ranking, raster, records, relational, reports, scalars, state, stores, trends
 
 from .oracle import SF, connect, same
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-QUERIES = {n: (f, m.ORACLE.get(n)) for m in (compaction, scalars, relational, ranking, matched, reports, state, stores, trends, raster) for n, f in m.QUERIES.items()}
+QUERIES = {n: (f, m.ORACLE.get(n)) for m in (compaction, scalars, relational, ranking, matched, records, reports, state, stores, trends, raster) for n, f in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")

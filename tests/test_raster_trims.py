@@ -147,7 +147,7 @@ def test_noise_areas(spark, areas, noise):
     g = np.full((12, 12), 9)
     g[0, 0] = 5
     g[9:11, 9:11] = 5
-    got = raster.noise_scores(rows_of(spark, [g]), 12, 2, 8, areas).orderBy("area").collect()
+    got = raster.noise_scores(rows_of(spark, [g]), 12, 2, 8, areas)[0].orderBy("area").collect()
     assert [(r.area, r.score) for r in got] == [(1, 1.0), (4, 1.0)]  # without strokes the distance counts in full
     assert [r.noise for r in got] == noise
 
@@ -157,5 +157,28 @@ def test_specks_are_no_strokes(spark):
     g[0, 0:6] = 0
     g[8, 8] = 0  # a speck beside the patch
     g[9:11, 9:11] = 5
-    assert raster.noise_scores(rows_of(spark, [g]), 12, 2, 8).head().near > 8
-    assert raster.noise_scores(rows_of(spark, [g]), 12, 2, 8, stroke=0).head().near == 1.75
+    assert raster.noise_scores(rows_of(spark, [g]), 12, 2, 8)[0].head().near > 8
+    assert raster.noise_scores(rows_of(spark, [g]), 12, 2, 8, stroke=0)[0].head().near == pytest.approx((2**0.5 + 2 * 5**0.5 + 8**0.5) / 4)
+
+
+def test_distance_and_background_against_loops(spark):
+    rng = np.random.default_rng(11)
+    grids = [rng.integers(0, 256, (14, 17)) for _ in range(5)] + [np.full((14, 17), 200)]
+    px = rows_of(spark, grids)
+    strokes = px.where("gray < 20").select("id", "x", "y")
+    got = {(r.id, r.x, r.y): r.d2 for r in raster.stroke_distance(px, strokes).collect()}
+    for i, g in enumerate(grids):
+        ink = np.argwhere(g < 20)
+        for y in range(14):
+            for x in range(17):
+                want = min(((ink - (y, x)) ** 2).sum(1)) if len(ink) else None
+                assert got[i, x, y] == want
+    parts = px.where("gray between 60 and 90").selectExpr("id", "x div 6 as label", "x", "y")
+    ground = {(r.id, r.label): r.background for r in raster.background(px, parts, 2, 150).collect()}
+    assert set(ground) == {(i, x // 6) for i, g in enumerate(grids) for y, x in np.argwhere((g >= 60) & (g <= 90))}
+    for (i, label), level in ground.items():
+        g = grids[i]
+        own = {(y, x) for y, x in np.argwhere((g >= 60) & (g <= 90)) if x // 6 == label}
+        ring = [int(g[y, x]) for y in range(14) for x in range(17) if (y, x) not in own and any((y - a) ** 2 + (x - b) ** 2 <= 4 for a, b in own)]
+        light = [v for v in ring if v >= 150]
+        assert level == int(np.median(light or ring or [245]))
