@@ -421,10 +421,10 @@ def audit_rules(spark, d):
     return n.select(F.explode(F.array_compact(F.array(*[F.when(F.expr(c), k) for k, c in _RULES.items()]))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_views(V.INSTANCES) + "select book, volume, page, array_to_string(list(ch order by y, x, record_id), '') as text, max(conf) as conf from instances where y is not null group by all")
+@query(with_views(V.INSTANCES) + "select book, volume, page, array_to_string(list(ch order by y, x, record_id), '') as text, max(conf) as conf from instances where y is not null and page is not null group by all")
 def page_full_text(spark, d):
-    """Characters of a page in reading order, and the best confidence."""
-    i = V.instances(spark, d).where("y is not null").groupBy("book", "volume", "page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "record_id", "ch"))).alias("l"), F.max("conf").alias("conf"))
+    """Characters of a page in reading order, and the best confidence; what lies on no known page has no order."""
+    i = V.instances(spark, d).where("y is not null and page is not null").groupBy("book", "volume", "page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "record_id", "ch"))).alias("l"), F.max("conf").alias("conf"))
     return i.select("book", "volume", "page", F.array_join(F.transform("l", lambda x: x["ch"]), "").alias("text"), "conf")
 
 
