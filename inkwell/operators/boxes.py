@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from inkwell.functions.paths import page_image_key
 from inkwell.runtime import materialise
 
-#: Side of a grid cell for boxes of more than once and up to twice that size; others use cells doubled or halved as often as
-#: they need, so that a cell is never larger than the boxes in it.
+#: Side of a grid cell for boxes of more than an eighth and up to a quarter of it; others use cells doubled or halved as often as
+#: they need, so that a cell is four to eight times as large as the boxes in it.
 CELL = 256
 #: The limits of a near overlap: share of the smaller side on each axis, and how often the smaller side goes into the larger.
 OVERLAP, RATIO = 0.8, 1.6
@@ -32,7 +32,7 @@ def near_overlap(a: str, b: str, overlap: float = OVERLAP, ratio: float = RATIO)
 
 
 def _size_class(side: Column) -> Column:
-    return F.ceil(F.log2(side / F.lit(2.0 * CELL))).cast("int")
+    return F.ceil(F.log2(side / F.lit(CELL / 4))).cast("int")
 
 
 def overlap_pairs(boxes: DataFrame, overlap: float = OVERLAP, ratio: float = RATIO) -> DataFrame:

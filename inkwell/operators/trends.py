@@ -16,15 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.operators.global_sort import numbered, quantiles
+from inkwell.operators.global_sort import numbered, partitions, quantiles
+from inkwell.runtime import small
 
 RESAMPLES = 400
 
 
 def with_rank(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
     """The mean rank of ``value`` in its group as ``out``; ties share their mean."""
-    w = Window.partitionBy(*group)
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2.0)
+    w = Window.partitionBy(*group).orderBy(value)  # the same sort for both
+    return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2.0)
 
 
 def with_sorted_rank(df: DataFrame, group: list[str], value: str, unique: list[str], out: str) -> DataFrame:
@@ -174,13 +175,14 @@ def replicates(df: DataFrame, group: str, tag: str, times: int = RESAMPLES, shuf
     ``drawn(tag, group, r, number)``."""
     w = Window.partitionBy(group)
     p = df.select(F.col(group), F.col(x).alias("x"), F.col(y).alias("y"), (F.row_number().over(w.orderBy(x, y)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n")).where("n >= 3")
-    each = p.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    # the points are few and lie in a task per series: they are spread before they become many
+    each = p.repartition(partitions(df), "i").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(times))))
     if shuffled:
         order = Window.partitionBy(group, "r").orderBy(drawn(tag, F.col(group), F.col("r"), F.col("i")), "i")
         to = each.select(group, "r", "y", (F.row_number().over(order) - 1).alias("i"))
-        return to.join(p.select(group, "i", "x"), [group, "i"]).select(group, "r", "x", "y")
+        return to.join(small(p.select(group, "i", "x")), [group, "i"]).select(group, "r", "x", "y")
     draws = each.select(group, "r", (drawn(tag, F.col(group), F.col("r"), F.col("i")) % F.col("n")).alias("i"))
-    return draws.join(p.select(group, "i", "x", "y"), [group, "i"]).select(group, "r", "x", "y")
+    return draws.join(small(p.select(group, "i", "x", "y")), [group, "i"]).select(group, "r", "x", "y")
 
 
 def interval(stats: DataFrame, group: str, value: str, low: str, high: str) -> DataFrame:
