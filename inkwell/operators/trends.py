@@ -3,8 +3,8 @@
 A series is one row per point (group, x, y), one point per book or other entity, never one per raw row: callers aggregate first.
 Pairs of points are counted, not built: how many points lie above and to the right of each follows from running counts, one
 window per bit of the rank, so that a series costs n log n rows. Leave-one-out correlations follow from those counts and rank
-sums. Resamples are rows of their own (series, replicate) drawn by a hash, so that they spread over tasks and any engine can draw
-the same. The draws of a seeded generator, one series per task, are there too (``seeded_trends``)."""
+sums. Resamples are drawn by a hash, so that any engine can draw the same; as rows of their own they are ``replicates``, their
+statistics come from ``resampling``, where they are counted and never become rows. The draws of a seeded generator, one series per task, are there too (``seeded_trends``)."""
 
 from __future__ import annotations
 
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators.global_sort import numbered, partitions, quantiles
-from inkwell.runtime import small
+from inkwell.operators.resampling import resampled
+from inkwell.runtime import materialise, small
 
 RESAMPLES = 400
 
@@ -192,9 +193,16 @@ def interval(stats: DataFrame, group: str, value: str, low: str, high: str) -> D
     return q.select(group, enough(0).alias(low), enough(1).alias(high))
 
 
+def rho_trends(df: DataFrame, group: str, tag: str = "rho", times: int = RESAMPLES) -> DataFrame:
+    """group, n, rho, tau, rho_ci_lo, rho_ci_hi: both correlations of each series, and the interval of rho by ``times`` resamples."""
+    stats = materialise(resampled(df, group, tag, times, rho=True))
+    own = stats.where("r = 0").select(group, "n", "rho", tau_of_counts(True).alias("tau"))
+    return own.join(interval(stats.where("r > 0"), group, "rho", "rho_ci_lo", "rho_ci_hi"), group, "left")
+
+
 def rho_interval(df: DataFrame, group: str, times: int = RESAMPLES) -> DataFrame:
     """group, rho_ci_lo, rho_ci_hi by ``times`` resamples of the series."""
-    return interval(spearman(replicates(df, group, "rho", times), [group, "r"]), group, "rho", "rho_ci_lo", "rho_ci_hi")
+    return interval(resampled(df, group, "rho", times, rho=True).where("r > 0"), group, "rho", "rho_ci_lo", "rho_ci_hi")
 
 
 def tau_interval(df: DataFrame, group: str, times: int = RESAMPLES) -> DataFrame:

@@ -137,12 +137,8 @@ _WITH_Z = "withz as (select *, abs(rho) * sqrt((n - 2) / greatest(1e-12, 1 - rho
 @query(with_views(*_TRENDS, _OWN, _WITH_Z, _TAU_OWN, _resampled("rho"), _SAMPLE_RANKS, f"ci as ({_CI.format(t='srho')})") + f"select metric, w.n, round(rho, 6) as rho, round({_P.replace('n >= 3', 'w.n >= 3')}, 6) as p_rho, round(tau, 6) as tau, round(lo, 6) as rho_ci_lo, round(hi, 6) as rho_ci_hi from withz w join trend_of_tau t using (metric) left join ci using (metric)")
 def trend_bundle(spark, d):
     """Per metric over the books' years: rho with its p and interval, and tau."""
-    s = materialise(_metric_trends(spark, d))
-    rho = T.spearman(s, ["metric"]).withColumn("p", T.rho_p(F.col("rho"), F.col("n")))
-    tau = T.pair_counts(s, ["metric"]).select("metric", F.round(T.tau_of_counts(True), 6).alias("tau"))
-    ci = T.rho_interval(s, "metric")
-    r = lambda c, a: F.round(c, 6).alias(a)
-    return rho.join(tau, "metric").join(ci, "metric", "left").select("metric", "n", r("rho", "rho"), r("p", "p_rho"), "tau", r("rho_ci_lo", "rho_ci_lo"), r("rho_ci_hi", "rho_ci_hi"))
+    s = T.rho_trends(_metric_trends(spark, d), "metric").withColumn("p_rho", T.rho_p(F.col("rho"), F.col("n")))
+    return s.select("metric", "n", *[F.round(c, 6).alias(c) for c in ("rho", "p_rho", "tau", "rho_ci_lo", "rho_ci_hi")])
 
 
 @query(with_views(*_TRENDS, _resampled("tau_ci"), _TAU_SAMPLE, "taus as (select metric, tau as v from sample_tau)", f"ci as ({_CI.format(t='taus')})") + "select metric, round(lo, 6) as tau_ci_lo, round(hi, 6) as tau_ci_hi from ci")

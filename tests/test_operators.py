@@ -1,5 +1,6 @@
 """Core operators on small cases worked by hand or by brute force."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import scalars as S
-from inkwell.operators import boxes, raster, trends
+from inkwell.operators import boxes, raster, resampling, trends
 from inkwell.operators import review_state as RS
 from inkwell.plans.relational import common, trimmed
 
@@ -215,3 +216,36 @@ def test_quantiles(spark):
         assert r.n == len(v)
         assert np.allclose(r.q, np.quantile(v, at))
         assert nearest[g].q == [v[max(0, int(np.ceil(p * len(v) - 1e-12)) - 1)] for p in at]
+
+
+def test_resampled_statistics_are_those_of_the_resamples(spark, monkeypatch):
+    """Counted, not built: the rows of ``replicates`` must give the same statistics, whatever the blocks; a key of two blocks of MD5."""
+    monkeypatch.setattr(resampling, "BLOCK_DRAWS", 100)
+    rng = np.random.default_rng(5)
+    long = "长" * 40
+    rows = [(g, float(rng.integers(0, kx)), float(rng.integers(0, ky))) for g, n, kx, ky in (("a", 120, 40, 50), (long, 13, 3, 200), ("b", 11, 200, 2), ("flat", 4, 1, 9)) for _ in range(n)] + [("two", 1.0, 1.0), ("two", 2.0, 3.0), (None, 1.0, 2.0), (None, 2.0, 1.0), (None, 3.0, 5.0), (None, 4.0, 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    for shuffled in (False, True):
+        got = {(r.g, r.r): r for r in resampling.resampled(df, "g", "t", 12, rho=not shuffled, pairs=True, shuffled=shuffled).collect()}
+        assert len(got) == 6 + 4 * 12 + 12
+        made = trends.replicates(df.where("g is not null"), "g", "t", 12, shuffled=shuffled)
+        want = trends.pair_counts(made, ["g", "r"]).join(trends.spearman(made, ["g", "r"]).drop("n"), ["g", "r"]).collect()
+        own = trends.pair_counts(df.where("g is not null"), ["g"]).join(trends.spearman(df, ["g"]).drop("n"), ["g"]).withColumn("r", F.lit(0)).collect()
+        assert len(want) == 48
+        for r in want + own:
+            s = got[r.g, r.r]
+            assert [s[c] for c in ("n", *resampling.PAIRS)] == [r[c] for c in ("n", *resampling.PAIRS)]
+            if not shuffled or r.r == 0:
+                assert s.rho == (None if r.rho is None else pytest.approx(r.rho))
+    assert resampling.draws("t|" + long, (1, 2), 3)[0, 2] == int(hashlib.md5(f"t|{long}|1|2".encode()).hexdigest()[:12], 16)
+
+
+def test_intervals_make_no_rows_of_resamples(spark, monkeypatch):
+    def never(*a, **k):
+        raise AssertionError("resamples as rows")
+
+    monkeypatch.setattr(trends, "replicates", never)
+    df = spark.createDataFrame([("a", float(i), float(i * i % 7)) for i in range(20)], "g string, x double, y double")
+    r = trends.rho_trends(df, "g", times=30).head()
+    assert r.n == 20
+    assert r.rho_ci_lo <= r.rho <= r.rho_ci_hi
