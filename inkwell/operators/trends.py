@@ -207,7 +207,7 @@ def rho_interval(df: DataFrame, group: str, times: int = RESAMPLES) -> DataFrame
 
 def tau_interval(df: DataFrame, group: str, times: int = RESAMPLES) -> DataFrame:
     """group, tau_ci_lo, tau_ci_hi by ``times`` resamples of the series."""
-    taus = pair_counts(replicates(df, group, "tau_ci", times), [group, "r"]).withColumn("tau", tau_of_counts(True))
+    taus = resampled(df, group, "tau_ci", times, pairs=True).where("r > 0").withColumn("tau", tau_of_counts(True))
     return interval(taus, group, "tau", "tau_ci_lo", "tau_ci_hi")
 
 

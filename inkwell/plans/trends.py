@@ -144,7 +144,7 @@ def trend_bundle(spark, d):
 @query(with_views(*_TRENDS, _resampled("tau_ci"), _TAU_SAMPLE, "taus as (select metric, tau as v from sample_tau)", f"ci as ({_CI.format(t='taus')})") + "select metric, round(lo, 6) as tau_ci_lo, round(hi, 6) as tau_ci_hi from ci")
 def bootstrap_ci(spark, d):
     """The interval of tau by resampling; that of rho is in the bundle."""
-    return T.tau_interval(materialise(_metric_trends(spark, d)), "metric").select("metric", F.round("tau_ci_lo", 6).alias("tau_ci_lo"), F.round("tau_ci_hi", 6).alias("tau_ci_hi"))
+    return T.tau_interval(_metric_trends(spark, d), "metric").select("metric", F.round("tau_ci_lo", 6).alias("tau_ci_lo"), F.round("tau_ci_hi", 6).alias("tau_ci_hi"))
 
 
 _SHUFFLED = f"""moved as (select p.metric, r, p.y, row_number() over (partition by p.metric, r order by cast(('0x' || substr(md5('tau_p|' || p.metric || '|' || r || '|' || p.i), 1, 12)) as bigint), p.i) - 1 as i from numbered p cross join range(1, {T.RESAMPLES + 1}) t(r) where p.n >= 3), sample as (select m.metric, m.r, q.x, m.y from moved m join numbered q using (metric, i))"""

@@ -249,3 +249,5 @@ def test_intervals_make_no_rows_of_resamples(spark, monkeypatch):
     r = trends.rho_trends(df, "g", times=30).head()
     assert r.n == 20
     assert r.rho_ci_lo <= r.rho <= r.rho_ci_hi
+    tau = trends.tau_interval(df, "g", 30).head()
+    assert -1 <= tau.tau_ci_lo <= tau.tau_ci_hi <= 1
