@@ -214,8 +214,9 @@ def tau_interval(df: DataFrame, group: str, times: int = RESAMPLES) -> DataFrame
 def tau_permutation_p(df: DataFrame, group: str, times: int = RESAMPLES) -> DataFrame:
     """group, p_tau: the share of ``times`` shuffled series, and the series itself, whose tau is at least as far from 0; null where tau
     is undefined or for fewer than three points."""
-    own = pair_counts(df, [group]).select(group, "n", F.round(F.abs(tau_of_counts(True)), 12).alias("__own"))
-    taus = pair_counts(replicates(df, group, "tau_p", times, shuffled=True), [group, "r"]).select(group, F.round(F.abs(tau_of_counts(True)), 12).alias("__tau"))
+    stats = materialise(resampled(df, group, "tau_p", times, shuffled=True)).withColumn("__tau", F.round(F.abs(tau_of_counts(True)), 12))
+    own = stats.where("r = 0").select(group, "n", F.col("__tau").alias("__own"))
+    taus = stats.where("r > 0").select(group, "__tau")
     hits = taus.join(own, group).groupBy(group).agg(F.count_if(F.col("__tau") >= F.col("__own")).alias("__hits"))
     defined = (F.col("n") >= 3) & F.col("__own").isNotNull()
     return own.join(hits, group, "left").select(group, F.when(defined, (1 + F.coalesce("__hits", F.lit(0))) / F.lit(float(times + 1))).alias("p_tau"))

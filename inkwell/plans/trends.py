@@ -153,7 +153,7 @@ _SHUFFLED = f"""moved as (select p.metric, r, p.y, row_number() over (partition
 @query(with_views(*_TRENDS, _SHUFFLED, _TAU_SAMPLE, _TAU_OWN) + f"select o.metric, case when o.n >= 3 and o.tau is not null then (1 + count(*) filter (round(abs(s.tau), 12) >= round(abs(o.tau), 12))) / {T.RESAMPLES + 1}.0 end as p_tau from trend_of_tau o left join sample_tau s using (metric) group by o.metric, o.n, o.tau")
 def perm_p(spark, d):
     """The p of tau by shuffling."""
-    return T.tau_permutation_p(materialise(_metric_trends(spark, d)), "metric")
+    return T.tau_permutation_p(_metric_trends(spark, d), "metric")
 
 
 def _irls_sql(method: str, rounds: int = 20) -> str:

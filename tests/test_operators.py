@@ -251,3 +251,4 @@ def test_intervals_make_no_rows_of_resamples(spark, monkeypatch):
     assert r.rho_ci_lo <= r.rho <= r.rho_ci_hi
     tau = trends.tau_interval(df, "g", 30).head()
     assert -1 <= tau.tau_ci_lo <= tau.tau_ci_hi <= 1
+    assert 1 / 31 <= trends.tau_permutation_p(df, "g", 30).head().p_tau <= 1
