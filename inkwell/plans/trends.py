@@ -215,6 +215,5 @@ def group_index_trend(spark, d):
     means = _char_means(spark, d).groupBy("book").agg(F.round(F.avg("aspect_ratio") + 1e-12, 6).alias("y"))
     own = means.join(V.books(spark, d).select("book", "region", "year"), "book")
     placed = numbered(own, ["region"], [F.col("year").asc_nulls_last(), F.col("book").asc()], "x").select("region", "x", "y")
-    s = materialise(placed)
-    ci = T.interval(T.spearman(T.replicates(s, "region", "group", GROUP_RESAMPLES), ["region", "r"]), "region", "rho", "lo", "hi")
-    return T.spearman(s, ["region"]).join(ci, "region", "left").select("region", "n", F.round("rho", 6).alias("rho"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    s = T.rho_trends(placed, "region", "group", GROUP_RESAMPLES)
+    return s.select("region", "n", F.round("rho", 6).alias("rho"), F.round("rho_ci_lo", 6).alias("lo"), F.round("rho_ci_hi", 6).alias("hi"))

@@ -1,6 +1,7 @@
 """Core operators on small cases worked by hand or by brute force."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from inkwell.functions import scalars as S
 from inkwell.operators import boxes, raster, resampling, trends
 from inkwell.operators import review_state as RS
+from inkwell.plans import trends as plans
 from inkwell.plans.relational import common, trimmed
 
+from .oracle import SF
+
 
 def one(spark, expr, **values):
     names = list(values)
@@ -252,3 +256,5 @@ def test_intervals_make_no_rows_of_resamples(spark, monkeypatch):
     tau = trends.tau_interval(df, "g", 30).head()
     assert -1 <= tau.tau_ci_lo <= tau.tau_ci_hi <= 1
     assert 1 / 31 <= trends.tau_permutation_p(df, "g", 30).head().p_tau <= 1
+    if os.path.isdir(SF):
+        assert plans.group_index_trend(spark, SF).count() > 0
