@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators.global_sort import numbered, partitions, quantiles
 from inkwell.operators.resampling import resampled
+from inkwell.operators.slopes import median_slopes
 from inkwell.runtime import materialise, small
 
 RESAMPLES = 400
@@ -94,8 +95,8 @@ BLOCK = 256
 
 
 def slopes(df: DataFrame, group: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """group, slope: of every pair of points with different x. All pairs are what Theil and Sen's slope is the median of; they are
-    made block by block, so that no task has a whole series, and are never kept together."""
+    """group, slope: of every pair of points with different x, made block by block, so that no task has a whole series, and never kept
+    together. There are n squared: their median is ``theil_sen``, which doesn't make them."""
     w = Window.partitionBy(*group)
     p = df.select(*group, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.row_number().over(w.orderBy(x, y)).alias("__i"), F.count(F.lit(1)).over(w).alias("__n"))
     block, last = F.floor((F.col("__i") - 1) / BLOCK), F.floor((F.col("__n") - 1) / BLOCK)
@@ -107,8 +108,8 @@ def slopes(df: DataFrame, group: list[str], x: str = "x", y: str = "y") -> DataF
 
 
 def theil_sen(df: DataFrame, group: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """group, slope: the median of the slopes of all pairs; series without two different x give no row."""
-    return quantiles(slopes(df, group, x, y), group, "slope", (0.5,)).select(*group, F.col("q")[0].alias("slope"))
+    """group, slope: the median of the slopes of all pairs, which are counted and not made; series without two different x give no row."""
+    return median_slopes(df, group, x, y)
 
 
 def leave_one_out(df: DataFrame, group: list[str], point: str, x: str = "x", y: str = "y") -> DataFrame:

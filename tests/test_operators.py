@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import scalars as S
 from inkwell.operators import boxes, raster, resampling, trends
+from inkwell.operators import slopes as S_
 from inkwell.operators import review_state as RS
 from inkwell.plans import trends as plans
 from inkwell.plans.relational import common, trimmed
@@ -258,3 +259,26 @@ def test_intervals_make_no_rows_of_resamples(spark, monkeypatch):
     assert 1 / 31 <= trends.tau_permutation_p(df, "g", 30).head().p_tau <= 1
     if os.path.isdir(SF):
         assert plans.group_index_trend(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("made", [1 << 21, 50, 3])
+def test_median_slope_is_that_of_all_pairs(monkeypatch, made):
+    monkeypatch.setattr(S_, "MADE", made)
+    monkeypatch.setattr(S_, "DRAWN", 64)
+    rng = np.random.default_rng(1)
+    for k in range(150):
+        n = int(rng.integers(1, 80))
+        x = rng.normal(size=n) if k % 5 == 0 else rng.integers(0, (2, 10, 300)[k % 3], n).astype(float)
+        y = 2 * x if k % 7 == 0 else np.round(rng.normal(0, (1, 0.001, 0)[k // 3 % 3], n), (6, 1)[k % 2])
+        order = np.lexsort((y, x))
+        i, j = np.triu_indices(n, 1)
+        dx, dy = (v[order][j] - v[order][i] for v in (x, y))
+        want = float(np.quantile(dy[dx != 0] / dx[dx != 0], 0.5)) if (dx != 0).any() else None
+        assert S_.median_slope(x, y) == (want if want is None else pytest.approx(want, rel=1e-15, abs=1e-15))
+
+
+def test_theil_sen_of_a_long_series(spark):
+    """Half a billion pairs: not to be made."""
+    n = 32_000
+    df = spark.range(n).selectExpr("1 as g", "cast(id % 320 as double) as x", "id % 320 * 0.25 + pmod(hash(id), 1000) / 1000 as y")
+    assert trends.theil_sen(df, ["g"]).head().slope == pytest.approx(0.25, abs=1e-4)
