@@ -115,8 +115,8 @@ def crop_partitions(spark, d):
     i = V.instances(spark, d).where("book is not null and ch is not null and source_image is not null and w > 0 and h > 0 and x is not null and y is not null")
     crops = i.select("book", "ch", "record_id", F.greatest(F.lit(0), F.col("x") - 5).alias("x0"), F.greatest(F.lit(0), F.col("y") - 5).alias("y0"), F.least(F.lit(1600), F.col("x") + F.col("w") + 5).alias("x1"), F.least(F.lit(2400), F.col("y") + F.col("h") + 5).alias("y1"))
     path = scratch_path(spark, "crops")
-    shards.write_by_book(crops, path, per_book=4)
-    return spark.read.schema("ch string, record_id bigint, x0 int, y0 int, x1 int, y1 int, book string").parquet(path).select("book", "ch", "record_id", "x0", "y0", "x1", "y1")
+    index = shards.write_book_files(crops, path, ["record_id"])
+    return shards.read_book_files(index, path, "ch string, record_id bigint, x0 int, y0 int, x1 int, y1 int")
 
 
 #: Fields of the legacy report, in their order.

@@ -5,14 +5,18 @@ partitioned by book, and a partition overwrite replaces only the books it holds.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.scalars import lenient_int, safe_name
+from inkwell.operators.global_sort import partitions, runs, sorted_ranges
 from inkwell.operators.review_state import latest
 from inkwell.runtime import materialise
 
@@ -130,6 +134,98 @@ def write_by_book(df: DataFrame, path: str, keys: tuple[str, ...] = ("book",), p
     shuffled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+#: Rows of a file of a book at most; rows that are read back as one batch at least.
+FILE_ROWS, READ_ROWS = 100_000, 10_000
+_NO_BOOK = "__HIVE_DEFAULT_PARTITION__"
+
+
+def book_folder(book: str | None) -> str:
+    """The name of a book's folder, as Spark names partitions; that of an empty name, for which Spark has none, is a lone %."""
+    if book is None:
+        return f"book={_NO_BOOK}"
+    return "book=" + (re.sub(r"""["#%'*/:=?\\{\[\]^\x00-\x1f\x7f]""", lambda m: f"%{ord(m[0]):02X}", book) or "%")
+
+
+def folder_book(folder: str) -> str | None:
+    name = folder.removeprefix("book=")
+    return None if name == _NO_BOOK else "" if name == "%" else unquote(name)
+
+
+def _system(path: str):
+    from pyarrow import fs
+
+    local = "://" not in path or path.startswith("file:")
+    return (fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")) if local else fs.FileSystem.from_uri(path)
+
+
+def write_book_files(df: DataFrame, path: str, order: list[str]) -> DataFrame:
+    """Write ``df`` below the new folder ``path``, a folder per ``book``, and return the index (name, rows) of its files. The table is
+    sorted into ranges by book and ``order`` (which should tell rows apart), and a task writes what it has of a book: a book of few
+    rows is one file, or two where a range ends, and a large one as many as it has ranges or ``FILE_ROWS``. Many small files cost
+    their task a little each, and the driver nothing: it neither lists nor moves them. A file appears whole or not at all; a task
+    that is repeated writes the same again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        system, root = _system(path)
+        task, told, held, count = TaskContext.get().partitionId(), [], [], 0
+
+        def write() -> None:
+            rows = pa.Table.from_batches(held)
+            folder = book_folder(rows.column("book")[0].as_py())
+            system.create_dir(f"{root}/{folder}", recursive=True)
+            name, draft = f"{folder}/part-{task:05d}-{len(told):07d}.parquet", f"{root}/{folder}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(draft) as out:
+                pq.write_table(rows.drop_columns(["book"]), out, write_statistics=False, store_schema=False)
+            system.move(draft, f"{root}/{name}")
+            told.append((name, rows.num_rows))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = runs([b.column("book")])
+            for start, end in zip(starts, np.append(starts[1:], b.num_rows), strict=True):
+                part = b.slice(int(start), int(end - start))
+                if held and (count >= FILE_ROWS or held[-1].column("book")[0] != part.column("book")[0]):
+                    write()
+                    held, count = [], 0
+                held.append(part)
+                count += part.num_rows
+        if held:
+            write()
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in told], pa.string()), pa.array([k for _, k in told], pa.int64())], names=["name", "rows"])
+
+    return materialise(sorted_ranges(df, ["book"], [F.col(c).asc() for c in order]).mapInArrow(run, "name string, rows bigint"))
+
+
+def read_book_files(index: DataFrame, path: str, schema: str) -> DataFrame:
+    """The rows of the files of ``index`` (of ``write_book_files``) below ``path``: book, from the folder's name, and the columns of
+    ``schema``. Tasks get files by number; a file that is missing or has other rows than the index says fails the job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        system, root = _system(path)
+        held, count = [], 0
+        for b in batches:
+            for name, rows in zip(b.column("name").to_pylist(), b.column("rows").to_pylist(), strict=True):
+                with system.open_input_file(f"{root}/{name}") as f:
+                    t = pq.ParquetFile(f).read()
+                if t.num_rows != rows:
+                    raise ValueError(f"{name} has {t.num_rows} rows instead of {rows}")
+                held.append(t.add_column(0, "book", pa.array([folder_book(name.split("/")[0])] * rows, pa.string())))
+                count += rows
+                if count >= READ_ROWS:
+                    yield from pa.concat_tables(held).combine_chunks().to_batches()
+                    held, count = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    return index.repartition(max(24, partitions(index))).mapInArrow(run, f"book string, {schema}")
+
+
 def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
     """A report as csv (quoted, with header), json (null for what is not finite) or text."""
     safe = df.select(*[F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])

@@ -73,6 +73,27 @@ def test_write_by_book_replaces_only_its_books(spark, tmp_path):
     assert sorted((r.book, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
 
 
+def test_book_files(spark, tmp_path, monkeypatch):
+    """Few files for books of few rows, several for a large one, each name back as it was, and the layout that Spark reads."""
+    path = str(tmp_path / "out")
+    names = ["", "a/b", "100%", "%41", "x=y:'z", "书 [1]", *[f"b{i}" for i in range(60)]]
+    rows = [(b, i, f"c{i % 3}") for b in names for i in range(8)] + [("large", i, None) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "book string, k int, c string").repartition(7)
+    index = shards.write_book_files(df, path, ["k"])
+    files = [r.name for r in index.collect()]
+    assert sorted(files) == sorted(os.path.relpath(os.path.join(d, f), path) for d, _, fs in os.walk(path) for f in fs)
+    large = sum(f.startswith("book=large/") for f in files)
+    assert large > 1
+    assert len(files) - large <= len(names) + 4
+    back = shards.read_book_files(index, path, "k int, c string")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    read = spark.read.schema("k int, c string, book string").parquet(path).where("book not in ('%', 'large')")
+    assert sorted((r.book, r.k) for r in read.collect()) == sorted((b, k) for b, k, _ in rows if b not in ("", "large"))
+    os.remove(f"{path}/{files[0]}")
+    with pytest.raises(Exception, match="(?i)no such file"):
+        back.count()
+
+
 @pytest.mark.parametrize("form", ["csv", "json", "text"])
 def test_reports(spark, tmp_path, form):
     df = spark.createDataFrame([('a,"b', 1.5), ("c", float("nan")), (None, float("inf"))], "k string, v double")
