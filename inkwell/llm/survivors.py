@@ -27,7 +27,7 @@ class Field:
     """A field of the surviving record: its normalised value (as text; null values don't vote), the trust in the record for
     this field, the days in which a vote loses half its weight, and what decides between values with equal
     votes, larger first; then the larger text wins. Of the voters for the winning value the one with the largest ``best`` (or
-    ``ties``) is its voter, whose own values stand for it."""
+    ``ties``) is its voter, whose own values stand for it. With ``listed``, all values come along with their voters."""
 
     name: str
     value: Column
@@ -35,6 +35,7 @@ class Field:
     half_life_days: float = 180.0
     ties: Column | None = None
     best: Column | None = None
+    listed: bool = False
 
 
 def confidence_of(col: str = "confidence") -> Column:
@@ -45,7 +46,7 @@ def confidence_of(col: str = "confidence") -> Column:
 
 def fuse_groups(records: DataFrame, group: str, record: str, fields: list[Field], age_days: Column | None = None) -> DataFrame:
     """One row per group: the winning value of each field (text), ``<field>_votes``, what it won with, and ``<field>_voter``, the
-    record (bigint) that stands for it.
+    record (bigint) that stands for it; of a listed field also ``<field>_all``, an array of its values (value, voter).
 
     A group whose records all lack a field gets null there; rows with a null group are left out; repeated rows vote once
     each; sums are compared by their logarithm to nine digits, so that old groups are told apart as well as new ones; ties go by
@@ -69,9 +70,9 @@ def fuse_groups(records: DataFrame, group: str, record: str, fields: list[Field]
     ballots = long.groupBy("g", "field", "value").agg(F.sum("votes").alias("votes"), F.max("ties").alias("ties"), F.max_by("voter", "ties").alias("voter"))
     order = [F.struct(F.round(F.log2("votes"), 9).alias("v"), (none if f.ties is None else F.col("ties")).alias("ties"), F.col("value")) for f in fields]
     own = F.struct("value", "votes", "voter")
-    wide = ballots.groupBy("g").agg(*[F.max_by(F.when(F.col("field") == i, own), F.when(F.col("field") == i, order[i])).alias(f"w{i}") for i in range(len(fields))])
+    wide = ballots.groupBy("g").agg(*[F.max_by(F.when(F.col("field") == i, own), F.when(F.col("field") == i, order[i])).alias(f"w{i}") for i in range(len(fields))], *[F.collect_list(F.when(F.col("field") == i, F.struct("value", "voter"))).alias(f"{f.name}_all") for i, f in enumerate(fields) if f.listed])
     named = [F.col(f"w{i}.{k}").alias(f.name + a) for i, f in enumerate(fields) for k, a in (("value", ""), ("votes", "_votes"), ("voter", "_voter"))]
-    return wide.select("g", *named).withColumnRenamed("g", group)
+    return wide.select("g", *named, *[f"{f.name}_all" for f in fields if f.listed]).withColumnRenamed("g", group)
 
 
 def _place() -> Column:
@@ -89,6 +90,26 @@ def standing_field() -> Field:
     return Field("standing", value, trust, best=_place())
 
 
+def order_fields() -> list[Field]:
+    """The fields that the survivor's order compares by what they say, each voted on by all records of the group: source_image by
+    its folder, where preprocessed outweighs any votes for the rest, and normalized_bbox by being there (a missing one doesn't
+    vote). The pairs of both that occur are listed, each with its best record: the one of the highest confidence, then the
+    lowest char_index (null last) and record_id, which are compared by size and not by votes."""
+    pre, boxed = F.col("__kind") == "preprocessed", F.col("__box").isNotNull()
+    place, box = F.when(pre, "preprocessed").otherwise("other scan"), F.when(boxed, "boxed")
+    return [
+        Field("source_image", place, F.when(pre, OUTWEIGHS).otherwise(1.0)),
+        Field("normalized_bbox", box, F.when(pre, 2.0).otherwise(1.0)),
+        Field("pair", F.concat_ws(",", place, box), F.lit(1.0), best=_place(), listed=True),
+    ]
+
+
+def survivor_of(fused: DataFrame) -> Column:
+    """The record that holds the elected source_image, then the elected normalized_bbox, of what ``order_fields`` came to."""
+    held = lambda p: F.struct(F.startswith(p["value"], F.col("source_image")).alias("s"), F.endswith(p["value"], F.coalesce("normalized_bbox", F.lit(""))).alias("n"), p["voter"].alias("voter"))
+    return F.array_max(F.transform("pair_all", held))["voter"]
+
+
 def survivor_fields(half_life_days: float = 180.0) -> list[Field]:
     """The dealt fields of a matched record, each voted on by all records of the group: source_image by its kind (a group of
     ``duplicate_groups`` lies on one page image, so that is all that differs but the spelling; data/external is another image and
@@ -105,8 +126,8 @@ def survivor_fields(half_life_days: float = 180.0) -> list[Field]:
 
 
 def best_of_groups(matched: DataFrame, groups: DataFrame, as_of: str = "2022-01-01", dealt: bool = True) -> DataFrame:
-    """The fused record of each group of ``groups`` (record_id, group_id): group_id, best_record_id (bigint) and, with ``dealt``, the
-    winning values of source_image, normalized_bbox, confidence and char_index with their votes, and as ``<field>_raw`` as the
+    """The fused record of each group of ``groups`` (record_id, group_id): group_id, best_record_id (bigint) and the winning values of
+    ``order_fields`` with their votes, from which the survivor follows; with ``dealt`` instead the winning values of source_image, normalized_bbox, confidence and char_index with their votes, and as ``<field>_raw`` as the
     records hold them (a confidence may be a percentage). Ages are taken at ``as_of`` (another date scales all votes alike); a
     record without loaded_at counts as ten years old. Rows in no group are left out; an empty table gives no row."""
     age = F.datediff(F.lit(as_of).cast("date"), F.col("loaded_at").cast("date"))
@@ -118,8 +139,8 @@ def best_of_groups(matched: DataFrame, groups: DataFrame, as_of: str = "2022-01-
     slim = matched.select("record_id", kind.alias("__kind"), boxed.alias("__box"), confidence_of().cast("double").alias("confidence"), "char_index", age.alias("__age"), *as_held)
     records = slim.join(groups.select("record_id", "group_id"), "record_id")
     if not dealt:
-        fused = fuse_groups(records, "group_id", "record_id", [standing_field()], F.col("__age"))
-        return fused.select("group_id", F.col("standing_voter").alias("best_record_id"))
+        fused = fuse_groups(records, "group_id", "record_id", order_fields(), F.col("__age"))
+        return fused.select("group_id", survivor_of(fused).alias("best_record_id"), "source_image", "source_image_votes", "normalized_bbox", "normalized_bbox_votes")
     records = materialise(records)  # read for the ballots, and again for the values of the winners' voters
     fields = survivor_fields()
     fused = materialise(fuse_groups(records, "group_id", "record_id", [standing_field(), *fields], F.col("__age")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import components as C
 from inkwell.llm.queries import GROUP, measurements
 from inkwell.llm.ranked import first_of_groups, percentiles, value_counts
-from inkwell.llm.survivors import best_of_groups
+from inkwell.llm.survivors import OUTWEIGHS, best_of_groups
 
 BOX = "struct<x:int,y:int,width:int,height:int>"
 NB = "struct<x:double,y:double,width:double,height:double>"
@@ -93,6 +93,26 @@ def test_groups_and_survivors(spark, monkeypatch, seed, few, held):
         assert (r.char_index is None) == all(m[5] is None for m in members)
 
 
+    voted = best_of_groups(df, groups, dealt=False).collect()
+    assert {r.group_id: r.best_record_id for r in voted} == best
+
+
+def test_the_survivor_follows_from_the_votes_on_its_fields(spark):
+    """Each record votes with its source's trust, halved every 180 days; sums are those of the values, the survivor holds the winners."""
+    raw, pre = "data/raw/b/v/page_1.png", "data/results/preprocessed/b/v/page_1_preprocessed.png"
+    box, day = (0.1, 0.1, 0.1, 0.1), dt.datetime(2022, 1, 1)
+    rows = [(1, raw, box, 0.9, 3, day), (2, raw, box, 0.99, 3, day), (3, pre, None, 0.5, 4, dt.datetime(2021, 7, 5)), (4, pre, None, 0.6, 5, day), (5, raw, None, 0.1, 1, day), (6, raw, None, 0.1, None, None), (7, None, None, 0.1, 0, None)]
+    df = spark.createDataFrame(rows, f"record_id bigint, source_image string, normalized_bbox {NB}, confidence double, char_index int, loaded_at timestamp_ntz")
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 7)], "record_id bigint, group_id bigint")
+    got = {r.group_id: r for r in best_of_groups(df, groups, dealt=False).collect()}
+    assert (got[1].best_record_id, got[1].source_image, got[1].normalized_bbox) == (4, "preprocessed", "boxed")
+    assert got[1].source_image_votes == pytest.approx(1.5 * OUTWEIGHS)
+    assert got[1].normalized_bbox_votes == pytest.approx(2)
+    assert (got[5].best_record_id, got[5].source_image, got[5].normalized_bbox) == (5, "other scan", None)
+    assert got[5].source_image_votes == pytest.approx(1 + 0.5 ** (3650 / 180))
+    assert got[7].best_record_id == 7
+
+
 def test_groups_of_an_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert C.duplicate_groups(df).count() == 0
